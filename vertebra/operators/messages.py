@@ -48,5 +48,6 @@ def split_valid(df: DataFrame, image: str = "image_data", ts: str = "timestamp"
     Rows without an image are dropped (not quarantined), like the batch job's
     null filter; every other failure goes to ``bad`` with its ``reason``.
     """
-    v = with_validation(nonnull_frames(df, image), image, ts)
+    json_ok = F.col("json_ok") if "json_ok" in df.columns else F.lit(True)
+    v = with_validation(df.filter(F.col(image).isNotNull() | ~json_ok), image, ts)
     return v.filter(F.col("reason").isNull()).drop("reason"), v.filter(F.col("reason").isNotNull())

@@ -37,10 +37,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def landing_stream(spark: SparkSession, path: str, schema: T.StructType = LANDED_DOCUMENT,
                    max_files_per_trigger: int | None = None,
-                   clean_source: str | None = None, archive_dir: str | None = None) -> DataFrame:
-    """Streaming scan of landed JSON documents (the polling loader's input)."""
-    r = (spark.readStream.schema(schema).option("multiLine", True)
-         .option("pathGlobFilter", "*.json"))
+                   clean_source: str | None = None, archive_dir: str | None = None,
+                   multi_line: bool = False) -> DataFrame:
+    """Streaming scan of landed JSON documents (the polling loader's input).
+
+    ``multi_line`` for one indented object per file; the live job writes JSON lines.
+    """
+    r = (spark.readStream.schema(schema).option("multiLine", multi_line)
+         .option("pathGlobFilter", "*.json").option("recursiveFileLookup", True))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if clean_source:
