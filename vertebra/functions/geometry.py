@@ -97,42 +97,43 @@ def neck_metrics(landmarks: Column) -> dict[str, Column]:
 # limit.  The staged form materialises each level once; Catalyst keeps the
 # stages apart (their columns are reused, so collapsing would duplicate work)
 # and they still run inside one whole-stage-codegen span.
+#
+# The auxiliary arm of every angle has one non-zero component
+# ``d = (c + s) - c`` along the shifted axis, so ``dot = arm[axis] * d`` and
+# ``|aux| = |d|``; for finite coordinates this is bit-identical to the
+# three-point form (``0 * v`` terms add signed zeros, ``sqrt(d * d) = |d|``).
 
 ANGLES = {
-    # name: (ear, shift axis, shift)
-    "cva_left": ("le", "z", -AUX_OFFSET),
-    "cva_right": ("re", "z", -AUX_OFFSET),
-    "fha_left": ("le", "x", AUX_OFFSET),
-    "fha_right": ("re", "x", AUX_OFFSET),
+    # name: (ear, shifted axis, shift)
+    "cva_left": ("l", "z", -AUX_OFFSET),
+    "cva_right": ("r", "z", -AUX_OFFSET),
+    "fha_left": ("l", "x", AUX_OFFSET),
+    "fha_right": ("r", "x", AUX_OFFSET),
 }
 
 
 def with_neck_metrics(df, landmarks: str = "landmarks", t_cva: float = CVA_THRESHOLD,
                       t_fha: float = FHA_THRESHOLD, digits: int = ANGLE_DIGITS):
     """Add ``cva_left, cva_right, fha_left, fha_right, posture_correct`` in stages."""
+    keep = list(df.columns)
     lmk = F.col(landmarks)
-    df = df.withColumns({f"_c7{a}": (lmk["ls"][a] + lmk["rs"][a]) / 2 for a in "xyz"})
-    comps = {}
-    for name, (ear, axis, shift) in ANGLES.items():
-        for a in "xyz":
-            c = F.col(f"_c7{a}")
-            comps[f"_{name}_ba{a}"] = lmk[ear][a] - c
-            comps[f"_{name}_bc{a}"] = ((c + F.lit(shift)) if a == axis else c) - c
-    df = df.withColumns(comps)
-    parts = {}
-    for name in ANGLES:
-        ba = [F.col(f"_{name}_ba{a}") for a in "xyz"]
-        bc = [F.col(f"_{name}_bc{a}") for a in "xyz"]
-        parts[f"_{name}_dot"] = ba[0] * bc[0] + ba[1] * bc[1] + ba[2] * bc[2]
-        parts[f"_{name}_n1"] = F.sqrt(ba[0] * ba[0] + ba[1] * ba[1] + ba[2] * ba[2])
-        parts[f"_{name}_n2"] = F.sqrt(bc[0] * bc[0] + bc[1] * bc[1] + bc[2] * bc[2])
-    df = df.withColumns(parts)
-    df = df.withColumns({
-        name: round_half_even(F.degrees(F.acos(F.try_divide(
-            F.col(f"_{name}_dot"), F.col(f"_{name}_n1") * F.col(f"_{name}_n2")))), digits)
-        for name in ANGLES})
-    df = df.withColumn("posture_correct", posture_class(
+    c7 = {a: (lmk["ls"][a] + lmk["rs"][a]) / 2 for a in "xyz"}
+    arms = {f"_b{side}{a}": lmk[ear][a] - c7[a] for side, ear in (("l", "le"), ("r", "re"))
+            for a in "xyz"}
+    arms["_dz"] = (c7["z"] + F.lit(-AUX_OFFSET)) - c7["z"]
+    arms["_dx"] = (c7["x"] + F.lit(AUX_OFFSET)) - c7["x"]
+    df = df.withColumns(arms)
+    b = {k: F.col(k) for k in arms}
+    df = df.withColumns({f"_n{side}": F.sqrt(b[f"_b{side}x"] * b[f"_b{side}x"]
+                                             + b[f"_b{side}y"] * b[f"_b{side}y"]
+                                             + b[f"_b{side}z"] * b[f"_b{side}z"])
+                         for side in "lr"})
+    angles = {}
+    for name, (side, axis, _) in ANGLES.items():
+        d = F.col(f"_d{axis}")
+        cos = F.try_divide(F.col(f"_b{side}{axis}") * d, F.col(f"_n{side}") * F.abs(d))
+        angles[name] = round_half_even(F.degrees(F.acos(cos)), digits)
+    df = df.select(*keep, *[v.alias(k) for k, v in angles.items()])
+    return df.withColumn("posture_correct", posture_class(
         F.col("cva_left"), F.col("cva_right"), F.col("fha_left"), F.col("fha_right"), lmk,
         t_cva, t_fha))
-    return df.drop(*[c for c in df.columns if c.startswith("_c7") or c.startswith("_cva_")
-                     or c.startswith("_fha_")])
