@@ -237,6 +237,11 @@ def q_skeleton_segments(spark, sf_dir):
     return reports.skeleton_segments(mart(spark, sf_dir))
 
 
+def q_capture_gaps(spark, sf_dir):
+    from ..operators.cadence import capture_gaps
+    return capture_gaps(frames(spark, sf_dir).select("event_id", "user_id", "ts"), tz=TZ)
+
+
 def q_score_rollup(spark, sf_dir):
     return reports.score_rollup(mart(spark, sf_dir))
 
@@ -280,4 +285,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_skeleton_segments": q_skeleton_segments,
     "q_ingest_counts": q_ingest_counts,
     "q_score_rollup": q_score_rollup,
+    "q_capture_gaps": q_capture_gaps,
 }

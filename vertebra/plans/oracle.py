@@ -345,4 +345,15 @@ r AS (
   SELECT year_id, month_id, day_id, {COUNTS}, grouping(year_id, month_id, day_id)::INTEGER AS level
   FROM mart GROUP BY ROLLUP (year_id, month_id, day_id))
 SELECT *, {SCORE} AS score FROM r""",
+
+    "q_capture_gaps": _with(FRAMES) + """,
+g AS (
+  SELECT user_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day_value,
+         epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap
+  FROM fr)
+SELECT user_id, day_value, count(*) AS n_frames, count(gap) AS n_gaps,
+       max(gap) / 1000000.0 AS max_gap_s,
+       sum(gap)::DOUBLE / (count(gap)::DOUBLE * 1000000.0) AS mean_gap_s,
+       count(CASE WHEN gap > 1200000 THEN 1 END) AS n_slow
+FROM g GROUP BY user_id, day_value""",
 }
