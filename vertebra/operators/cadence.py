@@ -26,6 +26,7 @@ def with_prev_ts(df: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak:
     d = df.withColumns({"_bucket": F.floor(us / F.lit(bucket_us)), "_us": us})
     inside = Window.partitionBy(user, "_bucket").orderBy("_us", tiebreak)
     d = d.withColumn("_prev_in", F.lag("_us").over(inside))
+    # summary from the windowed rows (same partitioning, no second pass)
     seg = d.groupBy(user, "_bucket").agg(F.max("_us").alias("_seg_max"))
     across = Window.partitionBy(user).orderBy("_bucket")
     seg = seg.select(user, "_bucket", F.lag("_seg_max").over(across).alias("_prev_seg"))

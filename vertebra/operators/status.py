@@ -31,14 +31,16 @@ def status_carry(df: DataFrame, label: str = "status_label", user: str = "user_i
     segment, then a carry of each segment's last label across segments, which
     is a window over one small row per segment.
     """
-    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_us)).alias("_bucket")
+    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_us))
     d = df.withColumn("_bucket", b)
-    order = F.struct(F.col(ts), F.col(tiebreak))
     inside = Window.partitionBy(user, "_bucket").orderBy(ts, tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_local", F.last(label, ignorenulls=True).over(inside))
-    seg = (d.groupBy(user, "_bucket")
-           .agg(F.max_by(F.col(label), F.when(F.col(label).isNotNull(), order)).alias("_seg_last")))
+    # the segment summary is read off the windowed rows: they are already
+    # partitioned by (user, bucket) and sorted, so neither the summary nor the
+    # join back shuffles the large side again (the exchange below is reused)
+    seg = d.groupBy(user, "_bucket").agg(
+        F.max_by("_local", F.struct(F.col(ts), F.col(tiebreak))).alias("_seg_last"))
     across = Window.partitionBy(user).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.select(user, "_bucket", F.last("_seg_last", ignorenulls=True).over(across).alias("_carry_in"))
     return (d.join(seg, [user, "_bucket"], "left")
