@@ -246,7 +246,7 @@ def q_score_rollup(spark, sf_dir):
     return reports.score_rollup(mart(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_decode_messages": q_decode_messages,
     "q_nonnull_frames": q_nonnull_frames,
     "q_quarantine": q_quarantine,
@@ -287,3 +287,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_score_rollup": q_score_rollup,
     "q_capture_gaps": q_capture_gaps,
 }
+
+
+def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Timestamps in the tables are UTC wall clocks; pin the session zone to UTC
+    before the plan is analysed so results do not depend on the caller's zone."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _utc(v) for k, v in _RAW.items()}
+

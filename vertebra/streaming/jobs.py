@@ -57,15 +57,23 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[st
     The same function serves the batch job, the loader stream and the live
     stream, so batch and stream produce the same tables.
     """
-    facts = warehouse.to_facts(analyzed, key="frame_key", ts="event_ts", user="user_id", tz=tz,
-                               keep_landmarks="landmarks" in analyzed.columns)
-    images = warehouse.to_images(analyzed, key="frame_key", ts="event_ts", image="image", tz=tz,
-                                 keep_bytes=True)
-    out = {"facts": writers.write_facts(facts, writers.table_path(base, "tb_posture")),
-           "images": writers.write_images(images, writers.table_path(base, "tb_image"))}
-    for name, dim in warehouse.to_dims(facts, tz).items():
-        out[name] = writers.append_new(dim, writers.table_path(base, f"tb_{name}"),
-                                       warehouse.DIM_KEYS[name])
+    from pyspark import StorageLevel
+
+    # seven writes share one pass over the input and the inference stage; a
+    # lost executor only recomputes its blocks (ids are deterministic)
+    analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        facts = warehouse.to_facts(analyzed, key="frame_key", ts="event_ts", user="user_id", tz=tz,
+                                   keep_landmarks="landmarks" in analyzed.columns)
+        images = warehouse.to_images(analyzed, key="frame_key", ts="event_ts", image="image", tz=tz,
+                                     keep_bytes=True)
+        out = {"facts": writers.write_facts(facts, writers.table_path(base, "tb_posture")),
+               "images": writers.write_images(images, writers.table_path(base, "tb_image"))}
+        for name, dim in warehouse.to_dims(facts, tz).items():
+            out[name] = writers.append_new(dim, writers.table_path(base, f"tb_{name}"),
+                                           warehouse.DIM_KEYS[name])
+    finally:
+        analyzed.unpersist()
     return out
 
 
