@@ -41,12 +41,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and is
     only read here.  Where it is unset (local tests) a fresh folder is made.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="vertebra-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+    sc.setCheckpointDir(d)
+    return (sc.getCheckpointDir() or d).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
