@@ -164,7 +164,7 @@ SELECT event_id, CASE WHEN image_data = 'zz' THEN 'bad_hex' ELSE 'bad_timestamp'
 FROM cmsgs WHERE event_id % 50 IN (1, 2)""",
 
     "q_decode_hex": """
-SELECT event_id, octet_length(encode(props)) AS n_bytes, props AS text FROM events""",
+SELECT event_id, octet_length(encode(props))::INTEGER AS n_bytes, props AS text FROM events""",
 
     "q_encode_frames": _with(FRAMES) + f"""
 SELECT event_id, '{{"timestamp":"' || {TS_TEXT} || '","image_data":"' || {HEX} || '"}}' AS value FROM fr""",
