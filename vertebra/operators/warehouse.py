@@ -68,14 +68,21 @@ def user_dim(facts: DataFrame) -> DataFrame:
                     F.lit(None).cast("string").alias("user_gender")))
 
 
-def calendar_dims(facts: DataFrame, tz: str = DEFAULT_TZ) -> dict[str, DataFrame]:
+def calendar_dims(facts: DataFrame, tz: str = DEFAULT_TZ, materialize: bool = False
+                  ) -> dict[str, DataFrame]:
     """Year, month, week and day dimensions, one row per key (distinct = partial agg).
 
-    All four derive from one distinct (year, month, day, week) set, which is
-    bounded by the number of calendar days the data spans.
+    All four derive from one distinct (year, month, day, week) set, bounded by
+    the number of calendar days the data spans.  Catalyst folds a distinct of a
+    distinct into one aggregate over the facts, so each dimension would scan the
+    facts again; ``materialize`` checkpoints the small day set once (shared
+    checkpoint folder) and derives the four dimensions from it.
     """
-    days = (facts.select("year_id", "month_id", "day_id", "week_id").distinct()
-            .withColumn("_d", F.make_date("year_id", "month_id", "day_id")))
+    days = facts.select("year_id", "month_id", "day_id", "week_id").distinct()
+    if materialize:
+        from ..session import cut_lineage
+        days = cut_lineage(days)
+    days = days.withColumn("_d", F.make_date("year_id", "month_id", "day_id"))
     return {
         "year": days.select("year_id", F.col("year_id").alias("year_value")).distinct(),
         "month": days.select("month_id", F.date_format("_d", "MMMM").alias("month_value"),
@@ -86,8 +93,9 @@ def calendar_dims(facts: DataFrame, tz: str = DEFAULT_TZ) -> dict[str, DataFrame
     }
 
 
-def to_dims(facts: DataFrame, tz: str = DEFAULT_TZ) -> dict[str, DataFrame]:
-    dims = calendar_dims(facts, tz)
+def to_dims(facts: DataFrame, tz: str = DEFAULT_TZ, materialize: bool = False
+            ) -> dict[str, DataFrame]:
+    dims = calendar_dims(facts, tz, materialize)
     dims["user"] = user_dim(facts)
     return dims
 

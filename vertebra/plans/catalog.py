@@ -180,7 +180,7 @@ def q_dim_upsert(spark, sf_dir):
 def q_star_join(spark, sf_dir):
     f = facts(spark, sf_dir)
     images = warehouse.to_images(decoded_images(spark, sf_dir), "event_id", "ts", "image", TZ)
-    s = warehouse.star(f, warehouse.to_dims(f, TZ), images)
+    s = warehouse.star(f, warehouse.to_dims(f, TZ, materialize=True), images)
     return s.select("posture_id", "user_id", "user_name", "year_value", "month_value",
                     "week_value", "day_value", "file_size")
 

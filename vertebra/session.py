@@ -39,7 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and is
-    only read here.  Where it is unset (local tests) a fresh folder is made.
+    only read here (unset is an error).  Only in local mode, where it is
+    unset (tests), a fresh folder is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,7 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="vertebra-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: point it at shared storage")
+        d = tempfile.mkdtemp(prefix="vertebra-ckpt-")  # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
     return (sc.getCheckpointDir() or d).rstrip("/")
