@@ -88,3 +88,18 @@ TB_DAILY_STAT = T.StructType(
     + [T.StructField("posture_correct", T.BooleanType()),
        T.StructField("img_filename", T.StringType()),
        T.StructField("cnt", T.LongType())])
+
+# driver input tables read by the frame fixture (explicit: no footer-based inference)
+EVENTS = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()),
+])
+EMBEDDINGS = T.StructType([
+    T.StructField("vec_id", T.LongType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("label", T.IntegerType()),
+])

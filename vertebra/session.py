@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # no Python call-site capture per DataFrame call (a stack walk + conf lookup each)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import encode_hex
 from ..functions.timeparts import DEFAULT_TZ, message_ts_text
+from ..schemas import EMBEDDINGS, EVENTS
 from .tables import read_table
 
 LANDMARK_WIDTH = 12  # LS xyz, RS xyz, LE xyz, RE xyz
@@ -26,9 +27,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     equi-join on ``vec_id`` (uniform keys; Catalyst/AQE choose the strategy by
     the measured size of ``embeddings``).
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts",
+    ev = read_table(spark, sf_dir, "events", EVENTS).select("event_id", "user_id", "ts",
                                                      "event_type", "props")
-    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    emb = read_table(spark, sf_dir, "embeddings", EMBEDDINGS).select("vec_id", "embedding")
     n = emb.select(F.count(F.lit(1))).scalar()
     ev = ev.withColumn("vec_key", F.col("event_id") % n)
     j = ev.join(emb, ev.vec_key == emb.vec_id, "inner")
@@ -44,7 +45,7 @@ def frame_messages(spark: SparkSession, sf_dir: str, tz: str = DEFAULT_TZ,
     With ``corrupt``: ``event_id % 50`` = 0 -> NULL image, 1 -> image ``zz``,
     2 -> timestamp ``bad`` (inputs for the quarantine path).
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "props")
+    ev = read_table(spark, sf_dir, "events", EVENTS).select("event_id", "user_id", "ts", "props")
     ts_text = message_ts_text("ts", tz)
     image = encode_hex(F.encode("props", "UTF-8"))
     if corrupt:

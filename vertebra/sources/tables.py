@@ -5,11 +5,17 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """``base/name.parquet`` if it exists, else the folder ``base/name``."""
+def read_table(spark: SparkSession, base: str, name: str,
+               schema: T.StructType | None = None) -> DataFrame:
+    """``base/name.parquet`` if it exists, else the folder ``base/name``.
+
+    With an explicit ``schema`` no parquet footer is read to infer it.
+    """
     p = os.path.join(base, f"{name}.parquet")
     if not os.path.exists(p) and os.path.exists(os.path.join(base, name)):
         p = os.path.join(base, name)
-    return spark.read.parquet(p)
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return r.parquet(p)
