@@ -88,3 +88,15 @@ def test_skeleton_segments_four_points(mart001):
     assert s.count() == 4 * mart001.count()
     r = s.first()
     assert r.y_lo <= r.y <= r.y_hi
+
+
+def test_reports_prune_stored_mart_partitions(spark, mart01, tmp):
+    from vertebra.sinks import writers
+    writers.write_daily_stat(mart01, f"{tmp}/mart")
+    stored = spark.read.parquet(f"{tmp}/mart")
+    for df in (reports.weekly_score(stored, "2024-01-31"),
+               reports.weekly_landmarks(stored, "2024-01-31"),
+               reports.daily_report(stored, "2024-01-02")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "year_id" in plan.split("PartitionFilters: [")[1][:400]
+    assert reports.weekly_score(stored, "2024-01-31").first().score == 77.27

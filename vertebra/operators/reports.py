@@ -169,18 +169,23 @@ def weekly_landmarks(mart: DataFrame, end: _dt.date | str, mode: str = "calendar
     e = _date(end)
     s = e - _dt.timedelta(days=WEEK_DAYS)
     pc = F.col("posture_correct")
-    aggs = []
+    preds = {}
     for label, cls in (("t", True), ("f", False)):
         if mode == "calendar":
-            pred = (pc == F.lit(cls)) & week_predicate(e, "calendar")
+            preds[f"_in_{label}"] = (pc == F.lit(cls)) & week_predicate(e, "calendar")
         elif mode == "literal":
             b = _literal_branches(s, e)
-            pred = ((pc == F.lit(cls)) & b[0]) | b[1] | b[2] | b[3] | b[4]
+            preds[f"_in_{label}"] = ((pc == F.lit(cls)) & b[0]) | b[1] | b[2] | b[3] | b[4]
         else:
             raise ValueError(f"unknown mode {mode!r}")
-        for c in AVG_COLUMNS:
-            aggs.append(exact_mean_fixed(F.when(pred, F.col(c)), MEAN_DIGITS).alias(f"{label}__{c}"))
-    wide = mart.agg(*aggs)
+    # rows outside the window feed neither class: filter first (partition
+    # pruning on a stored mart), then evaluate each class predicate once per
+    # row and share it across its 15 aggregates
+    m = (mart.filter(week_predicate(e, mode))
+         .select(*AVG_COLUMNS, *[p.alias(k) for k, p in preds.items()]))
+    aggs = [exact_mean_fixed(F.when(F.col(f"_in_{label}"), F.col(c)), MEAN_DIGITS).alias(f"{label}__{c}")
+            for label in ("t", "f") for c in AVG_COLUMNS]
+    wide = m.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(cls).alias("posture_correct"),
                               *[F.col(f"{label}__{c}").alias(c) for c in AVG_COLUMNS])
                      for label, cls in (("t", True), ("f", False))])
