@@ -50,6 +50,9 @@ def test_batch_equals_stream_and_restart(spark, frame_dir, tmp_path):
     q = jobs.start_pipeline(frame_file_stream(spark, frame_dir), base_s, ckpt, stub_factory,
                             trigger={"availableNow": True})
     q.awaitTermination(300)
+    seen = sum(p["observedMetrics"]["ingest"]["n_messages"] for p in q.recentProgress
+               if p.get("observedMetrics"))
+    assert seen == 60  # live counter: each message counted once
     cols = ["posture_id", "posture_status", "cva_left_value", "day_id"]
     b = spark.read.parquet(f"{base_b}/tb_posture").select(*cols)
     s = spark.read.parquet(f"{base_s}/tb_posture").select(*cols)

@@ -85,6 +85,8 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
     the landing documents, the quarantine and (optionally) the warehouse tables."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        # the raw batch feeds the good and the quarantine paths: read it once
+        batch = batch.persist()
         analyzed, bad = process_frames(batch, estimator_factory, user_id, partitions)
         analyzed = analyzed.persist()  # several sinks share one inference pass
         try:
@@ -97,7 +99,10 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
                 load_frames(analyzed, out_base, tz)
         finally:
             analyzed.unpersist()
+            batch.unpersist()
 
+    # live counters per micro-batch, reported in StreamingQueryProgress.observedMetrics
+    stream = stream.observe("ingest", F.count(F.lit(1)).alias("n_messages"))
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "500 milliseconds"}))
     return w.start()
