@@ -19,6 +19,7 @@ def test_archive_frames_per_local_day(spark, tmp):
     assert back.count() == m.count()
     days = {r.ingest_date for r in back.select("ingest_date").distinct().collect()}
     assert "20240101" in {str(d) for d in days}
+    assert back.filter(F.col("archive_name").startswith("kafka_")).count() == m.count()
 
 
 def test_archive_names(spark):
@@ -53,3 +54,16 @@ def test_cut_lineage_uses_shared_checkpoint_dir(spark):
     assert df.count() > 0
     base = spark.conf.get("spark.checkpoint.dir").replace("file:", "").rstrip("/")
     assert spark.sparkContext.getCheckpointDir().replace("file:", "").startswith(base)
+
+
+def test_landing_stream_clean_source_option(spark, tmp):
+    from vertebra.sources.files import landing_stream
+    a = catalog.analyzed(spark, SF).limit(4).withColumns(
+        {"image_data": F.lit("ffd8"), "timestamp": F.lit("2024-01-01 09:00:00.000000 +0900")})
+    writers.write_landing(a, f"{tmp}/landing")
+    os.makedirs(f"{tmp}/done")
+    s = landing_stream(spark, f"{tmp}/landing", clean_source="archive", archive_dir=f"{tmp}/done")
+    q = (s.writeStream.format("memory").queryName("landed_t").option("checkpointLocation", f"{tmp}/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert spark.sql("select * from landed_t").count() == 4

@@ -98,9 +98,16 @@ def write_feed(feed: DataFrame, path: str, batch_id: int | None = None) -> None:
 
 
 def archive_frames(messages: DataFrame, path: str, ts: str = "event_ts", tz: str = DEFAULT_TZ) -> None:
-    """Raw messages under ``ingest_date=<yyyyMMdd>`` folders (local day of the frame)."""
+    """Raw messages under ``ingest_date=<yyyyMMdd>`` folders (local day of the frame).
+
+    Spark writes part files, not one file per message; each archived row keeps
+    the per-message name (``kafka_<timestamp>.json``) as ``archive_name``.
+    """
+    from ..functions.codec import archive_name
+
     day = F.date_format(F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz), "yyyyMMdd")
-    (messages.withColumn("ingest_date", day).select("ingest_date", "timestamp", "image_data")
+    (messages.withColumns({"ingest_date": day, "archive_name": archive_name("timestamp")})
+     .select("ingest_date", "archive_name", "timestamp", "image_data")
      .write.mode("append").partitionBy("ingest_date").json(path))
 
 
