@@ -77,6 +77,11 @@ def test_batch_equals_stream_and_restart(spark, frame_dir, tmp_path):
     lf = spark.read.parquet(f"{base_l}/tb_posture").select("posture_id", "posture_status", "cva_left_value")
     sf = spark.read.parquet(f"{base_s}/tb_posture").select("posture_id", "posture_status", "cva_left_value")
     assert lf.count() == 80 and lf.exceptAll(sf).count() == 0
+    # the loader's facts carry landmarks, so its daily mart equals the live one
+    from vertebra.operators.mart import daily_stat
+    ml = daily_stat(spark.read.parquet(f"{base_l}/tb_posture"))
+    ms = daily_stat(spark.read.parquet(f"{base_s}/tb_posture"))
+    assert ml.count() > 0 and ml.exceptAll(ms).count() == 0 and ms.exceptAll(ml).count() == 0
     assert spark.read.parquet(f"{base_l}/tb_day").count() == \
         spark.read.parquet(f"{base_l}/tb_day").select("year_id", "month_id", "day_id").distinct().count()
 
@@ -95,3 +100,22 @@ def test_live_status_stream(spark, frame_dir, tmp_path):
 def test_read_frames_cap(spark, frame_dir):
     df = read_frames(spark, frame_dir, max_files=10)
     assert df.count() == 10 and df.select("file_name").distinct().count() == 10
+
+
+def test_loader_reinfers_reference_format_documents(spark, tmp_path):
+    from vertebra.schemas import LANDED_DOCUMENT
+    d = tmp_path / "landing"
+    d.mkdir()
+    lm = [0.1, 0.2, 0.0, 0.3, 0.2, 0.0, 0.15, 0.05, -0.1, 0.25, 0.05, -0.1]
+    for i in range(3):
+        doc = {"image_data": json.dumps(lm).encode().hex(),
+               "timestamp": f"2024-01-0{i + 1} 09:00:00.000000 +0900",
+               "analysis_result": {"cva_left": 1.0, "cva_right": 2.0, "fha_left": 3.0,
+                                   "fha_right": 4.0, "posture_correct": False}}
+        (d / f"{i}.json").write_text(json.dumps(doc, indent=4))
+    landed = spark.read.schema(LANDED_DOCUMENT).option("multiLine", True).json(str(d))
+    without = jobs.landed_to_frames(landed).collect()
+    assert all(r.landmarks is None for r in without)
+    redone = jobs.landed_to_frames(landed, estimator_factory=stub_factory).collect()
+    assert len(redone) == 3 and all(r.landmarks is not None for r in redone)
+    assert all(r.cva_left == 1.0 for r in redone)  # the stored result is kept

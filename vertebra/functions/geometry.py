@@ -82,15 +82,6 @@ def posture_class(cva_l: Column, cva_r: Column, fha_l: Column, fha_r: Column,
     return F.when(landmarks.isNotNull(), ok)
 
 
-def neck_metrics(landmarks: Column) -> dict[str, Column]:
-    """The five analysis fields for a landmark struct column."""
-    c7 = midpoint(landmarks["ls"], landmarks["rs"])
-    cl, cr = cva(landmarks["le"], c7), cva(landmarks["re"], c7)
-    fl, fr = fha(landmarks["le"], c7), fha(landmarks["re"], c7)
-    return {"cva_left": cl, "cva_right": cr, "fha_left": fl, "fha_right": fr,
-            "posture_correct": posture_class(cl, cr, fl, fr, landmarks)}
-
-
 # ---- staged form for DataFrames ---------------------------------------------
 # Writing all four angles as one nested expression repeats the C7 midpoint and
 # the arm vectors dozens of times and overflows the 64 KB generated-method

@@ -23,11 +23,14 @@ ANALYSIS_RESULT = T.StructType([
     T.StructField("posture_correct", T.BooleanType()),
 ])
 
-# document written to the landing zone by the live path
+# document written to the landing zone by the live path; ``lm`` (the flat
+# landmark array) is an addition so the loader can feed the daily mart without
+# a second inference pass; documents without it are still accepted
 LANDED_DOCUMENT = T.StructType([
     T.StructField("image_data", T.StringType()),
     T.StructField("timestamp", T.StringType()),
     T.StructField("analysis_result", ANALYSIS_RESULT),
+    T.StructField("lm", T.ArrayType(T.DoubleType())),
 ])
 
 TB_POSTURE = T.StructType([

@@ -79,9 +79,11 @@ def write_landing(analyzed: DataFrame, path: str, batch_id: int | None = None,
     With ``batch_id`` the output goes to ``batch_id=<n>`` and a replayed micro-batch
     overwrites its own folder.
     """
+    lm = F.col("lm") if "lm" in analyzed.columns else F.lit(None).cast("array<double>")
     doc = analyzed.select(F.col(image).alias("image_data"), F.col(ts).alias("timestamp"),
                           F.struct("cva_left", "cva_right", "fha_left", "fha_right",
-                                   "posture_correct").alias("analysis_result"))
+                                   "posture_correct").alias("analysis_result"),
+                          lm.alias("lm"))
     if batch_id is None:
         doc.write.mode("append").json(path)
     else:

@@ -43,12 +43,24 @@ def process_frames(df: DataFrame, estimator_factory: Callable[[], Estimator],
     return analyze(with_landmarks(good)), bad
 
 
-def landed_to_frames(landed: DataFrame, user_id: Column | str | None = None) -> DataFrame:
-    """Landing documents -> analysed-frame shape (the stored result is reused,
-    nothing is inferred twice)."""
+def landed_to_frames(landed: DataFrame, user_id: Column | str | None = None,
+                     estimator_factory: Callable[[], Estimator] | None = None) -> DataFrame:
+    """Landing documents -> analysed-frame shape, reusing the stored result.
+
+    Landmarks come from the document's ``lm``; documents without them are
+    re-inferred only when an estimator is given (the original daily job's
+    second pass), otherwise their landmarks stay NULL.
+    """
+    if "lm" not in landed.columns:
+        landed = landed.withColumn("lm", F.lit(None).cast("array<double>"))
     good, _ = split_valid(landed.withColumn("json_ok", F.lit(True)))
     uid = F.lit("default") if user_id is None else (F.col(user_id) if isinstance(user_id, str) else user_id)
-    return good.select("*", "analysis_result.*", frame_key().alias("frame_key"), uid.alias("user_id"))
+    frames = good.select("*", "analysis_result.*", frame_key().alias("frame_key"), uid.alias("user_id"))
+    if estimator_factory is not None:
+        missing = frames.filter(F.col("lm").isNull()).drop("lm")
+        redo = infer_landmarks(missing, estimator_factory, image="image", out="lm")
+        frames = frames.filter(F.col("lm").isNotNull()).unionByName(redo)
+    return with_landmarks(frames)
 
 
 def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[str, DataFrame]:
@@ -110,11 +122,12 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
 
 def start_loader(landed_stream: DataFrame, out_base: str, checkpoint: str,
                  trigger: dict | None = None, user_id: Column | str | None = None,
-                 tz: str = DEFAULT_TZ) -> StreamingQuery:
+                 tz: str = DEFAULT_TZ, estimator_factory: Callable[[], Estimator] | None = None
+                 ) -> StreamingQuery:
     """Landing-zone loader: landed documents -> facts, images and dimensions."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        load_frames(landed_to_frames(batch, user_id), out_base, tz)
+        load_frames(landed_to_frames(batch, user_id, estimator_factory), out_base, tz)
 
     w = landed_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "3 seconds"}))
