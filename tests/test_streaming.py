@@ -119,3 +119,23 @@ def test_loader_reinfers_reference_format_documents(spark, tmp_path):
     redone = jobs.landed_to_frames(landed, estimator_factory=stub_factory).collect()
     assert len(redone) == 3 and all(r.landmarks is not None for r in redone)
     assert all(r.cva_left == 1.0 for r in redone)  # the stored result is kept
+
+
+def test_redelivered_frames_dropped_before_inference(spark, frame_dir, tmp_path):
+    import shutil
+    d = tmp_path / "dups"
+    shutil.copytree(frame_dir, d)
+    for f in list(d.iterdir())[:10]:
+        shutil.copy(f, d / f"copy_{f.name}")
+    stream = frame_file_stream(spark, str(d))
+    analyzed, _ = jobs.process_frames(stream, stub_factory, dedup_watermark="10 minutes")
+    q = (analyzed.select("frame_key").writeStream.format("memory").queryName("dedup_t")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    n_files = len(list(d.iterdir()))
+    got = spark.sql("select count(*) n, count(distinct frame_key) k from dedup_t").first()
+    assert got.n == got.k == n_files - 10
+    q = jobs.start_pipeline(frame_file_stream(spark, str(d)), str(tmp_path / "out"), str(tmp_path / "ck2"),
+                            stub_factory, trigger={"availableNow": True}, dedup_watermark="10 minutes")
+    q.awaitTermination(300)
+    assert spark.read.text(str(tmp_path / "out" / "feed")).count() == n_files - 10

@@ -59,7 +59,8 @@ def cmd_live(spark, a) -> None:
         stream = frame_file_stream(spark, a.input, max_files_per_trigger=a.max_per_trigger)
     trigger = {"availableNow": True} if a.once else {"processingTime": a.trigger}
     q = jobs.start_pipeline(stream, a.out, a.checkpoint, _estimator(a.estimator), trigger,
-                            a.user_id and F.lit(a.user_id), a.partitions, not a.no_tables, a.tz)
+                            a.user_id and F.lit(a.user_id), a.partitions, not a.no_tables, a.tz,
+                            a.dedup_watermark)
     q.awaitTermination()
 
 
@@ -118,6 +119,7 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--estimator", default="recorded", choices=["recorded", "mediapipe"])
             s.add_argument("--partitions", type=int, default=None)
             s.add_argument("--no-tables", action="store_true")
+            s.add_argument("--dedup-watermark", default=None, help="e.g. '10 minutes'")
 
     s = sub.add_parser("report")
     s.add_argument("kind", choices=["calendar", "daily", "weekly", "weekly-landmarks"])

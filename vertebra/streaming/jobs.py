@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.codec import surrogate_key
-from ..functions.timeparts import DEFAULT_TZ
+from ..functions.timeparts import DEFAULT_TZ, parse_message_ts
 from ..operators import status as status_ops
 from ..operators import warehouse
 from ..operators.codec_ops import result_feed
@@ -30,15 +30,21 @@ def frame_key() -> Column:
 
 
 def process_frames(df: DataFrame, estimator_factory: Callable[[], Estimator],
-                   user_id: Column | str | None = None, partitions: int | None = None
-                   ) -> tuple[DataFrame, DataFrame]:
+                   user_id: Column | str | None = None, partitions: int | None = None,
+                   dedup_watermark: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages (``value`` BINARY, or already ``timestamp, image_data``) ->
-    (analysed frames, quarantined rows)."""
+    (analysed frames, quarantined rows).
+
+    ``dedup_watermark`` drops redelivered frames (same content key) before the
+    model runs; on a stream the dedup state is bounded by the watermark.
+    """
     if "value" in df.columns and "image_data" not in df.columns:
         df = decode_messages(df)
     good, bad = split_valid(df)
     uid = F.lit("default") if user_id is None else (F.col(user_id) if isinstance(user_id, str) else user_id)
     good = good.withColumns({"frame_key": frame_key(), "user_id": uid})
+    if dedup_watermark:
+        good = dedup_frames(good, dedup_watermark)
     good = infer_landmarks(good, estimator_factory, image="image", out="lm", partitions=partitions)
     return analyze(with_landmarks(good)), bad
 
@@ -92,7 +98,8 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[st
 def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
                    estimator_factory: Callable[[], Estimator], trigger: dict | None = None,
                    user_id: Column | str | None = None, partitions: int | None = None,
-                   load_tables: bool = True, tz: str = DEFAULT_TZ) -> StreamingQuery:
+                   load_tables: bool = True, tz: str = DEFAULT_TZ,
+                   dedup_watermark: str | None = None) -> StreamingQuery:
     """Live path: decode, infer, classify; per micro-batch write the result feed,
     the landing documents, the quarantine and (optionally) the warehouse tables."""
 
@@ -115,6 +122,14 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
 
     # live counters per micro-batch, reported in StreamingQueryProgress.observedMetrics
     stream = stream.observe("ingest", F.count(F.lit(1)).alias("n_messages"))
+    if dedup_watermark:
+        # redelivered frames are dropped across micro-batches (watermark-bounded state)
+        if "value" in stream.columns and "image_data" not in stream.columns:
+            stream = decode_messages(stream)
+        stream = (stream.withColumns({"event_ts": parse_message_ts("timestamp"), "frame_key": frame_key()})
+                  .withWatermark("event_ts", dedup_watermark)
+                  .dropDuplicatesWithinWatermark(["frame_key"])
+                  .drop("event_ts", "frame_key"))
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "500 milliseconds"}))
     return w.start()
