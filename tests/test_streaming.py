@@ -139,3 +139,18 @@ def test_redelivered_frames_dropped_before_inference(spark, frame_dir, tmp_path)
                             stub_factory, trigger={"availableNow": True}, dedup_watermark="10 minutes")
     q.awaitTermination(300)
     assert spark.read.text(str(tmp_path / "out" / "feed")).count() == n_files - 10
+
+
+def test_daily_counts_stream_matches_batch(spark, frame_dir, tmp_path):
+    from vertebra.functions.timeparts import local_time
+    stream = frame_file_stream(spark, frame_dir)
+    analyzed, _ = jobs.process_frames(stream, stub_factory)
+    q = jobs.daily_counts_stream(analyzed, str(tmp_path / "ck"), query_name="days_t",
+                                 trigger={"availableNow": True})
+    q.awaitTermination(300)
+    got = {(str(r.d), r.posture_correct): r.cnt for r in spark.sql(
+        "select to_date(from_utc_timestamp(day.start, 'Asia/Seoul')) d, posture_correct, cnt from days_t").collect()}
+    batch, _ = jobs.process_frames(read_frames(spark, frame_dir), stub_factory)
+    exp = {(str(r.d), r.posture_correct): r["count"] for r in batch.filter("posture_correct is not null")
+           .groupBy(F.to_date(local_time("event_ts")).alias("d"), "posture_correct").count().collect()}
+    assert got and all(exp[k] == v for k, v in got.items())  # finalised days equal the batch counts

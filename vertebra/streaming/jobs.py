@@ -168,15 +168,13 @@ def live_status_stream(analyzed: DataFrame, checkpoint: str, query_name: str = "
 
 
 def daily_counts_stream(analyzed: DataFrame, checkpoint: str, query_name: str = "daily_counts",
-                        watermark: str = "1 hour", tz: str = DEFAULT_TZ,
+                        watermark: str = "1 hour", start_time: str = "15 hours",
                         trigger: dict | None = None) -> StreamingQuery:
     """Per local day and class frame counts, finalised once the watermark passes
     the day (append mode, bounded state). Extension."""
-    local = F.from_utc_timestamp(F.col("event_ts"), tz).alias("local_ts")
-    a = (analyzed.withWatermark("event_ts", watermark)
-         .filter(F.col("posture_correct").isNotNull())
-         .withColumn("local_ts", local))
-    agg = (a.groupBy(F.window("event_ts", "1 day", startTime="15 hours").alias("day"),
+    # a local day in ``tz`` is a UTC window shifted by the zone offset (KST: 15:00 UTC)
+    a = analyzed.withWatermark("event_ts", watermark).filter(F.col("posture_correct").isNotNull())
+    agg = (a.groupBy(F.window("event_ts", "1 day", startTime=start_time).alias("day"),
                      "posture_correct").agg(F.count(F.lit(1)).alias("cnt")))
     w = (agg.writeStream.outputMode("append").format("memory").queryName(query_name)
          .option("checkpointLocation", checkpoint))
