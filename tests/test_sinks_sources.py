@@ -43,7 +43,7 @@ def test_landing_documents_shape(spark, tmp):
     files = [f for f in os.listdir(f"{tmp}/landing/batch_id=3") if f.endswith(".json")]
     docs = [json.loads(line) for f in files for line in open(f"{tmp}/landing/batch_id=3/{f}")]
     assert len(docs) == 5
-    assert set(docs[0]) == {"image_data", "timestamp", "analysis_result"}
+    assert set(docs[0]) == {"image_data", "timestamp", "analysis_result", "lm"}
     assert set(docs[0]["analysis_result"]) == {"cva_left", "cva_right", "fha_left", "fha_right",
                                                "posture_correct"}
 
