@@ -1,11 +1,10 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from vertebra.operators import reports
 from vertebra.plans import catalog
-from vertebra.schemas import AVG_COLUMNS, TB_DAILY_STAT
+from vertebra.schemas import TB_DAILY_STAT
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from vertebra.functions.timeparts import calendar_parts, message_ts_text, parse_message_ts
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
-import json
 import sys
 
 from pyspark.sql import functions as F

@@ -27,10 +27,6 @@ def _date(d) -> _dt.date:
     return d if isinstance(d, _dt.date) else _dt.date.fromisoformat(str(d))
 
 
-def mart_date(mart: DataFrame) -> Column:
-    return F.make_date("year_id", "month_id", "day_id")
-
-
 def score(correct: Column, incorrect: Column) -> Column:
     """``correct / total * 100`` to 2 decimals; 0 when there is nothing to score."""
     total = correct + incorrect
