@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import DEFAULT_TZ, local_time
-from .status import CARRY_BUCKET_US
+from .status import CARRY_BUCKET_US, _user_back, segment_keys
 
 # fixed value: capture cadence of the live client (milliseconds)
 CADENCE_MS = 600
@@ -21,18 +21,22 @@ CADENCE_MS = 600
 
 def with_prev_ts(df: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",
                  bucket_us: int = CARRY_BUCKET_US) -> DataFrame:
-    """Add ``prev_ts``: the instant of the user's previous frame in (ts, tiebreak) order."""
+    """``user, tiebreak, _us, prev_us``: epoch micro-seconds of each frame and of
+    the user's previous frame in (ts, tiebreak) order."""
+    dtype = dict(df.dtypes)[user]
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    d = df.withColumns({"_bucket": F.floor(us / F.lit(bucket_us)), "_us": us})
-    inside = Window.partitionBy(user, "_bucket").orderBy("_us", tiebreak)
+    d, uk = segment_keys(df.select(user, ts, tiebreak).withColumn("_us", us), user, ts, bucket_us)
+    d = d.drop(user, ts)
+    inside = Window.partitionBy(*uk, "_bucket").orderBy("_us", tiebreak)
     d = d.withColumn("_prev_in", F.lag("_us").over(inside))
-    # summary from the windowed rows (same partitioning, no second pass)
-    seg = d.groupBy(user, "_bucket").agg(F.max("_us").alias("_seg_max"))
-    across = Window.partitionBy(user).orderBy("_bucket")
-    seg = seg.select(user, "_bucket", F.lag("_seg_max").over(across).alias("_prev_seg"))
-    return (d.join(seg, [user, "_bucket"], "left")
-             .withColumn("prev_us", F.coalesce("_prev_in", "_prev_seg"))
-             .drop("_bucket", "_prev_in", "_prev_seg"))
+    # the summary reads the windowed rows (greatest(_us, _prev_in) = _us), so
+    # both branches carry the same columns and share one shuffle
+    seg = d.groupBy(*uk, "_bucket").agg(F.max(F.greatest("_us", "_prev_in")).alias("_seg_max"))
+    across = Window.partitionBy(*uk).orderBy("_bucket")
+    seg = seg.select(*uk, "_bucket", F.lag("_seg_max").over(across).alias("_prev_seg"))
+    return (d.join(seg, [*uk, "_bucket"], "left")
+             .select(_user_back(user, dtype), tiebreak, "_us",
+                     F.coalesce("_prev_in", "_prev_seg").alias("prev_us")))
 
 
 def capture_gaps(df: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",
@@ -41,8 +45,8 @@ def capture_gaps(df: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak:
     longer than twice the cadence.  A gap belongs to the day of its later frame."""
     d = with_prev_ts(df, user, ts, tiebreak)
     gap = (F.col("_us") - F.col("prev_us"))
-    d = d.select(user, F.date_format(local_time(ts, tz), "yyyy-MM-dd").alias("day_value"),
-                 gap.alias("_gap"))
+    day = F.date_format(local_time(F.timestamp_micros("_us"), tz), "yyyy-MM-dd")
+    d = d.select(user, day.alias("day_value"), gap.alias("_gap"))
     g = d.groupBy(user, "day_value").agg(
         F.count(F.lit(1)).alias("n_frames"), F.count("_gap").alias("n_gaps"),
         F.max("_gap").alias("_max"), F.sum("_gap").alias("_sum"),

@@ -64,7 +64,8 @@ def calendar_map_value(mart: DataFrame, year: int) -> DataFrame:
 def calendar_grid(mart: DataFrame, today: _dt.date | str, year: int | None = None,
                   month: int | None = None) -> DataFrame:
     """Day cells of every month with data (or of one month), with weekday, weekend,
-    today and has-data flags.  ``weekday`` is 0 = Sunday .. 6 = Saturday.
+    today and has-data flags (and, for months with data, ``days_with_data``).
+    ``weekday`` is 0 = Sunday .. 6 = Saturday.
 
     Both sides hold at most one row per calendar day spanned, so the day-set
     join is broadcast on a proven bound.
@@ -75,16 +76,19 @@ def calendar_grid(mart: DataFrame, today: _dt.date | str, year: int | None = Non
         months = mart.sparkSession.range(1).select(F.lit(year).alias("year_id"),
                                                    F.lit(month).alias("month_id"))
     else:
-        months = days.select("year_id", "month_id").distinct()
+        # a counting aggregate (not a bare distinct) keeps Catalyst from folding
+        # it into a second pass over the mart: both branches share the day set
+        months = days.groupBy("year_id", "month_id").agg(F.count(F.lit(1)).alias("days_with_data"))
     first = F.make_date("year_id", "month_id", F.lit(1))
-    grid = (months.select("year_id", "month_id",
+    extra = ["days_with_data"] if "days_with_data" in months.columns else []
+    grid = (months.select("year_id", "month_id", *extra,
                           F.explode(F.sequence(first, F.last_day(first))).alias("_d"))
-            .select("year_id", "month_id", F.dayofmonth("_d").alias("day_id"),
+            .select("year_id", "month_id", *extra, F.dayofmonth("_d").alias("day_id"),
                     (F.dayofweek("_d") - 1).alias("weekday"),
                     ((F.dayofmonth("_d") + F.dayofweek(first) - 2) / 7).cast("int").alias("week_row")))
     flags = days.select("year_id", "month_id", "day_id", F.lit(True).alias("_has"))
     return (grid.join(F.broadcast(flags), ["year_id", "month_id", "day_id"], "left")
-            .select("year_id", "month_id", "day_id", "weekday", "week_row",
+            .select("year_id", "month_id", "day_id", *extra, "weekday", "week_row",
                     (F.col("weekday") == 0).alias("is_sunday"),
                     (F.col("weekday") == 6).alias("is_saturday"),
                     ((F.col("year_id") == t.year) & (F.col("month_id") == t.month)

@@ -21,31 +21,52 @@ def status_label(posture: Column | str, good: str = GOOD_LABEL, bad: str = BAD_L
     return F.when(p == F.lit(True), F.lit(good)).when(p == F.lit(False), F.lit(bad))
 
 
+def segment_keys(df: DataFrame, user: str, ts: str, bucket_us: int) -> tuple[DataFrame, list[str]]:
+    """Add non-nullable segment keys: (user is NULL, user or a default, time bucket).
+
+    Non-nullable keys keep Catalyst from inferring ``IsNotNull`` filters on one
+    branch of the join back, which would make the two branches differ and
+    defeat the reuse of their shared shuffle.  NULL users stay one group.
+    """
+    dt = dict(df.dtypes)[user]
+    default = F.lit("") if dt == "string" else F.lit(0).cast(dt)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return (df.withColumns({"_unull": F.col(user).isNull(), "_ukey": F.coalesce(F.col(user), default),
+                            "_bucket": F.coalesce(F.floor(us / F.lit(bucket_us)), F.lit(-(1 << 62)))}),
+            ["_unull", "_ukey"])
+
+
+def _user_back(user: str, dtype: str) -> Column:
+    return F.when(F.col("_unull"), F.lit(None).cast(dtype)).otherwise(F.col("_ukey")).alias(user)
+
+
 def status_carry(df: DataFrame, label: str = "status_label", user: str = "user_id",
                  ts: str = "ts", tiebreak: str = "event_id", out: str = "status",
                  bucket_us: int = CARRY_BUCKET_US) -> DataFrame:
-    """Carry the last non-NULL label forward per user, in (ts, tiebreak) order.
+    """``user, ts, tiebreak, out``: the last non-NULL label so far per user, in
+    (ts, tiebreak) order (join back on ``tiebreak`` for other columns).
 
     A window over the whole user would put a heavy user in one task; instead
     the scan is split into (user, time bucket) segments: a window inside each
     segment, then a carry of each segment's last label across segments, which
-    is a window over one small row per segment.
+    is a window over one small row per segment.  Both branches read the same
+    narrow columns, so they share one shuffle of the frames.
     """
-    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_us))
-    d = df.withColumn("_bucket", b)
-    inside = Window.partitionBy(user, "_bucket").orderBy(ts, tiebreak).rowsBetween(
+    dtype = dict(df.dtypes)[user]
+    d, uk = segment_keys(df.select(user, ts, tiebreak, label), user, ts, bucket_us)
+    d = d.drop(user)
+    inside = Window.partitionBy(*uk, "_bucket").orderBy(ts, tiebreak).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_local", F.last(label, ignorenulls=True).over(inside))
     # the segment summary is read off the windowed rows: they are already
-    # partitioned by (user, bucket) and sorted, so neither the summary nor the
-    # join back shuffles the large side again (the exchange below is reused)
-    seg = d.groupBy(user, "_bucket").agg(
+    # partitioned by (user, bucket) and sorted, so the summary needs no shuffle
+    seg = d.groupBy(*uk, "_bucket").agg(
         F.max_by("_local", F.struct(F.col(ts), F.col(tiebreak))).alias("_seg_last"))
-    across = Window.partitionBy(user).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select(user, "_bucket", F.last("_seg_last", ignorenulls=True).over(across).alias("_carry_in"))
-    return (d.join(seg, [user, "_bucket"], "left")
-             .withColumn(out, F.coalesce("_local", "_carry_in"))
-             .drop("_bucket", "_local", "_carry_in"))
+    across = Window.partitionBy(*uk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.select(*uk, "_bucket", F.last("_seg_last", ignorenulls=True).over(across).alias("_carry_in"))
+    return (d.join(seg, [*uk, "_bucket"], "left")
+             .select(_user_back(user, dtype), ts, tiebreak,
+                     F.coalesce("_local", "_carry_in").alias(out)))
 
 
 def live_status(df: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",

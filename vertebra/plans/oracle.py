@@ -315,12 +315,12 @@ SELECT *, {SCORE} AS score FROM w""",
 
     "q_calendar_grid": _with(*BASE) + """,
 days AS (SELECT DISTINCT year_id, month_id, day_id FROM mart),
-months AS (SELECT DISTINCT year_id, month_id FROM days),
+months AS (SELECT year_id, month_id, count(*) AS days_with_data FROM days GROUP BY year_id, month_id),
 g AS (
-  SELECT year_id, month_id, unnest(generate_series(make_date(year_id, month_id, 1),
+  SELECT year_id, month_id, days_with_data, unnest(generate_series(make_date(year_id, month_id, 1),
          last_day(make_date(year_id, month_id, 1)), INTERVAL 1 DAY))::DATE AS d
   FROM months)
-SELECT g.year_id, g.month_id, day(d)::INTEGER AS day_id, dayofweek(d)::INTEGER AS weekday,
+SELECT g.year_id, g.month_id, day(d)::INTEGER AS day_id, g.days_with_data, dayofweek(d)::INTEGER AS weekday,
        ((day(d) + dayofweek(make_date(g.year_id, g.month_id, 1)) - 1) // 7)::INTEGER AS week_row,
        dayofweek(d) = 0 AS is_sunday, dayofweek(d) = 6 AS is_saturday,
        d = DATE '2024-01-31' AS is_today, days.day_id IS NOT NULL AS has_data

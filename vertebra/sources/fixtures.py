@@ -23,15 +23,18 @@ LANDMARK_WIDTH = 12  # LS xyz, RS xyz, LE xyz, RE xyz
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, user_id, ts (UTC, NTZ), event_type, props, lm array<double>``.
 
-    The embedding count enters as a scalar subquery, so the lookup is a plain
-    equi-join on ``vec_id`` (uniform keys; Catalyst/AQE choose the strategy by
-    the measured size of ``embeddings``).
+    The lookup is a plain equi-join on ``vec_id`` (uniform keys; Catalyst/AQE
+    choose the strategy by the measured size of ``embeddings``).  The embedding
+    count is taken once when the plan is built (a single number, answered from
+    parquet metadata) and enters as a literal: a scalar subquery would get a
+    fresh id in every branch of a plan and block the reuse of shared shuffles.
     """
     ev = read_table(spark, sf_dir, "events", EVENTS).select("event_id", "user_id", "ts",
                                                      "event_type", "props")
     emb = read_table(spark, sf_dir, "embeddings", EMBEDDINGS).select("vec_id", "embedding")
-    n = emb.select(F.count(F.lit(1))).scalar()
-    ev = ev.withColumn("vec_key", F.col("event_id") % n)
+    n = emb.count()
+    key = F.col("event_id") % F.lit(n) if n else F.lit(None).cast("long")
+    ev = ev.withColumn("vec_key", key)
     j = ev.join(emb, ev.vec_key == emb.vec_id, "inner")
     lm = F.when(F.col("event_type") != "error",
                 F.slice("embedding", 1, LANDMARK_WIDTH).cast("array<double>"))
