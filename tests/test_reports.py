@@ -99,3 +99,18 @@ def test_reports_prune_stored_mart_partitions(spark, mart01, tmp):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [" in plan and "year_id" in plan.split("PartitionFilters: [")[1][:400]
     assert reports.weekly_score(stored, "2024-01-31").first().score == 77.27
+
+
+def test_calendar_grid_single_month_without_data(spark, mart01):
+    g = reports.calendar_grid(mart01, "2024-02-10", year=2024, month=2).orderBy("day_id").collect()
+    assert len(g) == 29 and not any(r.has_data for r in g)  # leap year February
+    assert [r.is_today for r in g].index(True) == 9
+    assert g[0].weekday == 4  # 2024-02-01 is a Thursday
+
+
+def test_with_user_keeps_every_fact(spark):
+    from vertebra.operators import warehouse
+    f = catalog.facts(spark, "/root/testdata/sf0.001")
+    u = warehouse.user_dim(f)
+    j = warehouse.with_user(f, u)
+    assert j.count() == f.count() and j.filter("user_name is null").count() == 0

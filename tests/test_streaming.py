@@ -154,3 +154,15 @@ def test_daily_counts_stream_matches_batch(spark, frame_dir, tmp_path):
     exp = {(str(r.d), r.posture_correct): r["count"] for r in batch.filter("posture_correct is not null")
            .groupBy(F.to_date(local_time("event_ts")).alias("d"), "posture_correct").count().collect()}
     assert got and all(exp[k] == v for k, v in got.items())  # finalised days equal the batch counts
+
+
+def test_landing_file_sink_exactly_once(spark, frame_dir, tmp_path):
+    analyzed, _ = jobs.process_frames(frame_file_stream(spark, frame_dir), stub_factory)
+    for _ in range(2):  # a restart on the same checkpoint writes nothing twice
+        q = jobs.start_landing_sink(analyzed, str(tmp_path / "landing"), str(tmp_path / "ck"),
+                                    trigger={"availableNow": True})
+        q.awaitTermination(300)
+    n_files = len([f for f in os.listdir(frame_dir) if f.endswith(".json")])
+    back = spark.read.schema(__import__("vertebra.schemas", fromlist=["x"]).LANDED_DOCUMENT) \
+        .json(str(tmp_path / "landing"))
+    assert back.count() == n_files

@@ -146,6 +146,12 @@ def star(facts: DataFrame, dims: dict[str, DataFrame], images: DataFrame | None
     return out
 
 
+def with_user(df: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
+    """User attributes from the user dimension (left join; the dimension grows
+    with the data, so the planner's size check decides whether to broadcast)."""
+    return df.join(users, key, "left")
+
+
 def attach_images(facts: DataFrame, images: DataFrame) -> DataFrame:
     """Fact rows with their image bytes (equi-join on ``img_filename``)."""
     return facts.join(images, "img_filename", "inner")

@@ -135,6 +135,20 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
     return w.start()
 
 
+def start_landing_sink(analyzed: DataFrame, path: str, checkpoint: str,
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Landing documents through the streaming JSON file sink: exactly-once via
+    the sink's commit log (readers of ``path`` see only committed files)."""
+    lm = F.col("lm") if "lm" in analyzed.columns else F.lit(None).cast("array<double>")
+    doc = analyzed.select("image_data", "timestamp",
+                          F.struct("cva_left", "cva_right", "fha_left", "fha_right",
+                                   "posture_correct").alias("analysis_result"), lm.alias("lm"))
+    w = doc.writeStream.format("json").option("checkpointLocation", checkpoint)
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start(path)
+
+
 def start_loader(landed_stream: DataFrame, out_base: str, checkpoint: str,
                  trigger: dict | None = None, user_id: Column | str | None = None,
                  tz: str = DEFAULT_TZ, estimator_factory: Callable[[], Estimator] | None = None
