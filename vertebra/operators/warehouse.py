@@ -78,7 +78,10 @@ def calendar_dims(facts: DataFrame, tz: str = DEFAULT_TZ, materialize: bool = Fa
     facts again; ``materialize`` checkpoints the small day set once (shared
     checkpoint folder) and derives the four dimensions from it.
     """
-    days = facts.select("year_id", "month_id", "day_id", "week_id").distinct()
+    # a dimension row needs its key; stating that here also keeps plans that
+    # join this set against itself free of one-sided inferred filters
+    keyed = F.col("year_id").isNotNull() & F.col("month_id").isNotNull() & F.col("day_id").isNotNull()
+    days = facts.filter(keyed).select("year_id", "month_id", "day_id", "week_id").distinct()
     if materialize:
         from ..session import cut_lineage
         days = cut_lineage(days)

@@ -171,9 +171,9 @@ def _dim(name):
 
 def q_dim_upsert(spark, sf_dir):
     f = facts(spark, sf_dir)
-    cutoff = F.make_date("year_id", "month_id", "day_id") < F.lit(UPSERT_CUTOFF)
-    existing = warehouse.calendar_dims(f.filter(cutoff), TZ)["day"]
     incoming = warehouse.calendar_dims(f, TZ)["day"]
+    # the stored dimension as a load before the cutoff day would have left it
+    existing = incoming.filter(F.make_date("year_id", "month_id", "day_id") < F.lit(UPSERT_CUTOFF))
     return warehouse.merged_dim(existing, incoming, warehouse.DIM_KEYS["day"])
 
 
