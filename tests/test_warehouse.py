@@ -53,3 +53,15 @@ def test_attach_images_and_binary_source(spark, tmp):
     facts = spark.createDataFrame([("image_1.jpg", True)], "img_filename string, posture_status boolean")
     r = warehouse.attach_images(facts, imgs).collect()
     assert len(r) == 1 and bytes(r[0].image) == bytes([255, 216, 1]) and r[0].file_size == 3
+
+
+def test_append_new_reads_only_touched_partitions(spark, tmp):
+    f = catalog.facts(spark, SF).drop("landmarks")
+    p = f"{tmp}/facts_p"
+    writers.write_facts(f.filter("day_id < 20"), p)
+    later = f.filter("day_id >= 20")
+    added = writers.write_facts(later, p)
+    plan = added._jdf.queryExecution().executedPlan().toString()
+    scan = [ln for ln in plan.splitlines() if "FileScan" in ln and "struct<posture_id:string>" in ln]
+    assert scan and "month_id" in scan[0].split("PartitionFilters: [")[1].split("]")[0]
+    assert spark.read.parquet(p).count() == f.count()

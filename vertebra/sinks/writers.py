@@ -42,13 +42,27 @@ def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str
                fmt: str = "parquet") -> DataFrame:
     """Append rows whose key is not stored yet, each key once; returns what was added.
 
-    When the table is partitioned and the partition columns are part of the
-    join, dynamic partition pruning limits the existing-side scan to the
-    partitions the new rows touch.
+    When the table is partitioned, only the partitions the new rows touch are
+    read for the key check (static partition filter).
     """
     fresh = df.dropDuplicates(keys)
     if _exists(df, path):
         existing = df.sparkSession.read.format(fmt).load(path)
+        if partition_by:
+            # read only the partitions this batch touches: its distinct partition
+            # values (calendar months for facts) are a short list, applied as a
+            # static filter so the scan prunes every other partition
+            touched = [tuple(r) for r in fresh.select(*partition_by).distinct().collect()]
+            if not touched:
+                return fresh
+            cond = None
+            for vals in touched:
+                c = None
+                for col, v in zip(partition_by, vals):
+                    e = F.col(col).isNull() if v is None else (F.col(col) == F.lit(v))
+                    c = e if c is None else c & e
+                cond = c if cond is None else cond | c
+            existing = existing.filter(cond)
         jk = list(dict.fromkeys((partition_by or []) + keys))
         fresh = fresh.join(existing.select(*jk), jk, "left_anti")
     # the existing side's file list is fixed when it is read above, so the
