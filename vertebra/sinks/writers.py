@@ -76,9 +76,13 @@ def write_facts(facts: DataFrame, path: str) -> DataFrame:
     return append_new(facts, path, ["posture_id"], FACT_PARTITIONS)
 
 
-def write_images(images: DataFrame, path: str) -> DataFrame:
-    """Image blobs keyed by ``img_filename`` (bytes stay out of the fact table)."""
-    return append_new(images, path, ["img_filename"])
+def write_images(images: DataFrame, path: str, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Image blobs keyed by ``img_filename`` (bytes stay out of the fact table),
+    partitioned by local capture year and month like the facts, so the key
+    check of each batch reads only the months it touches."""
+    local = F.from_utc_timestamp(F.col("capture_time"), tz)
+    parts = images.withColumns({"year_id": F.year(local), "month_id": F.month(local)})
+    return append_new(parts, path, ["img_filename"], FACT_PARTITIONS)
 
 
 def write_daily_stat(mart: DataFrame, path: str) -> None:

@@ -86,7 +86,7 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[st
         images = warehouse.to_images(analyzed, key="frame_key", ts="event_ts", image="image", tz=tz,
                                      keep_bytes=True)
         out = {"facts": writers.write_facts(facts, writers.table_path(base, "tb_posture")),
-               "images": writers.write_images(images, writers.table_path(base, "tb_image"))}
+               "images": writers.write_images(images, writers.table_path(base, "tb_image"), tz)}
         for name, dim in warehouse.to_dims(facts, tz).items():
             out[name] = writers.append_new(dim, writers.table_path(base, f"tb_{name}"),
                                            warehouse.DIM_KEYS[name])
