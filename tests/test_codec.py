@@ -41,3 +41,12 @@ def test_quarantine_reasons(spark):
     good, bad = split_valid(decode_messages(df))
     assert good.count() == 1
     assert sorted(r.reason for r in bad.collect()) == ["bad_hex", "bad_json", "bad_timestamp"]
+
+
+def test_bad_browser_posts_are_quarantined(spark):
+    from vertebra.operators.codec_ops import encode_frames_checked
+    df = spark.createDataFrame([(1, "abc"), (2, "data:x;base64,!!!!"), (3, "data:x;base64,/9g=")],
+                               "id int, image string").withColumn("ts", F.current_timestamp())
+    good, bad = encode_frames_checked(df, keep=("id",))
+    assert [r.id for r in good.collect()] == [3]
+    assert {r.id: r.reason for r in bad.collect()} == {1: "bad_data_url", 2: "bad_base64"}

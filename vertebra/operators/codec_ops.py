@@ -24,6 +24,21 @@ def encode_frames(df: DataFrame, data_url: str = "image", ts: str = "ts", tz: st
     return df.select(*keep, msg.alias("value"))
 
 
+def encode_frames_checked(df: DataFrame, data_url: str = "image", ts: str = "ts",
+                          tz: str = DEFAULT_TZ, keep: tuple[str, ...] = ()
+                          ) -> tuple[DataFrame, DataFrame]:
+    """(messages, quarantined posts): a post without a payload field, or whose
+    payload is not base64, is set aside with its ``reason`` instead of being
+    sent on with an empty image."""
+    payload = data_url_payload(data_url)
+    reason = (F.when(payload.isNull(), F.lit("bad_data_url"))
+              .when(decode_base64(payload).isNull(), F.lit("bad_base64")))
+    checked = df.withColumn("reason", reason)
+    good = encode_frames(checked.filter(F.col("reason").isNull()), data_url, ts, tz, keep)
+    bad = checked.filter(F.col("reason").isNotNull()).select(*keep, data_url, ts, "reason")
+    return good, bad
+
+
 def result_feed(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One JSON object of the five analysis fields per frame (nulls kept)."""
     return df.select(*keep, to_json_keep_nulls(*[F.col(c) for c in RESULT_FIELDS]).alias("value"))
