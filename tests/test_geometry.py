@@ -80,3 +80,19 @@ def test_angle_matches_numpy_and_range(spark, v):
     else:
         assert 0.0 <= got <= 180.0
         assert got == exp
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(coord, min_size=12, max_size=12), min_size=1, max_size=20))
+def test_staged_form_equals_three_point_form(spark, rows):
+    from vertebra.functions.geometry import cva, fha, midpoint
+    df = with_landmarks(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, lm array<double>"))
+    lmk = F.col("landmarks")
+    c7 = midpoint(lmk["ls"], lmk["rs"])
+    ref = df.select("id", cva(lmk["le"], c7).alias("a"), cva(lmk["re"], c7).alias("b"),
+                    fha(lmk["le"], c7).alias("c"), fha(lmk["re"], c7).alias("d"))
+    got = analyze(df).select("id", F.col("cva_left").alias("a"), F.col("cva_right").alias("b"),
+                             F.col("fha_left").alias("c"), F.col("fha_right").alias("d"))
+    norm = lambda rs: sorted((r.id, *[None if v is None else ("nan" if math.isnan(v) else v)
+                                     for v in (r.a, r.b, r.c, r.d)]) for r in rs)
+    assert norm(got.collect()) == norm(ref.collect())
