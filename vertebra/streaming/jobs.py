@@ -75,6 +75,8 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[st
     The same function serves the batch job, the loader stream and the live
     stream, so batch and stream produce the same tables.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark import StorageLevel
 
     # seven writes share one pass over the input and the inference stage; a
@@ -85,11 +87,16 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[st
                                    keep_landmarks="landmarks" in analyzed.columns)
         images = warehouse.to_images(analyzed, key="frame_key", ts="event_ts", image="image", tz=tz,
                                      keep_bytes=True)
-        out = {"facts": writers.write_facts(facts, writers.table_path(base, "tb_posture")),
-               "images": writers.write_images(images, writers.table_path(base, "tb_image"), tz)}
+        tasks = {"facts": lambda: writers.write_facts(facts, writers.table_path(base, "tb_posture")),
+                 "images": lambda: writers.write_images(images, writers.table_path(base, "tb_image"), tz)}
         for name, dim in warehouse.to_dims(facts, tz).items():
-            out[name] = writers.append_new(dim, writers.table_path(base, f"tb_{name}"),
-                                           warehouse.DIM_KEYS[name])
+            tasks[name] = (lambda n=name, d=dim: writers.append_new(
+                d, writers.table_path(base, f"tb_{n}"), warehouse.DIM_KEYS[n]))
+        # the writes are independent Spark jobs: submit them together so the
+        # small dimension jobs overlap instead of queueing behind each other
+        with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+            futures = {name: pool.submit(fn) for name, fn in tasks.items()}
+            out = {name: f.result() for name, f in futures.items()}
     finally:
         analyzed.unpersist()
     return out
