@@ -69,7 +69,8 @@ def landed_to_frames(landed: DataFrame, user_id: Column | str | None = None,
     return with_landmarks(frames)
 
 
-def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[str, DataFrame]:
+def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ,
+                concurrent: bool = True) -> dict[str, DataFrame]:
     """Write facts, images and dimension upserts for a set of analysed frames.
 
     The same function serves the batch job, the loader stream and the live
@@ -94,7 +95,7 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ) -> dict[st
                 d, writers.table_path(base, f"tb_{n}"), warehouse.DIM_KEYS[n]))
         # the writes are independent Spark jobs: submit them together so the
         # small dimension jobs overlap instead of queueing behind each other
-        with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        with ThreadPoolExecutor(max_workers=len(tasks) if concurrent else 1) as pool:
             futures = {name: pool.submit(fn) for name, fn in tasks.items()}
             out = {name: f.result() for name, f in futures.items()}
     finally:
