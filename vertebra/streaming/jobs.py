@@ -84,6 +84,7 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ,
     # lost executor only recomputes its blocks (ids are deterministic)
     analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        analyzed.count()  # one inference pass fills the cache; the writes only read it
         facts = warehouse.to_facts(analyzed, key="frame_key", ts="event_ts", user="user_id", tz=tz,
                                    keep_landmarks="landmarks" in analyzed.columns)
         images = warehouse.to_images(analyzed, key="frame_key", ts="event_ts", image="image", tz=tz,
@@ -117,13 +118,24 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
         analyzed, bad = process_frames(batch, estimator_factory, user_id, partitions)
         analyzed = analyzed.persist()  # several sinks share one inference pass
         try:
-            writers.write_feed(result_feed(analyzed), writers.table_path(out_base, "feed"), batch_id)
-            writers.write_landing(analyzed, writers.table_path(out_base, "landing"), batch_id)
-            writers.overwrite_partitions(
-                bad.select("timestamp", "image_data", "reason").withColumn("batch_id", F.lit(batch_id)),
-                writers.table_path(out_base, "quarantine"), ["batch_id"])
+            from concurrent.futures import ThreadPoolExecutor
+
+            analyzed.count()  # build the cache once, before the sinks read it concurrently
+
+            tasks = [
+                lambda: writers.write_feed(result_feed(analyzed), writers.table_path(out_base, "feed"),
+                                           batch_id),
+                lambda: writers.write_landing(analyzed, writers.table_path(out_base, "landing"), batch_id),
+                lambda: writers.overwrite_partitions(
+                    bad.select("timestamp", "image_data", "reason").withColumn("batch_id", F.lit(batch_id)),
+                    writers.table_path(out_base, "quarantine"), ["batch_id"]),
+            ]
             if load_tables:
-                load_frames(analyzed, out_base, tz)
+                tasks.append(lambda: load_frames(analyzed, out_base, tz))
+            # independent sinks over the persisted batch: run them as concurrent jobs
+            with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+                for f in [pool.submit(t) for t in tasks]:
+                    f.result()
         finally:
             analyzed.unpersist()
             batch.unpersist()
