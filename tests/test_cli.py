@@ -21,5 +21,7 @@ def test_load_daily_report_end_to_end(spark, tmp, capsys):
     assert 0 <= score["score"] <= 100
     main(["report", "calendar", "--out", f"{tmp}/wh", "--year", "2024"])
     assert "data_by_month" in capsys.readouterr().out
+    main(["report", "weekly-chart", "--out", f"{tmp}/wh", "--date", "2024-01-07"])
+    assert len(capsys.readouterr().out.strip().splitlines()) in (4, 8)
     main(["live", "--input", f"{tmp}/in", "--out", f"{tmp}/live", "--checkpoint", f"{tmp}/ck", "--once"])
     assert spark.read.parquet(f"{tmp}/live/tb_posture").count() == n

@@ -114,3 +114,11 @@ def test_with_user_keeps_every_fact(spark):
     u = warehouse.user_dim(f)
     j = warehouse.with_user(f, u)
     assert j.count() == f.count() and j.filter("user_name is null").count() == 0
+
+
+def test_weekly_chart_segments(mart01):
+    wl = reports.weekly_landmarks(mart01, "2024-01-31")
+    seg = reports.skeleton_segments(wl, negate_y=True).collect()
+    assert len(seg) == 8 and {r.point for r in seg} == {"left_shoulder", "right_shoulder", "left_ear", "right_ear"}
+    r = seg[0]
+    assert r.y_lo <= r.y <= r.y_hi and r.y_lo <= r.c7_y <= r.y_hi

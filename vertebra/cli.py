@@ -4,7 +4,8 @@
   daily    facts -> daily mart, all days or one day (idempotent per day)
   live     frame stream (Kafka or a folder of frame files) -> feed, landing, quarantine, tables
   loader   landing-zone stream -> facts, images, dimensions
-  report   calendar | daily | weekly | weekly-landmarks over the stored mart (JSON lines)
+  report   calendar | daily | weekly | weekly-landmarks | weekly-chart | daily-chart
+           over the stored mart (JSON lines)
 
 The pose model is a plug-in: ``--estimator recorded`` reads landmarks carried
 in the payload; ``--estimator mediapipe`` needs MediaPipe and OpenCV.
@@ -78,6 +79,12 @@ def cmd_report(spark, a) -> None:
         df = reports.daily_report(mart, a.date)
     elif a.kind == "weekly":
         df = reports.weekly_score(mart, a.date, a.mode)
+    elif a.kind == "weekly-chart":
+        df = reports.skeleton_segments(reports.weekly_landmarks(mart, a.date, a.mode), negate_y=True)
+    elif a.kind == "daily-chart":
+        d = dt.date.fromisoformat(a.date)
+        df = reports.skeleton_segments(mart.filter((F.col("year_id") == d.year) & (F.col("month_id") == d.month)
+                                                   & (F.col("day_id") == d.day)))
     else:
         df = reports.weekly_landmarks(mart, a.date, a.mode)
     # report results are a handful of rows (the API response)
@@ -121,7 +128,8 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--dedup-watermark", default=None, help="e.g. '10 minutes'")
 
     s = sub.add_parser("report")
-    s.add_argument("kind", choices=["calendar", "daily", "weekly", "weekly-landmarks"])
+    s.add_argument("kind", choices=["calendar", "daily", "weekly", "weekly-landmarks", "weekly-chart",
+                                    "daily-chart"])
     s.add_argument("--out", required=True)
     s.add_argument("--year", type=int, default=dt.date.today().year)
     s.add_argument("--date", default=dt.date.today().isoformat())

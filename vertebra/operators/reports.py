@@ -202,7 +202,13 @@ def weekly_landmarks(mart: DataFrame, end: _dt.date | str, mode: str = "calendar
 
 def skeleton_segments(mart: DataFrame, negate_y: bool = False) -> DataFrame:
     """Chart data: one row per (day, class, body point) with the C7 end of its
-    segment and the y-axis bounds (min/max y of the five points +- 60 % of range)."""
+    segment and the y-axis bounds (min/max y of the five points +- 60 % of range).
+
+    Works on any frame with the 15 mean columns: mart rows (daily charts) or
+    ``weekly_landmarks`` rows (the weekly chart, drawn with ``negate_y``).
+    """
+    keys = [c for c in ("daily_stat_id", "year_id", "month_id", "day_id", "posture_correct")
+            if c in mart.columns]
     sgn = -1.0 if negate_y else 1.0
     ys = [F.col(f"avg_{p}_y") * sgn for p in POINT_NAMES]
     lo, hi = F.least(*ys), F.greatest(*ys)
@@ -210,13 +216,12 @@ def skeleton_segments(mart: DataFrame, negate_y: bool = False) -> DataFrame:
     pts = F.array(*[F.struct(F.lit(p).alias("point"), F.col(f"avg_{p}_x").alias("x"),
                              (F.col(f"avg_{p}_y") * sgn).alias("y"), F.col(f"avg_{p}_z").alias("z"))
                     for p in POINT_NAMES[:-1]])
-    return (mart.select("daily_stat_id", "year_id", "month_id", "day_id", "posture_correct",
+    return (mart.select(*keys,
                         F.col("avg_c7_x").alias("c7_x"), (F.col("avg_c7_y") * sgn).alias("c7_y"),
                         F.col("avg_c7_z").alias("c7_z"),
                         (lo - rng * AXIS_MARGIN).alias("y_lo"), (hi + rng * AXIS_MARGIN).alias("y_hi"),
                         F.inline(pts))
-            .select("daily_stat_id", "year_id", "month_id", "day_id", "posture_correct", "point",
-                    "x", "y", "z", "c7_x", "c7_y", "c7_z", "y_lo", "y_hi"))
+            .select(*keys, "point", "x", "y", "z", "c7_x", "c7_y", "c7_z", "y_lo", "y_hi"))
 
 
 def score_rollup(mart: DataFrame) -> DataFrame:
