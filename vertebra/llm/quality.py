@@ -23,15 +23,16 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
-#: A rule: its name, a measure over FEATURES, at most which value it votes good, from which bad.
+#: A rule: its name, a measure over FEATURES, at most which value it votes good, from which
+#: bad, and the share of its bad votes that are believed right to begin with.
 RULES = (
-    ("symbols per word", lambda f: f["n_symbols"] / f["n_words"], 0.05, 0.15),
-    ("duplicate lines", lambda f: f["n_dup_lines"] / f["n_lines"], 0.05, 0.30),
-    ("repeated words", lambda f: f["n_repeat_words"] / f["n_words"], 0.05, 0.20),
-    ("capitals", lambda f: f["n_upper"] / f["n_letters"], 0.20, 0.60),
-    ("exclamation marks per word", lambda f: f["n_marks"] / f["n_words"], 0.10, 0.50),
-    ("mean word length off 6", lambda f: F.abs(f["word_chars"] / f["n_words"] - 6), 2.5, 5.0),
-    ("few words", lambda f: 25.0 / f["n_words"], 0.8, 2.5),
+    ("symbols per word", lambda f: f["n_symbols"] / f["n_words"], 0.05, 0.15, 0.98),
+    ("duplicate lines", lambda f: f["n_dup_lines"] / f["n_lines"], 0.05, 0.30, 0.9),
+    ("repeated words", lambda f: f["n_repeat_words"] / f["n_words"], 0.05, 0.20, 0.95),
+    ("capitals", lambda f: f["n_upper"] / f["n_letters"], 0.20, 0.60, 0.95),
+    ("exclamation marks per word", lambda f: f["n_marks"] / f["n_words"], 0.10, 0.50, 0.95),
+    ("mean word length off 6", lambda f: F.abs(f["word_chars"] / f["n_words"] - 6), 2.5, 5.0, 0.7),
+    ("few words", lambda f: 25.0 / f["n_words"], 0.8, 2.5, 0.5),
 )
 
 
@@ -95,12 +96,18 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{f} long" for f in FEATURES]]))
 
 
+#: Where the estimate starts: the share of bad documents.
+BAD = 0.15
+#: Weight of that start against the documents' votes.
+BELIEF = 4.0
+
+
 def vote(measured: DataFrame) -> DataFrame:
     """Adds pattern: one digit per rule, 0 bad, 1 abstain, 2 good.  A measure that does not
     exist (no words, lines or letters) abstains."""
     f = {c: F.col(c) for c in FEATURES} | {c: F.when(F.col(c) > 0, F.col(c)) for c in ("n_words", "n_lines", "n_letters")}
     digits = []
-    for _, value, good, bad in RULES:
+    for _, value, good, bad, _ in RULES:
         x = value(f)
         digits.append(F.when(x <= good, "2").when(x >= bad, "0").otherwise("1"))
     return measured.withColumn("pattern", F.concat(*digits))
@@ -109,27 +116,31 @@ def vote(measured: DataFrame) -> DataFrame:
 def estimate(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, from the numbers of documents.
 
-    Votes are independent given the class.  It starts from rules that are right in 8 of
-    10 votes, which says what good means; counts are smoothed by one document.
+    Votes are independent given the class.  It starts from a share of BAD bad documents
+    that get PRECISE of each rule's bad votes and their share of all other votes: a rule
+    is taken to find its own kind of bad document, and not to know the others.  This belief
+    stays as a prior worth BELIEF documents per document: without it, rules that often
+    fire together would claim the bad class for themselves.
     """
     keys = sorted(patterns)
     if not keys:
         return {}
     n = np.array([patterns[k] for k in keys], dtype=np.float64)
-    votes = np.array([[int(c) for c in k] for k in keys])
-    marks = (votes[:, :, None] == np.arange(3)).astype(np.float64)
-    abstain = (n @ marks[:, :, 1] + 1) / (n.sum() + 2)
-    right, wrong = 0.8 * (1 - abstain), 0.2 * (1 - abstain)
-    like = np.stack([np.stack([right, abstain, wrong], 1), np.stack([wrong, abstain, right], 1)])  # class (bad, good), rule, vote
-    prior = np.array([0.2, 0.8])
-    post = None
+    marks = (np.array([[int(c) for c in k] for k in keys])[:, :, None] == np.arange(3)).astype(np.float64)
+    share = (np.einsum("p,prv->rv", n, marks) + 1) / (n.sum() + 3)  # rule, vote
+    prior = np.array([BAD, 1 - BAD])
+    precise = np.array([r[-1] for r in RULES])
+    of_bad = np.stack([np.minimum(precise * share[:, 0] / BAD, 0.9), (1 - precise) * share[:, 0] / (1 - BAD)])  # class, rule
+    others = share[:, 1:] / share[:, 1:].sum(axis=1, keepdims=True)
+    first = np.concatenate([of_bad[:, :, None], (1 - of_bad)[:, :, None] * others], axis=2)  # class, rule, vote
+    like, post = first, None
     for _ in range(rounds):
         logs = np.log(prior)[:, None] + np.einsum("prv,crv->cp", marks, np.log(like))
         post = np.exp(logs - logs.max(axis=0))
         post /= post.sum(axis=0)
         weight = post * n
-        prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        like = np.einsum("cp,prv->crv", weight, marks) + np.stack([np.stack([right, abstain, wrong], 1), np.stack([wrong, abstain, right], 1)])
+        prior = (weight.sum(axis=1) / n.sum() + BELIEF * np.array([BAD, 1 - BAD])) / (1 + BELIEF)
+        like = np.einsum("cp,prv->crv", weight, marks) + BELIEF * n.sum() * prior[:, None, None] * first
         like /= like.sum(axis=2, keepdims=True)
     return dict(zip(keys, post[1].tolist()))
 
