@@ -58,3 +58,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             part = batch.slice(start, end - start)
             yield part, part.column(at).to_pylist()
             start = end
+
+
+def heaviest(df: DataFrame, weight: str, most: int) -> DataFrame:
+    """The rows of largest ``weight`` (positive), ``most`` at the utmost.  The cut lies at a
+    step of weight (a sixteenth of a doubling), so equal weights stay together and no task
+    sends more than its own share."""
+    step = F.floor(F.log2(F.col(weight)) * 16)
+    steps = sorted(((r["s"], r["n"]) for r in df.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    cut, total = None, 0
+    for s, n in steps:
+        total += n
+        if total > most:
+            break
+        cut = s
+    return df.where(F.lit(False) if cut is None else step >= cut)

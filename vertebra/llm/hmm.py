@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, pieces, stash
+from .common import heaviest, in_fold, pieces, stash
 
 STATES, ROUNDS, SEED = 8, 4, 11
 #: Words with a class of their own, and classes for all other words.
 HEAD, TAIL = 6000, 1024
 #: Commonest words whose counts go along to every task; other words' counts are joined.
-KNOWN = 100_000
+KNOWN = 60_000
 #: Training runs over stretches of so many tokens; every token is in one of them.
 STRETCH = 256
 #: The token that ends every text: no word holds white space.
@@ -58,7 +58,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts:
             seen.update((text or "").encode("utf-8", "replace").lower().split())
         seen[END] += len(texts)
-        if len(seen) > 400_000:
+        if len(seen) > 250_000:
             yield from out()
     if seen:
         yield from out()
@@ -70,11 +70,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """What every task needs: counts of the KNOWN words, classes of the head, and per class
+    """What every task needs: log10(count + 1) of the KNOWN words, classes of the head, and per class
     the log10 of the base and class denominators."""
 
     def __init__(self, known: dict[bytes, int], head: list[bytes], classes: dict[int, tuple[int, int]], n: int, v: int):
-        self.known = known
+        self.known = {w: float(np.log10(c + 1)) for w, c in known.items()}
         self.head = {w: i for i, w in enumerate(head)}
         self.n, self.v = n, v
         self.base = float(np.log10(n + v + 1))
@@ -94,7 +94,8 @@ class Tables:
 def prepare(counts: DataFrame) -> Tables:
     """Tables of ``counts`` (word, c)."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    top = heaviest(counts.where(F.octet_length("word") <= 64), "c", KNOWN).collect()
+    top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     known = {bytes(r["word"]): r["c"] for r in top}
     head = [bytes(r["word"]) for r in top[:HEAD]]
     spark = counts.sparkSession
@@ -111,7 +112,7 @@ def encode(docs: DataFrame, tables: Tables) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        logs = {w: float(np.log10(c + 1)) for w, c in t.known.items()}
+        logs = t.known
         classes: dict[bytes, int] = dict(t.head)
         for batch, texts in pieces(batches):
             cols: list[list] = [[] for _ in range(6)]
@@ -122,7 +123,7 @@ def encode(docs: DataFrame, tables: Tables) -> DataFrame:
                 for w in words:
                     k = classes.get(w)
                     if k is None:
-                        if len(classes) > 300_000:
+                        if len(classes) > 150_000:
                             classes = dict(t.head)
                         k = classes[w] = tail_class(w)
                     row.append(k)
@@ -243,7 +244,7 @@ def baum_welch(encoded: DataFrame, tables: Tables, states: int = STATES, rounds:
                 for ids in batch.column(0).to_pylist():
                     ids = np.frombuffer(ids, np.uint16)
                     held += [ids[i: i + STRETCH] for i in range(0, len(ids), STRETCH)]
-                    if len(held) >= 1500:
+                    if len(held) >= 600:
                         add()
             if held:
                 add()
@@ -271,7 +272,7 @@ def score(encoded: DataFrame, counts: DataFrame, tables: Tables, hmm: Hmm) -> Da
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             rows = [np.frombuffer(x, np.uint16) for x in batch.column(at).to_pylist()]
-            out = np.concatenate([log_likelihood(m, rows[i: i + 4000]) for i in range(0, len(rows), 4000)]) if rows else np.zeros(0)
+            out = np.concatenate([log_likelihood(m, rows[i: i + 2500]) for i in range(0, len(rows), 2500)]) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], pa.array(out)],
                                              names=[*[c for c in batch.schema.names if c != "ids"], "path"])
 

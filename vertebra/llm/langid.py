@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, pieces, stash
+from .common import heaviest, in_fold, pieces, stash
 
 ORDER = 3
 #: Bounds of the training sample (rows), the n-grams kept, and the cost table (cells).
@@ -141,7 +141,7 @@ class Model:
 def fit(docs: DataFrame, train=None, sample: int = SAMPLE) -> Model:
     """Learn the languages from the rows of ``docs`` (doc_id, text, lang) that ``train`` (a
     Column) holds for; rows without text or lang teach nothing.  About ``sample`` rows
-    are used, chosen by a hash of doc_id and text, and the GRAMS commonest n-grams of each sample."""
+    are used, chosen by a hash of doc_id and text, and GRAMS of their commonest n-grams at most."""
     train = F.lit(True) if train is None else train
     rows = docs.select("doc_id", "text", "lang").where(train & F.col("text").isNotNull() & F.col("lang").isNotNull())
     n = rows.count()
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, train=None, sample: int = SAMPLE) -> Model:
     grams = stash(some.select("text", "lang").mapInArrow(_count, "lang string, code long, n long")
                   .groupBy("lang", "code").agg(F.sum("n").alias("n")), "ppm-grams")
     langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    kept = grams.orderBy(F.desc("n"), "lang", "code").limit(GRAMS).toPandas().sort_values(["lang", "code"])
+    kept = heaviest(grams, "n", GRAMS).toPandas().sort_values(["lang", "code"])
     langs = sorted(set(langs) & set(kept["lang"]))
     kept = kept[kept["lang"].isin(langs)]
     number = {x: i for i, x in enumerate(langs)}

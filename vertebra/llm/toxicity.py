@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, pieces, stash
+from .common import heaviest, in_fold, pieces, stash
 
 #: Bounds of the training sample (rows) and of the vocabulary (words).
 POSITIVES, UNLABELLED, WORDS = 6000, 20000, 20000
@@ -135,10 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     p_n, u_n = (max(seen.where(x).count(), 1) for x in ("pos", "NOT pos"))
     p, u = F.col("p") / p_n, (F.col("u") + 0.5) / u_n
     lift = F.log((p - SURE * F.sqrt(p * (1 - p) / p_n)) / (u + SURE * F.sqrt(u * F.greatest(1 - u, F.lit(0.0)) / u_n)))
-    top = (seen.select("pos", F.explode("words").alias("w")).groupBy("w")
-           .agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u")).where(F.col("p") >= LEAST_DF)
-           .select("w", "p", lift.alias("lift")).where(F.col("lift") >= float(np.log(LIFT)))
-           .orderBy(F.desc("p"), "w").limit(WORDS).collect())
+    lifted = (seen.select("pos", F.explode("words").alias("w")).groupBy("w")
+              .agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u")).where(F.col("p") >= LEAST_DF)
+              .select("w", "p", lift.alias("lift")).where(F.col("lift") >= float(np.log(LIFT))))
+    top = sorted(heaviest(lifted, "p", WORDS).collect(), key=lambda r: (-r["p"], r["w"]))
     vocabulary, values = [r["w"] for r in top], np.array([r["lift"] for r in top])
     if not vocabulary:
         return Model({}, float(np.log(prior / (1 - prior))))
