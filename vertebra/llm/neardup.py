@@ -7,14 +7,17 @@ the circle.  The coordinates of one shingle are therefore consecutive entries of
 document's signature is one gather and one minimum.
 
 Bands of four coordinates give buckets.  Rather than all pairs of a bucket, each member is
-verified against the bucket's smallest member first (a star); verified links are contracted
-to components.  Only buckets whose members still belong to different components are looked
-at again: pairs of different components whose signatures agree enough are verified too, so
-no link that the bands found is lost.  Copies of one set are a single node throughout.
+verified against the smallest members of its buckets (stars), and verified links are
+contracted to components.  Only buckets whose members still belong to different components
+are looked at again: a member whose signature agrees enough with one of another component
+asks that component, and is held against its members' full sets until one is linked.  So
+no link that the bands found is lost, and no step gives out the pairs of a group.  Copies
+of one set are a single node throughout.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +35,12 @@ COORDS, ROWS = 128, 4
 BANDS = COORDS // ROWS
 CIRCLE = 1 << 20
 SEED = 20240229
-#: Members of a verification task, rows of a bucket task, members outside the largest component.
-STAR, BLOCK, OUTSIDE = 128, 2048, 1024
+#: Partners of a star task, rows of a bucket task, members outside the largest component,
+#: and documents of either side of an asking task.
+STAR, BLOCK, OUTSIDE, SIDE = 128, 2048, 1024, 1024
 #: Coordinates (of 128) that must agree before a pair is verified on full sets; at a
-#: similarity of 0.75 fewer happen with a chance below 1e-11.
-AGREE = 64
+#: similarity of 0.75 fewer agree with a chance of about 1e-7.
+AGREE = 70
 
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -45,7 +49,7 @@ class _Words(dict):
     """64-bit fingerprints of words, kept for the words seen last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -74,8 +78,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
+@functools.cache
 def _windows() -> np.ndarray:
-    """Row s: pi at s, s - 1, ... s - 127 round the circle, as a view."""
+    """Row s: pi at s, s + 1, ... s + 127 round the circle, as a view."""
     pi = np.random.default_rng(SEED).permutation(CIRCLE).astype(np.uint32)
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: COORDS - 1]]), COORDS)
 
@@ -115,107 +120,166 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_shingles", "digest", "keys", "sig"])
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     found: list[tuple[int, int]] = []
     mine = [(a, shingle_set(t)) for a, t in zip(left["la"], left["left_text"])]
     for b, text in zip(right["b"], right["right_text"]):
         other = shingle_set(text)
-        for a, own in mine:
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if both and 100 * both >= PERCENT * (len(own) + len(other) - both):
-                found.append((a, b))
-                break
+        found += [(a, b) for a, own in mine if _linked(own, other)]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``name`` and text of the rows of ``docs`` whose doc_id is in ``ids`` (one column).
+
+    A bitmap of 2^24 hashed ids (2 MB at most, so it is broadcast) keeps the text of most
+    other rows from being moved; the merge join that follows decides.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 24))
+    ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    bits = ids.groupBy(F.bitmap_bucket_number(slot("id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("id"))).alias("bits"))
+    at = F.bitmap_bit_position(slot("doc_id")).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
+    return (docs.select("doc_id", "text", F.bitmap_bucket_number(slot("doc_id")).alias("bucket"), at.alias("at"))
+            .join(F.broadcast(bits), "bucket").where(F.getbit(byte, F.col("at") % 8) == 1)
+            .select(F.col("doc_id").alias(name), "text"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough.  A hot ``a`` is split:
     its text goes along with every ``STAR`` partners."""
     pairs = stash(pairs.distinct(), "dedup-pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    left = (many.join(docs.select(F.col("doc_id").alias("a"), "text"), "a")
+    left = (many.hint("merge").join(texts_of(docs, many.select("a"), "a"), "a")
             .select(F.col("a").alias("la"), F.col("text").alias("left_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("ls")))
     right = (pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-             .join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", F.col("text").alias("right_text")))
+             .hint("merge").join(texts_of(docs, pairs.select("b"), "b"), "b").select("a", "salt", "b", F.col("text").alias("right_text")))
     return stash(left.groupBy("la", "ls").cogroup(right.groupBy("a", "salt"))
                  .applyInPandas(_verify, "a long, b long").distinct(), "dedup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of ``links`` (a, b): the smallest node that can be reached.
+    """node, root for the nodes of ``links`` (a, b) that reach a smaller one: the smallest.
 
     Each round hooks every root to its smallest neighbour, shortens the hooks twice and
     contracts the links; only links between different roots go on.
     """
-    e = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc-e")
-    roots = None
+    e = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc-links")
+    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     while not e.isEmpty():
-        up = (e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
+        up = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         for _ in range(2):
             over = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
             up = up.join(over, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-        up = stash(up, "cc-up")
-        to_u, to_v = (up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
-        if roots is None:
-            roots = up
-        else:
-            on = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            roots = stash(roots.join(on, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-                          .unionByName(up).groupBy("node").agg(F.min("root").alias("root")), "cc-roots")
-        e = stash(e.join(to_u, "u", "left").join(to_v, "v", "left")
-                  .select(F.coalesce("ru", "u").alias("x"), F.coalesce("rv", "v").alias("y"))
-                  .where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc-e")
-    if roots is None:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        roots = _follow(roots, stash(up, "cc-hooks"))
+        e = stash(_contract(e, roots), "cc-links")
     return roots
 
 
-def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components with enough equal coordinates; every pair has a
-    member outside the bucket's largest component."""
-    pdf = pdf.drop_duplicates("node").sort_values("node")
+def _follow(roots: DataFrame, up: DataFrame) -> DataFrame:
+    """``roots`` after its roots were hooked by ``up``, and the new hooks."""
+    on = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    moved = roots.join(on, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    return stash(moved.unionByName(up).groupBy("node").agg(F.min("root").alias("root")), "cc-roots")
+
+
+def _contract(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links (a, b) between different roots, a > b."""
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return (links.join(of_a, "a", "left").join(of_b, "b", "left")
+            .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
+            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+
+
+def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with more links."""
+    more = stash(_contract(links, roots), "cc-more")
+    return roots if more.isEmpty() else _follow(roots, components(more))
+
+
+def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Members outside the bucket's largest component (``asks``), and the components that
+    have a member whose signature agrees enough; between two that ask, the smaller asks."""
+    pdf = pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
     node, comp = pdf["node"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
-    n, outside = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool)
+    n, asks = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool)
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
-    a, b = [], []
-    for i in np.nonzero(outside)[0]:
-        like = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~outside | (node > node[i]))
+    b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.nonzero(asks)[0]:
+        like = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~asks | (node > node[i]))
         at = np.nonzero(like)[0]
-        at = at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]
-        a.append(np.minimum(node[at], node[i]))
-        b.append(np.maximum(node[at], node[i]))
-    if not a:
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-
-def _open_pairs(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Pairs to verify from ``rows`` (bkey, node, comp, n): members of buckets that hold
-    more than one component.  A bucket with many members outside its largest component is
-    split by a second band first (twice at most); what is left meets in blocks."""
+        found = np.unique(comp[at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]])
+        b.append(np.full(len(found), node[i]))
+        c.append(found)
+    return pd.DataFrame({"b": np.concatenate(b), "comp": np.concatenate(c)})
+
+
+def _asks(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """b, comp: node b may be linked to a member of another component.  ``rows`` (bkey,
+    node, comp, n) are members of buckets; those of one component are done.  A bucket with
+    many members outside its largest component is split by a second band first (``depth``
+    times at most); what is left meets in blocks, so no pair is left out."""
     per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"))
     kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
-    open_ = stash(kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out")), "dedup-open")
-    rows = stash(rows.join(open_, "bkey"), "dedup-open-rows")
-    crowded = rows.where(F.col("out") > OUTSIDE) if depth else rows.limit(0)
+    open_ = kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
+    rows = stash(rows.join(open_, "bkey"), "dedup-open")
     ready = rows.where(F.col("out") <= OUTSIDE) if depth else rows
-    # members outside the largest component, in groups of OUTSIDE, meet every block of the bucket
-    asks = F.col("comp") != F.col("big")
-    groups = F.ceil(F.col("out") / OUTSIDE).cast("int")
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+    groups, blocks = F.ceil(F.col("out") / OUTSIDE).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    asking = ready.where(asks).select("bkey", "node", "comp", "n", deal(groups, 3).alias("g"), F.explode(upto(blocks)).alias("s"), F.lit(True).alias("asks"))
+    asking = ready.where("comp <> big").select("bkey", "node", "comp", "n", deal(groups, 3).alias("g"), F.explode(upto(blocks)).alias("s"), F.lit(True).alias("asks"))
     asked = ready.select("bkey", "node", "comp", "n", F.explode(upto(groups)).alias("g"), deal(blocks, 4).alias("s"), F.lit(False).alias("asks"))
     both = asking.unionByName(asked).join(nodes.select("node", "sig"), "node")
-    # a member that asks is first, so that drop_duplicates keeps it
-    pairs = both.groupBy("bkey", "g", "s").applyInPandas(lambda p: _cross(p.sort_values("asks", ascending=False)), "a long, b long").distinct()
-    if depth and not crowded.isEmpty():
+    found = both.groupBy("bkey", "g", "s").applyInPandas(_matches, "b long, comp long").distinct()
+    if depth and not (crowded := rows.where(F.col("out") > OUTSIDE)).isEmpty():
         finer = crowded.join(nodes.select("node", "keys"), "node").select(
             "node", "comp", "n", "bkey", F.explode("keys").alias("k2")).where("k2 <> bkey").select(
             F.xxhash64("bkey", "k2").alias("bkey"), "node", "comp", "n")
-        pairs = pairs.unionByName(_open_pairs(finer, nodes, depth - 1)).distinct()
-    return pairs
+        found = found.unionByName(_asks(finer, nodes, depth - 1)).distinct()
+    return stash(found, "dedup-asks")
+
+
+def _answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For every b of the right, the first member of the left that it is linked to."""
+    found: list[tuple[int, int]] = []
+    sets = [shingle_set(t) for t in left["left_text"]]
+    if sets:
+        windows = _windows()
+        sigs = np.stack([signature(s, windows).astype(np.uint8) for s in sets])
+        size = np.array([len(s) for s in sets])
+        for b, text in zip(right["b"], right["right_text"]):
+            own = shingle_set(text)
+            agree = (sigs == signature(own, windows).astype(np.uint8)).sum(axis=1)
+            agree[100 * np.minimum(size, len(own)) < PERCENT * np.maximum(size, len(own))] = 0
+            for i in np.argsort(-agree, kind="stable"):
+                if agree[i] < AGREE:
+                    break
+                if _linked(sets[i], own):
+                    found.append((left["la"].iloc[i], b))
+                    break
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def answer(asks: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes b with the components they ask (b, comp), one at least where
+    there is one.  Members and askers meet in blocks of ``SIDE``."""
+    comps = asks.groupBy("comp").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("groups"))
+    inside = (roots.join(comps.select(F.col("comp").alias("root")), "root").select(F.col("root").alias("comp"), F.col("node").alias("a"))
+              .unionByName(comps.select("comp", F.col("comp").alias("a"))))
+    plan = stash(inside.groupBy("comp").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("salts")).join(comps, "comp"), "dedup-plan")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    inside = stash(inside, "dedup-inside")
+    left = (inside.join(plan, "comp").hint("merge").join(texts_of(docs, inside.select("a"), "a"), "a")
+            .select(F.col("comp").alias("lc"), deal("a", "salts").alias("ls"), upto("groups").alias("lg"), F.col("a").alias("la"), F.col("text").alias("left_text")))
+    right = (asks.join(plan, "comp").hint("merge").join(texts_of(docs, asks.select("b"), "b"), "b")
+             .select("comp", upto("salts").alias("s"), deal("b", "groups").alias("g"), "b", F.col("text").alias("right_text")))
+    return stash(left.groupBy("lc", "ls", "lg").cogroup(right.groupBy("comp", "s", "g")).applyInPandas(_answer, "a long, b long").distinct(), "dedup-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,14 +302,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = nodes.select("node", "n", F.explode("keys").alias("bkey"))
     buckets = bands.groupBy("bkey").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
     members = stash(bands.join(buckets, "bkey").select("bkey", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "size"), "dedup-members")
-    star = members.where((F.col("pivot") != F.col("node")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
-    links = verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), docs)
-    roots = components(links)
+    star = stash(members.where((F.col("pivot") != F.col("node")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
+                 .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "dedup-star")
+    # the smallest pivot first; another pivot only where that did not join the two
+    roots = components(verify(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs))
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = star.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    roots = merge(roots, verify(apart.select("a", "b"), docs))
     labelled = (members.where("size > 2").select("bkey", "node", "n").join(roots, "node", "left")
                 .select("bkey", "node", F.coalesce("root", "node").alias("comp"), "n"))
-    more = verify(_open_pairs(labelled, nodes, 2).join(links, ["a", "b"], "left_anti"), docs)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    asks = _asks(labelled, nodes, 2)
+    if not asks.isEmpty():
+        roots = merge(roots, answer(asks, roots, docs))
     named = (first.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("comp")))
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
