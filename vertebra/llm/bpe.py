@@ -28,7 +28,7 @@ CHUNK, OVERLAP = 16_384, 512
 #: A boundary so near to a window's end may move once more text is seen (contractions
 #: need two more letters, a run of white space one more character).
 MARGIN = 3
-_KEPT = 250_000
+_KEPT = 80_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +43,6 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.decoder = {v: k for k, v in ranks.items()}
 
     def __missing__(self, token: str) -> bytes:
         out = np.array(self.merge(token.encode("utf-8", "replace")), dtype="<u4").tobytes()
@@ -106,9 +105,6 @@ class Encoder(dict):
         ids = [self[t] for t in tokens]
         return (np.cumsum([len(t) for t in tokens], dtype=np.int64), b"".join(ids), np.cumsum([len(x) for x in ids], dtype=np.int64))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.decoder.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
 
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
@@ -120,6 +116,16 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[path, pattern]
 
 
+_TOKENS: dict[str, dict[int, bytes]] = {}
+
+
+def decode_ids(ids: bytes, path: str) -> bytes:
+    """The raw bytes of ids, concatenated."""
+    if path not in _TOKENS:
+        _TOKENS[path] = {v: k for k, v in load_ranks(path).items()}
+    return b"".join(map(_TOKENS[path].__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
 def stitch(enc: Encoder, chunks: list[tuple[int, str, np.ndarray, bytes, np.ndarray]]) -> bytes:
     """Ids of a text from its chunks (start, text, ends, ids, id ends), in order of start."""
     out: list[bytes] = []
@@ -186,17 +192,16 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     return short.mapInArrow(whole, "doc_id long, ids binary").unionByName(stitched)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """All columns of ``encoded`` and decoded, the raw bytes of its ids."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema] + ["decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([enc.decode(x) for x in part.column(at).to_pylist()], pa.binary())],
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([decode_ids(x, path) for x in part.column(at).to_pylist()], pa.binary())],
                                                  names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
@@ -206,6 +211,6 @@ def op7(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = decode(encode(docs, path, pattern), path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -13,11 +13,21 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Characters (code units of Arrow text) that one Python work unit handles at once.
-UNIT_CHARS = 4_000_000
+UNIT_CHARS = 1_500_000
+#: Rows of an Arrow batch at most: rows carry whole texts, and a batch exists twice outside
+#: the Java heap.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table ``name`` of a folder, through Spark's reader only (any URI)."""
+    """Table ``name`` of a folder, through Spark's reader only (any URI).
+
+    Also lowers the session's Arrow batch size to ``BATCH_ROWS`` (a larger one is a matter
+    of memory only, never of results) and leaves it so: the caller runs the plan later.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

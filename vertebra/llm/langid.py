@@ -23,7 +23,7 @@ from .common import heaviest, in_fold, pieces, stash
 
 ORDER = 3
 #: Bounds of the training sample (rows), the n-grams kept, and the cost table (cells).
-SAMPLE, GRAMS, CELLS = 12_000, 400_000, 12_000_000
+SAMPLE, GRAMS, CELLS = 12_000, 250_000, 5_000_000
 #: Texts of more bytes count as so many when code lengths become a probability.
 EVIDENCE = 64.0
 UNKNOWN = "und"

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,16 +145,29 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
         return Model({}, float(np.log(prior / (1 - prior))))
     number = {w: i for i, w in enumerate(vocabulary)}
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("words"))
+            ids = pc.index_in(lists.flatten(), value_set=known)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(False))
+            there = ids.is_valid().to_numpy(False)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[there], minlength=len(lists)))])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(c)) for c in ("pos", "bag")],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.drop_null().cast(pa.int32()))], names=["pos", "bag", "ids"])
+
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [np.array(sorted(number[w] for w in ws if w in number), dtype=np.int64) for ws in pdf["words"]]
+        rows = [np.asarray(ids, dtype=np.int64) for ids in pdf["ids"]]
         is_pos = pdf["pos"].to_numpy(bool)
         pos, unl = ([rows[i] for i in np.nonzero(x)[0]] for x in (is_pos, ~is_pos))
         if not pos or not unl:
             return pd.DataFrame({"bag": [], "w": []})
         return pd.DataFrame({"bag": [int(pdf["bag"].iloc[0])], "w": [train_nnpu(pos, unl, values, prior)]})
 
-    bags = seen.where("NOT pos").unionByName(
-        seen.where("pos").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1)))))
+    known = seen.mapInArrow(numbered, "pos boolean, bag int, ids array<int>")  # only the vocabulary goes on
+    bags = known.where("NOT pos").unionByName(
+        known.where("pos").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1)))))
     weights = [np.array(r["w"]) for r in bags.groupBy("bag").applyInPandas(learn, "bag int, w array<double>").orderBy("bag").collect()]
     if not weights:
         return Model({}, float(np.log(prior / (1 - prior))))
