@@ -30,8 +30,8 @@ def test_archive_names(spark):
 
 
 def test_kafka_options():
-    o = kafka_options("broker:9092", "image-topic", "earliest", "g1", {"endingOffsets": "latest"})
-    assert o == {"kafka.bootstrap.servers": "broker:9092", "subscribe": "image-topic",
+    o = kafka_options("broker:9092", "frames-in", "earliest", "g1", {"endingOffsets": "latest"})
+    assert o == {"kafka.bootstrap.servers": "broker:9092", "subscribe": "frames-in",
                  "startingOffsets": "earliest", "kafka.group.id": "g1", "endingOffsets": "latest"}
 
 

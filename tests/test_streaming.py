@@ -97,9 +97,19 @@ def test_live_status_stream(spark, frame_dir, tmp_path):
     assert rows[0].status in ("옳은 자세입니다", "자세를 바르게 해주세요")
 
 
-def test_read_frames_cap(spark, frame_dir):
-    df = read_frames(spark, frame_dir, max_files=10)
-    assert df.count() == 10 and df.select("file_name").distinct().count() == 10
+def test_malformed_frame_files_are_quarantined(spark, frame_dir, tmp_path):
+    from vertebra.operators.messages import split_valid
+
+    assert all(r.json_ok for r in read_frames(spark, frame_dir).select("timestamp", "json_ok").collect())
+    for name, text in (("ok", '{"timestamp": "2024-01-01 09:00:00.000000 +0900", "image_data": "ff"}'),
+                       ("cut", '{"timestamp": "2024-'), ("junk", "no json"),
+                       ("blank", '{"timestamp": "2024-01-01 09:00:00.000000 +0900", "image_data": ""}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    good, bad = split_valid(read_frames(spark, str(tmp_path)))
+    assert good.count() == 1
+    got = {r.file_name.rsplit("/", 1)[1]: (r.reason, r.raw) for r in bad.collect()}
+    assert got == {"cut.json": ("bad_json", '{"timestamp": "2024-'), "junk.json": ("bad_json", "no json"),
+                   "blank.json": ("bad_hex", None)}
 
 
 def test_loader_reinfers_reference_format_documents(spark, tmp_path):

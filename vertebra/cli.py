@@ -35,10 +35,10 @@ def _estimator(name: str):
 
 
 def cmd_load(spark, a) -> None:
-    analyzed, bad = jobs.process_frames(read_frames(spark, a.input, a.max_files), _estimator(a.estimator),
+    analyzed, bad = jobs.process_frames(read_frames(spark, a.input), _estimator(a.estimator),
                                         a.user_id and F.lit(a.user_id), a.partitions)
     jobs.load_frames(analyzed, a.out, a.tz)
-    writers.append(bad.select("file_name", "timestamp", "reason"), writers.table_path(a.out, "quarantine"))
+    writers.append(bad.select("file_name", "timestamp", "reason", "raw"), writers.table_path(a.out, "quarantine"))
 
 
 def cmd_daily(spark, a) -> None:
@@ -101,7 +101,6 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("load")
     s.add_argument("--input", required=True)
     s.add_argument("--out", required=True)
-    s.add_argument("--max-files", type=int, default=None)
     s.add_argument("--estimator", default="recorded", choices=["recorded", "mediapipe"])
     s.add_argument("--user-id", default=None)
     s.add_argument("--partitions", type=int, default=None)

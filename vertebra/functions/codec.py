@@ -57,7 +57,7 @@ def archive_name(ts_text: Column | str) -> Column:
 def relative_path(path: Column | str, prefix: str) -> Column:
     """Strip a storage prefix from a path (paths without it are kept whole)."""
     p = _c(path)
-    return F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
+    return F.when(p.startswith(prefix), p.substr(F.lit(len(prefix) + 1), F.length(p))).otherwise(p)
 
 
 def file_basename(path: Column | str) -> Column:

@@ -36,7 +36,7 @@ def with_validation(df: DataFrame, image: str = "image_data", ts: str = "timesta
     json_ok = F.col("json_ok") if "json_ok" in df.columns else F.lit(True)
     reason = (F.when(~json_ok, F.lit("bad_json"))
               .when(F.col(image).isNull(), F.lit("null_image"))
-              .when(img.isNull(), F.lit("bad_hex"))
+              .when(img.isNull() | (F.octet_length(img) == 0), F.lit("bad_hex"))
               .when(inst.isNull(), F.lit("bad_timestamp")))
     return df.withColumns({"image": img, "event_ts": inst, "reason": reason})
 

@@ -73,8 +73,8 @@ def calendar_grid(mart: DataFrame, today: _dt.date | str, year: int | None = Non
     today and has-data flags (and, for months with data, ``days_with_data``).
     ``weekday`` is 0 = Sunday .. 6 = Saturday.
 
-    Both sides hold at most one row per calendar day spanned, so the day-set
-    join is broadcast on a proven bound.
+    A year alone gives that year's months with data.  Both sides hold at most one row per
+    calendar day spanned; the planner picks the join by their measured size.
     """
     t = _date(today)
     days = calendar_days(mart)
@@ -85,6 +85,8 @@ def calendar_grid(mart: DataFrame, today: _dt.date | str, year: int | None = Non
         # a counting aggregate (not a bare distinct) keeps Catalyst from folding
         # it into a second pass over the mart: both branches share the day set
         months = days.groupBy("year_id", "month_id").agg(F.count(F.lit(1)).alias("days_with_data"))
+        if year is not None:
+            months = months.filter(F.col("year_id") == year)
     first = F.make_date("year_id", "month_id", F.lit(1))
     extra = ["days_with_data"] if "days_with_data" in months.columns else []
     grid = (months.select("year_id", "month_id", *extra,
@@ -93,7 +95,7 @@ def calendar_grid(mart: DataFrame, today: _dt.date | str, year: int | None = Non
                     (F.dayofweek("_d") - 1).alias("weekday"),
                     ((F.dayofmonth("_d") + F.dayofweek(first) - 2) / 7).cast("int").alias("week_row")))
     flags = days.select("year_id", "month_id", "day_id", F.lit(True).alias("_has"))
-    return (grid.join(F.broadcast(flags), ["year_id", "month_id", "day_id"], "left")
+    return (grid.join(flags, ["year_id", "month_id", "day_id"], "left")
             .select("year_id", "month_id", "day_id", *extra, "weekday", "week_row",
                     (F.col("weekday") == 0).alias("is_sunday"),
                     (F.col("weekday") == 6).alias("is_saturday"),
@@ -125,14 +127,14 @@ def daily_report(mart: DataFrame, day: _dt.date | str) -> DataFrame:
 
 # ---- weekly ----------------------------------------------------------------
 
-def _literal_branches(s: _dt.date, e: _dt.date) -> list[Column]:
-    y, m, d = F.col("year_id"), F.col("month_id"), F.col("day_id")
-    return [(y == s.year) & (m == s.month) & (d >= s.day),
-            (y == e.year) & (m == e.month) & (d <= e.day),
-            (y == s.year) & (m > s.month),
-            (y == e.year) & (m < e.month),
-            (y == s.year) & (y == e.year) & (m == s.month) & (m == e.month)
-            & (d >= s.day) & (d <= e.day)]
+def _literal_parts(s: _dt.date, e: _dt.date) -> tuple[Column, Column]:
+    """What the original report's date-part rule selects: the rest of the start month, and
+    apart from it (the class filter binds to the first part only) the start year after
+    that month or the end year up to the end date."""
+    year, date = F.col("year_id"), F.make_date("year_id", "month_id", "day_id")
+    month_end = F.last_day(F.lit(s))
+    return ((year == s.year) & date.between(F.lit(s), month_end),
+            ((year == s.year) & (date > month_end)) | ((year == e.year) & (date <= F.lit(e))))
 
 
 def week_predicate(end: _dt.date | str, mode: str = "calendar", days: int = WEEK_DAYS) -> Column:
@@ -140,8 +142,8 @@ def week_predicate(end: _dt.date | str, mode: str = "calendar", days: int = WEEK
 
     ``calendar``: the dates ``end - days .. end`` (both ends, so 8 dates) plus
     year bounds that let a year-partitioned mart prune.  ``literal``: the
-    5-way OR over date parts exactly as the original report wrote it, which
-    within one calendar year selects far more than a week.
+    rows that the original report's rule over date parts selects, which
+    within one calendar year are far more than a week.
     """
     e = _date(end)
     s = e - _dt.timedelta(days=days)
@@ -151,8 +153,8 @@ def week_predicate(end: _dt.date | str, mode: str = "calendar", days: int = WEEK
         return (y.between(s.year, e.year)
                 & dt.between(week_start(F.lit(e), days), F.lit(e)))
     if mode == "literal":
-        b = _literal_branches(s, e)
-        return b[0] | b[1] | b[2] | b[3] | b[4]
+        head, rest = _literal_parts(s, e)
+        return head | rest
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -180,8 +182,8 @@ def weekly_landmarks(mart: DataFrame, end: _dt.date | str, mode: str = "calendar
         if mode == "calendar":
             preds[f"_in_{label}"] = (pc == F.lit(cls)) & week_predicate(e, "calendar")
         elif mode == "literal":
-            b = _literal_branches(s, e)
-            preds[f"_in_{label}"] = ((pc == F.lit(cls)) & b[0]) | b[1] | b[2] | b[3] | b[4]
+            head, rest = _literal_parts(s, e)
+            preds[f"_in_{label}"] = ((pc == F.lit(cls)) & head) | rest
         else:
             raise ValueError(f"unknown mode {mode!r}")
     # rows outside the window feed neither class: filter first (partition

@@ -108,13 +108,22 @@ DIM_KEYS = {"year": ["year_id"], "month": ["year_id", "month_id"],
             "user": ["user_id"], "image": ["img_filename"]}
 
 
+def anti_join(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key is not stored; NULL equals NULL."""
+    there = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & new[k].eqNullSafe(there[f"_stored_{k}"])
+    return new.join(there, same, "left_anti")
+
+
 def upsert_dim(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key is new, once each (anti-join + dedup).
 
     Append the result to the stored dimension; running it twice adds nothing.
     """
     fresh = incoming.dropDuplicates(keys)
-    return fresh.join(existing.select(*keys), keys, "left_anti")
+    return anti_join(fresh, existing, keys)
 
 
 def merged_dim(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,18 +136,15 @@ def star(facts: DataFrame, dims: dict[str, DataFrame], images: DataFrame | None
          ) -> DataFrame:
     """Fact rows with their dimension attributes on composite keys.
 
-    Calendar dimensions have at most one row per calendar day spanned, a
-    proven bound, so they are broadcast; users and images grow with the data
-    and are left to the size-checked planner (AQE picks broadcast or
-    sort-merge at run time).
+    No join is forced: the planner broadcasts a dimension only if its measured
+    size allows it (AQE decides at run time).
     """
     out = facts
     for name in CALENDAR_DIMS:
         if name in dims:
             d = dims[name]
-            out = out.join(F.broadcast(d.select(*DIM_KEYS[name], *[c for c in d.columns
-                                                                    if c not in DIM_KEYS[name]
-                                                                    and c not in out.columns])),
+            out = out.join(d.select(*DIM_KEYS[name], *[c for c in d.columns if c not in DIM_KEYS[name]
+                                                       and c not in out.columns]),
                            DIM_KEYS[name], "left")
     if "user" in dims:
         u = dims["user"]

@@ -124,12 +124,11 @@ BASE = (FRAMES, ANALYZED, FACTS, MART)
 
 WEEK_CAL = ("year_id BETWEEN 2024 AND 2024 AND make_date(year_id, month_id, day_id) "
             "BETWEEN DATE '2024-01-24' AND DATE '2024-01-31'")
-B = ["(year_id = 2024 AND month_id = 1 AND day_id >= 24)",
-     "(year_id = 2024 AND month_id = 1 AND day_id <= 31)",
-     "(year_id = 2024 AND month_id > 1)",
-     "(year_id = 2024 AND month_id < 1)",
-     "(year_id = 2024 AND year_id = 2024 AND month_id = 1 AND month_id = 1 AND day_id >= 24 AND day_id <= 31)"]
-WEEK_LIT = " OR ".join(B)
+# the literal rule for 2024-01-24 .. 2024-01-31, as numbers yyyymmdd
+_YMD = "(year_id * 10000 + month_id * 100 + day_id)"
+LIT_HEAD = f"{_YMD} BETWEEN 20240124 AND 20240131"
+LIT_REST = f"{_YMD} BETWEEN 20240201 AND 20241231 OR {_YMD} BETWEEN 20240101 AND 20240131"
+WEEK_LIT = f"{LIT_HEAD} OR {LIT_REST}"
 
 
 def _weekly_landmarks(mode):
@@ -138,7 +137,7 @@ def _weekly_landmarks(mode):
         if mode == "calendar":
             pred = f"posture_correct = {cls} AND {WEEK_CAL}"
         else:
-            pred = f"(posture_correct = {cls} AND {B[0]}) OR {B[1]} OR {B[2]} OR {B[3]} OR {B[4]}"
+            pred = f"(posture_correct = {cls} AND {LIT_HEAD}) OR {LIT_REST}"
         cols = ", ".join(
             f"sum(CASE WHEN {pred} THEN round_even({c} * 1000.0, 0)::BIGINT END)::DOUBLE / "
             f"(count(CASE WHEN {pred} THEN round_even({c} * 1000.0, 0)::BIGINT END) * 1000.0) AS {c}"

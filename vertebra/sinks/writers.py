@@ -13,15 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import DEFAULT_TZ
+from ..operators.warehouse import anti_join
+from ..sources.tables import exists
 
 FACT_PARTITIONS = ["year_id", "month_id"]
 
 
 def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    return exists(df.sparkSession, path)
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
@@ -40,7 +39,7 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str], fmt:
 
 def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None,
                fmt: str = "parquet") -> DataFrame:
-    """Append rows whose key is not stored yet, each key once; returns what was added.
+    """Append rows whose key is not stored yet, each key once (a NULL key is a key); returns what was added.
 
     When the table is partitioned, only the partitions the new rows touch are
     read for the key check (static partition filter).
@@ -64,7 +63,7 @@ def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str
                 cond = c if cond is None else cond | c
             existing = existing.filter(cond)
         jk = list(dict.fromkeys((partition_by or []) + keys))
-        fresh = fresh.join(existing.select(*jk), jk, "left_anti")
+        fresh = anti_join(fresh, existing, jk)
     # the existing side's file list is fixed when it is read above, so the
     # append below cannot feed back into the anti-join (also on re-execution)
     append(fresh, path, partition_by, fmt)

@@ -10,21 +10,21 @@ from ..functions.codec import file_basename
 from ..schemas import FRAME_MESSAGE, LANDED_DOCUMENT
 
 
-def read_frames(spark: SparkSession, path: str, max_files: int | None = None,
-                schema: T.StructType = FRAME_MESSAGE) -> DataFrame:
-    """Batch scan of ``*.json`` frame files with a ``file_name`` lineage column.
+def _checked(reader, schema: T.StructType, path: str) -> DataFrame:
+    """The JSON records of ``path`` with ``file_name``, ``json_ok`` and, for a malformed
+    record, its ``raw`` text: nothing malformed passes for a record of NULLs.  (Spark wants
+    a query to read one data column beside these.)"""
+    df = (reader.schema(schema.add("_corrupt", "string") if "_corrupt" not in schema.names else schema)
+          .option("columnNameOfCorruptRecord", "_corrupt").json(path))
+    return (df.withColumn("file_name", F.col("_metadata.file_path"))
+            .withColumn("json_ok", F.col("_corrupt").isNull()).withColumnRenamed("_corrupt", "raw"))
 
-    ``max_files`` keeps the first N files in path order (a semi-join against
-    the distinct path list, so no file list passes through the driver).
-    """
-    df = (spark.read.schema(schema).option("multiLine", True)
-          .option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
-          .json(path)
-          .withColumn("file_name", F.col("_metadata.file_path")))
-    if max_files is not None:
-        keep = (df.select("file_name").distinct().orderBy("file_name").limit(max_files))
-        df = df.join(keep, "file_name", "left_semi")
-    return df
+
+def read_frames(spark: SparkSession, path: str, schema: T.StructType = FRAME_MESSAGE) -> DataFrame:
+    """Batch scan of ``*.json`` frame files with lineage (``_checked``)."""
+    reader = (spark.read.option("multiLine", True)
+              .option("pathGlobFilter", "*.json").option("recursiveFileLookup", True))
+    return _checked(reader, T.StructType(list(schema.fields)), path)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +43,7 @@ def landing_stream(spark: SparkSession, path: str, schema: T.StructType = LANDED
 
     ``multi_line`` for one indented object per file; the live job writes JSON lines.
     """
-    r = (spark.readStream.schema(schema).option("multiLine", multi_line)
+    r = (spark.readStream.option("multiLine", multi_line)
          .option("pathGlobFilter", "*.json").option("recursiveFileLookup", True))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -51,13 +51,13 @@ def landing_stream(spark: SparkSession, path: str, schema: T.StructType = LANDED
         r = r.option("cleanSource", clean_source)
         if archive_dir:
             r = r.option("sourceArchiveDir", archive_dir)
-    return r.json(path).withColumn("file_name", F.col("_metadata.file_path"))
+    return _checked(r, T.StructType(list(schema.fields)), path)
 
 
 def frame_file_stream(spark: SparkSession, path: str, schema: T.StructType = FRAME_MESSAGE,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming scan of frame JSON files (a file stand-in for the broker)."""
-    r = spark.readStream.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json")
+    r = spark.readStream.option("multiLine", True).option("pathGlobFilter", "*.json")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path).withColumn("file_name", F.col("_metadata.file_path"))
+    return _checked(r, T.StructType(list(schema.fields)), path)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system Spark reads is there."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def read_table(spark: SparkSession, base: str, name: str,
                schema: T.StructType | None = None) -> DataFrame:
     """``base/name.parquet`` if it exists, else the folder ``base/name``.
 
     With an explicit ``schema`` no parquet footer is read to infer it.
     """
-    p = os.path.join(base, f"{name}.parquet")
-    if not os.path.exists(p) and os.path.exists(os.path.join(base, name)):
-        p = os.path.join(base, name)
+    base = base.rstrip("/")
+    p = f"{base}/{name}.parquet"
+    if not exists(spark, p) and exists(spark, f"{base}/{name}"):
+        p = f"{base}/{name}"
     r = spark.read if schema is None else spark.read.schema(schema)
     return r.parquet(p)

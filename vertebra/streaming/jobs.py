@@ -42,7 +42,7 @@ def process_frames(df: DataFrame, estimator_factory: Callable[[], Estimator],
         df = decode_messages(df)
     good, bad = split_valid(df)
     uid = F.lit("default") if user_id is None else (F.col(user_id) if isinstance(user_id, str) else user_id)
-    good = good.withColumns({"frame_key": frame_key(), "user_id": uid})
+    good = good.drop("raw").withColumns({"frame_key": frame_key(), "user_id": uid})
     if dedup_watermark:
         good = dedup_frames(good, dedup_watermark)
     good = infer_landmarks(good, estimator_factory, image="image", out="lm", partitions=partitions)
@@ -59,7 +59,8 @@ def landed_to_frames(landed: DataFrame, user_id: Column | str | None = None,
     """
     if "lm" not in landed.columns:
         landed = landed.withColumn("lm", F.lit(None).cast("array<double>"))
-    good, _ = split_valid(landed.withColumn("json_ok", F.lit(True)))
+    good, _ = split_valid(landed if "json_ok" in landed.columns else landed.withColumn("json_ok", F.lit(True)))
+    good = good.drop("raw")
     uid = F.lit("default") if user_id is None else (F.col(user_id) if isinstance(user_id, str) else user_id)
     frames = good.select("*", "analysis_result.*", frame_key().alias("frame_key"), uid.alias("user_id"))
     if estimator_factory is not None:
@@ -173,9 +174,14 @@ def start_loader(landed_stream: DataFrame, out_base: str, checkpoint: str,
                  trigger: dict | None = None, user_id: Column | str | None = None,
                  tz: str = DEFAULT_TZ, estimator_factory: Callable[[], Estimator] | None = None
                  ) -> StreamingQuery:
-    """Landing-zone loader: landed documents -> facts, images and dimensions."""
+    """Landing-zone loader: landed documents -> facts, images and dimensions; documents
+    that cannot be decoded go to the quarantine with their raw text."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        _, bad = split_valid(batch)
+        kept = [c for c in ("file_name", "timestamp", "reason", "raw") if c in bad.columns]
+        (bad.select(*kept).write.mode("overwrite")  # a replayed batch overwrites itself
+         .parquet(f"{writers.table_path(out_base, 'loader_quarantine')}/batch_id={batch_id}"))
         load_frames(landed_to_frames(batch, user_id, estimator_factory), out_base, tz)
 
     w = landed_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
