@@ -7,7 +7,7 @@ from vertebra.cli import main
 
 def test_load_daily_report_end_to_end(spark, tmp, capsys):
     n = write_frame_files(spark, f"{tmp}/in", 0, 40)
-    main(["load", "--input", f"{tmp}/in", "--out", f"{tmp}/wh"])
+    main(["load", "--input", f"{tmp}/in", "--out", f"{tmp}/wh", "--estimator", "recorded"])
     main(["daily", "--out", f"{tmp}/wh"])
     main(["daily", "--out", f"{tmp}/wh", "--day", "2024-01-01"])  # re-run one day: no duplicates
     facts = spark.read.parquet(f"{tmp}/wh/tb_posture")
@@ -23,5 +23,6 @@ def test_load_daily_report_end_to_end(spark, tmp, capsys):
     assert "data_by_month" in capsys.readouterr().out
     main(["report", "weekly-chart", "--out", f"{tmp}/wh", "--date", "2024-01-07"])
     assert len(capsys.readouterr().out.strip().splitlines()) in (4, 8)
-    main(["live", "--input", f"{tmp}/in", "--out", f"{tmp}/live", "--checkpoint", f"{tmp}/ck", "--once"])
+    main(["live", "--input", f"{tmp}/in", "--out", f"{tmp}/live", "--checkpoint", f"{tmp}/ck", "--once",
+          "--estimator", "recorded"])
     assert spark.read.parquet(f"{tmp}/live/tb_posture").count() == n

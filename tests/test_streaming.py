@@ -176,3 +176,46 @@ def test_landing_file_sink_exactly_once(spark, frame_dir, tmp_path):
     back = spark.read.schema(__import__("vertebra.schemas", fromlist=["x"]).LANDED_DOCUMENT) \
         .json(str(tmp_path / "landing"))
     assert back.count() == n_files
+
+
+def test_undecodable_rows_survive_the_dedup_switch(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    for i in range(5):
+        (d / f"bad{i}.json").write_text("{not json")
+    for i in range(3):  # one frame, delivered three times
+        (d / f"ok{i}.json").write_text('{"timestamp": "2024-01-01 09:00:00.000000 +0900", "image_data": "ffd8"}')
+    q = jobs.start_pipeline(frame_file_stream(spark, str(d)), str(tmp_path / "out"), str(tmp_path / "ck"),
+                            stub_factory, trigger={"availableNow": True}, dedup_watermark="10 minutes")
+    q.awaitTermination(300)
+    bad = spark.read.parquet(str(tmp_path / "out" / "quarantine"))
+    assert bad.count() == 5 and bad.filter("raw like '%not json%'").count() == 5
+    assert spark.read.text(str(tmp_path / "out" / "feed")).count() == 1
+
+
+def test_two_users_at_one_instant_are_two_facts(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01 09:00:00.000000 +0900", "ffd8", u) for u in ("a", "b", "b")],
+                               "timestamp string, image_data string, who string")
+    analyzed, _ = jobs.process_frames(df, stub_factory, "who")
+    jobs.load_frames(analyzed, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "tb_posture")).count() == 2
+
+
+def test_load_keeps_the_callers_cache(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01 09:00:00.000000 +0900", "ffd8")], "timestamp string, image_data string")
+    analyzed = jobs.process_frames(df, stub_factory)[0].persist()
+    jobs.load_frames(analyzed, str(tmp_path))
+    assert analyzed.is_cached and analyzed.storageLevel.useMemory
+    analyzed.unpersist()
+
+
+def test_recorded_landmarks_tolerate_nulls():
+    from vertebra.operators.inference import recorded_landmarks_factory
+    got = recorded_landmarks_factory()()([b"[null,1,1,1,1,1,1,1,1,1,1,1]", b"[1,1,1,1,1,1,1,1,1,1,1,2]", b""])
+    assert got == [None, [1.0] * 11 + [2.0], None]
+
+
+def test_decoded_message_keeps_raw_text(spark):
+    from vertebra.operators.messages import decode_messages
+    df = spark.createDataFrame([(b"{oops",), (b'{"timestamp": "t", "image_data": "00"}',)], "value binary")
+    assert {r.raw for r in decode_messages(df).collect()} == {"{oops", None}

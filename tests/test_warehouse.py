@@ -65,3 +65,23 @@ def test_append_new_reads_only_touched_partitions(spark, tmp):
     scan = [ln for ln in plan.splitlines() if "FileScan" in ln and "struct<posture_id:string>" in ln]
     assert scan and "month_id" in scan[0].split("PartitionFilters: [")[1].split("]")[0]
     assert spark.read.parquet(p).count() == f.count()
+
+
+def test_emptied_day_is_emptied(spark, tmp):
+    import datetime as dt
+
+    from vertebra.sinks import writers
+    rows = [(2024, 1, 1, "a"), (2024, 1, 2, "b")]
+    mart = spark.createDataFrame(rows, "year_id int, month_id int, day_id int, img_filename string")
+    writers.write_daily_stat(mart, f"{tmp}/emptied")
+    writers.write_daily_stat(mart.filter("false"), f"{tmp}/emptied", dt.date(2024, 1, 1))
+    assert [r.day_id for r in spark.read.parquet(f"{tmp}/emptied").collect()] == [2]
+
+
+def test_event_without_a_vector_stays_a_frame(spark, tmp):
+    from vertebra.sources.fixtures import frames
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").limit(20).selectExpr(
+        "event_id - 10 AS event_id", "* EXCEPT (event_id)").write.parquet(f"{tmp}/neg/events.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 0").write.parquet(f"{tmp}/neg/embeddings.parquet")
+    assert frames(spark, f"{tmp}/neg").count() == 20

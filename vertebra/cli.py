@@ -48,7 +48,7 @@ def cmd_daily(spark, a) -> None:
         facts = facts.filter((F.col("year_id") == d.year) & (F.col("month_id") == d.month)
                              & (F.col("day_id") == d.day))
     writers.write_daily_stat(mart_ops.daily_stat(facts, by_user=a.by_user),
-                             writers.table_path(a.out, "tb_daily_stat"))
+                             writers.table_path(a.out, "tb_daily_stat"), d if a.day else None)
 
 
 def cmd_live(spark, a) -> None:
@@ -101,7 +101,7 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("load")
     s.add_argument("--input", required=True)
     s.add_argument("--out", required=True)
-    s.add_argument("--estimator", default="recorded", choices=["recorded", "mediapipe"])
+    s.add_argument("--estimator", required=True, choices=["recorded", "mediapipe"])
     s.add_argument("--user-id", default=None)
     s.add_argument("--partitions", type=int, default=None)
 
@@ -121,7 +121,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "live":
             s.add_argument("--kafka", default=None, help="servers/topic")
             s.add_argument("--max-per-trigger", type=int, default=None)
-            s.add_argument("--estimator", default="recorded", choices=["recorded", "mediapipe"])
+            s.add_argument("--estimator", required=True, choices=["recorded", "mediapipe"])
             s.add_argument("--partitions", type=int, default=None)
             s.add_argument("--no-tables", action="store_true")
             s.add_argument("--dedup-watermark", default=None, help="e.g. '10 minutes'")

@@ -77,11 +77,15 @@ def mediapipe_estimator_factory(model_complexity: int = 1) -> Callable[[], Estim
 
 def recorded_landmarks_factory() -> Callable[[], Estimator]:
     """Estimator for payloads that already carry landmarks as a JSON array of 12
-    numbers (pose computed upstream, or a replay of recorded results); any other
-    payload means no pose."""
+    finite numbers (pose computed upstream, or a replay of recorded results); any
+    other payload means no pose."""
 
     def factory() -> Estimator:
         import json
+        import math
+
+        def number(x):
+            return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
 
         def est(images):
             out = []
@@ -90,7 +94,7 @@ def recorded_landmarks_factory() -> Callable[[], Estimator]:
                     v = json.loads(b.decode("utf-8")) if b else None
                 except (UnicodeDecodeError, ValueError):
                     v = None
-                ok = isinstance(v, list) and len(v) == 12
+                ok = isinstance(v, list) and len(v) == 12 and all(map(number, v))
                 out.append([float(x) for x in v] if ok else None)
             return out
 

@@ -12,16 +12,18 @@ from ..schemas import FRAME_MESSAGE
 
 
 def decode_messages(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``value BINARY`` -> ``timestamp, image_data`` (+ ``json_ok`` flag, kept columns).
+    """``value BINARY`` -> ``timestamp, image_data`` (+ ``json_ok`` flag, ``raw``, kept columns).
 
-    Malformed JSON gives NULL fields with ``json_ok = false`` instead of an error.
+    Malformed JSON gives NULL fields with ``json_ok = false`` instead of an error, and its
+    text in ``raw`` (NULL for a good message).
     """
     schema = T.StructType(FRAME_MESSAGE.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json(F.col(value).cast("string"), schema,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return (df.select(*keep, parsed.alias("_m"))
-              .select(*keep, "_m.timestamp", "_m.image_data",
-                      (F.col("_m").isNotNull() & F.col("_m._corrupt").isNull()).alias("json_ok")))
+    ok = F.col("_m").isNotNull() & F.col("_m._corrupt").isNull()
+    return (df.select(*keep, parsed.alias("_m"), F.col(value).cast("string").alias("_text"))
+              .select(*keep, "_m.timestamp", "_m.image_data", ok.alias("json_ok"),
+                      F.when(~ok, F.col("_text")).alias("raw")))
 
 
 def nonnull_frames(df: DataFrame, image: str = "image_data") -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import reports, status, warehouse
 from ..operators.codec_ops import archive_frames_names, encode_frames, preview, result_feed
 from ..operators.messages import decode_messages, nonnull_frames, split_valid
 from ..operators.posture import analyze, with_c7, with_landmarks
-from ..sources.fixtures import frame_messages, frames, message_values
+from ..sources.fixtures import event_frames, frame_messages, frames, message_values
 
 # fixed query parameters
 TZ = DEFAULT_TZ
@@ -81,14 +81,14 @@ def q_decode_hex(spark, sf_dir):
 
 
 def q_encode_frames(spark, sf_dir):
-    ev = frames(spark, sf_dir)
+    ev = event_frames(spark, sf_dir)
     post = ev.select("event_id", "ts",
                      F.concat(F.lit(DATA_URL_HEADER), F.base64(F.encode("props", "UTF-8"))).alias("image"))
     return encode_frames(post, "image", "ts", TZ, keep=("event_id",))
 
 
 def q_surrogate_keys(spark, sf_dir):
-    ev = frames(spark, sf_dir)
+    ev = event_frames(spark, sf_dir)
     ids = warehouse.frame_ids("event_id", "ts", TZ)
     return ev.select("event_id", *[ids[k].alias(k) for k in ("posture_id", "img_id", "img_filename")])
 
@@ -112,7 +112,7 @@ def q_ingest_counts(spark, sf_dir):
 
 def q_calendar_parts(spark, sf_dir):
     from ..functions.timeparts import calendar_parts
-    ev = frames(spark, sf_dir).select("event_id", "ts")
+    ev = event_frames(spark, sf_dir).select("event_id", "ts")
     return calendar_parts(ev, "ts", TZ).select(
         "event_id", "year_id", "month_id", "day_id", "week_id", "iso_year", "month_value",
         "day_value", F.date_format(local_time("ts", TZ), LOCAL_TS_PATTERN).alias("local_ts"))
@@ -239,7 +239,7 @@ def q_skeleton_segments(spark, sf_dir):
 
 def q_capture_gaps(spark, sf_dir):
     from ..operators.cadence import capture_gaps
-    return capture_gaps(frames(spark, sf_dir).select("event_id", "user_id", "ts"), tz=TZ)
+    return capture_gaps(event_frames(spark, sf_dir).select("event_id", "user_id", "ts"), tz=TZ)
 
 
 def q_score_rollup(spark, sf_dir):

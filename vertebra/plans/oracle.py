@@ -16,7 +16,7 @@ n AS (SELECT count(*) AS n FROM embeddings),
 fr AS (
   SELECT e.event_id, e.user_id, e.ts, e.event_type, e.props,
          CASE WHEN e.event_type <> 'error' THEN v.embedding[1:12]::DOUBLE[] END AS lm
-  FROM events e CROSS JOIN n JOIN embeddings v ON v.vec_id = e.event_id % n.n
+  FROM events e CROSS JOIN n LEFT JOIN embeddings v ON v.vec_id = ((e.event_id % n.n) + n.n) % n.n
 )"""
 
 

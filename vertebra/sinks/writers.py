@@ -1,12 +1,14 @@
 """Table, blob, landing, feed and archive writers.
 
-Every writer is idempotent under re-execution: partition overwrite for
-derived tables, key anti-joins for append-only tables.  Errors fail the job
+Writers are idempotent under re-execution (partition overwrite for derived tables, key
+anti-joins for append-only tables), but for ``append``, ``archive_frames`` and
+``write_landing`` / ``write_feed`` without ``batch_id``, which add what they are given.  Errors fail the job
 instead of being printed and dropped.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import DEFAULT_TZ
 from ..operators.warehouse import anti_join
-from ..sources.tables import exists
+from ..sources.tables import exists, remove
 
 FACT_PARTITIONS = ["year_id", "month_id"]
 
@@ -34,6 +36,7 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt:
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
     """Replace exactly the partitions present in ``df`` (dynamic overwrite)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .option("ignoreNullFields", "false")  # JSON documents keep all their keys
        .format(fmt).partitionBy(*partition_by).save(path))
 
 
@@ -84,8 +87,12 @@ def write_images(images: DataFrame, path: str, tz: str = DEFAULT_TZ) -> DataFram
     return append_new(parts, path, ["img_filename"], FACT_PARTITIONS)
 
 
-def write_daily_stat(mart: DataFrame, path: str) -> None:
-    """Daily mart rows; re-running a day replaces that day instead of duplicating it."""
+def write_daily_stat(mart: DataFrame, path: str, day: dt.date | None = None) -> None:
+    """Daily mart rows; re-running a day replaces that day instead of duplicating it.  With
+    ``day``, the one day of ``mart``, a day left without frames loses its stored rows too."""
+    if day is not None and mart.isEmpty():
+        remove(mart.sparkSession, f"{path}/year_id={day.year}/month_id={day.month}/day_id={day.day}")
+        return
     overwrite_partitions(mart, path, ["year_id", "month_id", "day_id"])
 
 
@@ -102,7 +109,7 @@ def write_landing(analyzed: DataFrame, path: str, batch_id: int | None = None,
                                    "posture_correct").alias("analysis_result"),
                           lm.alias("lm"))
     if batch_id is None:
-        doc.write.mode("append").json(path)
+        doc.write.mode("append").option("ignoreNullFields", "false").json(path)
     else:
         overwrite_partitions(doc.withColumn("batch_id", F.lit(batch_id)), path, ["batch_id"], "json")
 

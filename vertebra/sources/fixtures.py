@@ -1,8 +1,8 @@
 """Frames derived from the driver tables (``events`` + ``embeddings``).
 
 Each event is a camera frame of user ``user_id`` at UTC instant ``ts``; its pose
-landmarks are the first 12 embedding coordinates of vector ``event_id % n``
-(``n`` = number of embeddings), and ``error`` events stand for frames where no
+landmarks are the first 12 embedding coordinates of vector ``event_id mod n``
+(``n`` = number of embeddings; an event without such a vector has no landmarks), and ``error`` events stand for frames where no
 pose was found.  The message view renders the frame as the producer would: a
 KST timestamp text and the image bytes (here the UTF-8 of ``props``) as hex.
 """
@@ -20,6 +20,12 @@ from .tables import read_table
 LANDMARK_WIDTH = 12  # LS xyz, RS xyz, LE xyz, RE xyz
 
 
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames without landmarks: ``events`` alone, no join."""
+    return read_table(spark, sf_dir, "events", EVENTS).select("event_id", "user_id", "ts",
+                                                              "event_type", "props")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, user_id, ts (UTC, NTZ), event_type, props, lm array<double>``.
 
@@ -29,13 +35,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     parquet metadata) and enters as a literal: a scalar subquery would get a
     fresh id in every branch of a plan and block the reuse of shared shuffles.
     """
-    ev = read_table(spark, sf_dir, "events", EVENTS).select("event_id", "user_id", "ts",
-                                                     "event_type", "props")
+    ev = event_frames(spark, sf_dir)
     emb = read_table(spark, sf_dir, "embeddings", EMBEDDINGS).select("vec_id", "embedding")
     n = emb.count()
-    key = F.col("event_id") % F.lit(n) if n else F.lit(None).cast("long")
+    key = F.pmod(F.col("event_id"), F.lit(n)) if n else F.lit(None).cast("long")
     ev = ev.withColumn("vec_key", key)
-    j = ev.join(emb, ev.vec_key == emb.vec_id, "inner")
+    j = ev.join(emb, ev.vec_key == emb.vec_id, "left")
     lm = F.when(F.col("event_type") != "error",
                 F.slice("embedding", 1, LANDMARK_WIDTH).cast("array<double>"))
     return j.select("event_id", "user_id", "ts", "event_type", "props", lm.alias("lm"))

@@ -12,6 +12,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system; a missing one is fine."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def read_table(spark: SparkSession, base: str, name: str,
                schema: T.StructType | None = None) -> DataFrame:
     """``base/name.parquet`` if it exists, else the folder ``base/name``.

@@ -24,9 +24,15 @@ from ..operators.posture import analyze, with_landmarks
 from ..sinks import writers
 
 
-def frame_key() -> Column:
-    """Content key of a frame: the same image at the same instant is the same frame."""
-    return surrogate_key(F.col("timestamp"), F.sha2(F.col("image_data"), 256))
+def _user(user_id: Column | str | None) -> Column:
+    if user_id is None:
+        return F.lit("default")
+    return F.col(user_id) if isinstance(user_id, str) else user_id
+
+
+def frame_key(user: Column) -> Column:
+    """Content key of a frame: the same user's same image at the same instant is the same frame."""
+    return surrogate_key(F.col("timestamp"), F.sha2(F.col("image_data"), 256), F.coalesce(user.cast("string"), F.lit("")))
 
 
 def process_frames(df: DataFrame, estimator_factory: Callable[[], Estimator],
@@ -41,8 +47,8 @@ def process_frames(df: DataFrame, estimator_factory: Callable[[], Estimator],
     if "value" in df.columns and "image_data" not in df.columns:
         df = decode_messages(df)
     good, bad = split_valid(df)
-    uid = F.lit("default") if user_id is None else (F.col(user_id) if isinstance(user_id, str) else user_id)
-    good = good.drop("raw").withColumns({"frame_key": frame_key(), "user_id": uid})
+    uid = _user(user_id)
+    good = good.drop("raw").withColumns({"frame_key": frame_key(uid), "user_id": uid})
     if dedup_watermark:
         good = dedup_frames(good, dedup_watermark)
     good = infer_landmarks(good, estimator_factory, image="image", out="lm", partitions=partitions)
@@ -61,8 +67,8 @@ def landed_to_frames(landed: DataFrame, user_id: Column | str | None = None,
         landed = landed.withColumn("lm", F.lit(None).cast("array<double>"))
     good, _ = split_valid(landed if "json_ok" in landed.columns else landed.withColumn("json_ok", F.lit(True)))
     good = good.drop("raw")
-    uid = F.lit("default") if user_id is None else (F.col(user_id) if isinstance(user_id, str) else user_id)
-    frames = good.select("*", "analysis_result.*", frame_key().alias("frame_key"), uid.alias("user_id"))
+    uid = _user(user_id)
+    frames = good.select("*", "analysis_result.*", frame_key(uid).alias("frame_key"), uid.alias("user_id"))
     if estimator_factory is not None:
         missing = frames.filter(F.col("lm").isNull()).drop("lm")
         redo = infer_landmarks(missing, estimator_factory, image="image", out="lm")
@@ -79,11 +85,13 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ,
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import StorageLevel
+    from pyspark import StorageLevel, inheritable_thread_target
 
     # seven writes share one pass over the input and the inference stage; a
     # lost executor only recomputes its blocks (ids are deterministic)
-    analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
+    mine = not analyzed.is_cached  # a caller's cache may still serve its other sinks
+    if mine:
+        analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         analyzed.count()  # one inference pass fills the cache; the writes only read it
         facts = warehouse.to_facts(analyzed, key="frame_key", ts="event_ts", user="user_id", tz=tz,
@@ -98,10 +106,11 @@ def load_frames(analyzed: DataFrame, base: str, tz: str = DEFAULT_TZ,
         # the writes are independent Spark jobs: submit them together so the
         # small dimension jobs overlap instead of queueing behind each other
         with ThreadPoolExecutor(max_workers=len(tasks) if concurrent else 1) as pool:
-            futures = {name: pool.submit(fn) for name, fn in tasks.items()}
+            futures = {name: pool.submit(inheritable_thread_target(fn)) for name, fn in tasks.items()}
             out = {name: f.result() for name, f in futures.items()}
     finally:
-        analyzed.unpersist()
+        if mine:
+            analyzed.unpersist()
     return out
 
 
@@ -121,21 +130,24 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
         try:
             from concurrent.futures import ThreadPoolExecutor
 
+            from pyspark import inheritable_thread_target
+
             analyzed.count()  # build the cache once, before the sinks read it concurrently
 
+            kept = [c for c in ("file_name", "timestamp", "image_data", "reason", "raw") if c in bad.columns]
             tasks = [
                 lambda: writers.write_feed(result_feed(analyzed), writers.table_path(out_base, "feed"),
                                            batch_id),
                 lambda: writers.write_landing(analyzed, writers.table_path(out_base, "landing"), batch_id),
                 lambda: writers.overwrite_partitions(
-                    bad.select("timestamp", "image_data", "reason").withColumn("batch_id", F.lit(batch_id)),
+                    bad.select(*kept).withColumn("batch_id", F.lit(batch_id)),
                     writers.table_path(out_base, "quarantine"), ["batch_id"]),
             ]
             if load_tables:
                 tasks.append(lambda: load_frames(analyzed, out_base, tz))
             # independent sinks over the persisted batch: run them as concurrent jobs
             with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
-                for f in [pool.submit(t) for t in tasks]:
+                for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]:
                     f.result()
         finally:
             analyzed.unpersist()
@@ -144,10 +156,14 @@ def start_pipeline(stream: DataFrame, out_base: str, checkpoint: str,
     # live counters per micro-batch, reported in StreamingQueryProgress.observedMetrics
     stream = stream.observe("ingest", F.count(F.lit(1)).alias("n_messages"))
     if dedup_watermark:
-        # redelivered frames are dropped across micro-batches (watermark-bounded state)
+        # redelivered frames are dropped across micro-batches (watermark-bounded state);
+        # rows that cannot be decoded share no key, so each of them goes on to the quarantine
         if "value" in stream.columns and "image_data" not in stream.columns:
             stream = decode_messages(stream)
-        stream = (stream.withColumns({"event_ts": parse_message_ts("timestamp"), "frame_key": frame_key()})
+        instant = parse_message_ts("timestamp")
+        known = instant.isNotNull() & F.col("image_data").isNotNull()
+        key = F.when(known, frame_key(_user(user_id))).otherwise(F.expr("uuid()"))
+        stream = (stream.withColumns({"event_ts": instant, "frame_key": key})
                   .withWatermark("event_ts", dedup_watermark)
                   .dropDuplicatesWithinWatermark(["frame_key"])
                   .drop("event_ts", "frame_key"))
@@ -164,7 +180,7 @@ def start_landing_sink(analyzed: DataFrame, path: str, checkpoint: str,
     doc = analyzed.select("image_data", "timestamp",
                           F.struct("cva_left", "cva_right", "fha_left", "fha_right",
                                    "posture_correct").alias("analysis_result"), lm.alias("lm"))
-    w = doc.writeStream.format("json").option("checkpointLocation", checkpoint)
+    w = doc.writeStream.format("json").option("ignoreNullFields", "false").option("checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
     return w.start(path)
