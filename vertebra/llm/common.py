@@ -14,20 +14,22 @@ from ..session import scratch_path
 
 #: Characters (code units of Arrow text) that one Python work unit handles at once.
 UNIT_CHARS = 1_500_000
-#: Rows of an Arrow batch at most: rows carry whole texts, and a batch exists twice outside
-#: the Java heap.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: rows carry whole texts, and a batch exists
+#: twice outside the Java heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a folder, through Spark's reader only (any URI).
 
-    Also lowers the session's Arrow batch size to ``BATCH_ROWS`` (a larger one is a matter
-    of memory only, never of results) and leaves it so: the caller runs the plan later.
+    Also lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` (a larger
+    one is a matter of memory only, never of results) and leaves it so: the caller runs the
+    plan later.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -68,6 +70,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             part = batch.slice(start, end - start)
             yield part, part.column(at).to_pylist()
             start = end
+        del batch
+        pa.default_memory_pool().release_unused()  # workers are kept, and so is what their pool holds
 
 
 def heaviest(df: DataFrame, weight: str, most: int) -> DataFrame:
