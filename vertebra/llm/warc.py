@@ -161,19 +161,20 @@ def assemble(recs: DataFrame) -> DataFrame:
     ``response`` is the response or revisit record; requests and metadata come with the
     record that they are concurrent to (the smallest record_id, should several be).  A
     capture whose response is missing has null there; a response without request or
-    metadata has nulls there.
+    metadata has nulls there.  Requests and metadata without any identifier share one row.
     """
     body = F.struct("record_id", "uri", "date", "status", "warc_type", "payload_bytes", "payload_digest", "payload")
     kind = F.col("warc_type")
     own = kind.isin("response", "revisit")
     keyed = recs.select(F.when(own, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("capture_id"), "*")
     left = keyed.where(own).select("capture_id", body.alias("response"))
-    request = (keyed.where(kind == "request").groupBy("capture_id")
-               .agg(F.min(F.struct("record_id", "uri", "date", "status")).alias("request")))
-    metadata = (keyed.where(kind == "metadata").select("capture_id", "record_id", F.map_entries("fields").alias("f"))
-                .groupBy("capture_id").agg(F.min(F.struct("record_id", "f")).alias("m"))
-                .select("capture_id", F.struct(F.col("m.record_id").alias("record_id"), F.map_from_entries("m.f").alias("fields")).alias("metadata")))
-    return left.join(request, "capture_id", "full").join(metadata, "capture_id", "full").select("capture_id", "request", "response", "metadata")
+    # one scan for both: every branch reads and parses the archives again
+    asked = F.when(kind == "request", F.struct("record_id", "uri", "date", "status"))
+    said = F.when(kind == "metadata", F.struct("record_id", F.map_entries("fields").alias("f")))
+    beside = (keyed.where(kind.isin("request", "metadata")).groupBy("capture_id").agg(F.min(asked).alias("request"), F.min(said).alias("m"))
+              .select("capture_id", "request", F.when(F.col("m").isNotNull(), F.struct(
+                  F.col("m.record_id").alias("record_id"), F.map_from_entries("m.f").alias("fields"))).alias("metadata")))
+    return left.join(beside, "capture_id", "full").select("capture_id", "request", "response", "metadata")
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
