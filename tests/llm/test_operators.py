@@ -252,6 +252,26 @@ def test_language_of_awkward_rows(spark, docs, awkward, empty):
     assert {r["lang_pred"] for r in langid.op8(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {x: ["".join(rng.choices(x, k=rng.randint(3, 6))) for _ in range(40)] for x in ("abcd", "efgh", "ijkl")}
+    say = lambda x: " ".join(rng.choices(words[x], k=30))
+    data = [(i, say("abcd" if i % 2 else "efgh"), "x" if i % 2 else "y") for i in range(6000)] + [(9000 + i, say("ijkl"), "rare") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), sample=200)
+    assert model.langs == ["rare", "x", "y"]
+    assert model.bits([say(x).encode() for x in words]).argmin(axis=1).tolist() == [1, 2, 0]
+    monkeypatch.setattr(langid, "GRAMS", 300)  # the commonest n-grams of all are those of x and y
+    monkeypatch.setattr(langid, "LEAST_GRAMS", 100)
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.langs == ["rare", "x", "y"]
+    assert model.bits([say(x).encode() for x in words]).argmin(axis=1).tolist() == [1, 2, 0]
+    same = [(None, "abc abd", "x")] * 900 + [(None, "zzz yyy", "z")] * 900 + [(7, "", "w")]  # one draw for all rows of a language
+    assert langid.fit(spark.createDataFrame(same, "doc_id long, text string, lang string"), sample=2).langs == ["x", "z"]
+    many = [(i, f"text {i}", f"l{i:03}") for i in range(300)]
+    assert len(langid.fit(spark.createDataFrame(many, "doc_id long, text string, lang string")).langs) == 300
+    assert langid.level([1, 5, 1000, 1000], 100, 10) == 47 and langid.level([5, 5, 5], 6, 3) == 3 and langid.level([4, 5], 90, 3) == 5
+
+
 def test_forward_and_backward_equal_enumeration():
     rng = np.random.default_rng(0)
     norm = lambda x: x / x.sum(-1, keepdims=True)

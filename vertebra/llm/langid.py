@@ -6,8 +6,8 @@ context has not seen costs the escape -log2(distinct / (total + distinct)) plus
 length in the next shorter context, down to the uniform distribution (method C without
 exclusions).  The language of the shortest code wins.
 
-The trees' union is laid out as arrays, so a batch of texts is scored without a loop over
-bytes: ``ORDER`` lookups find each position's longest known context, one more its costs.
+A language's tree is laid out as ordered arrays, so a batch of texts is scored without a
+loop over bytes: each distinct n-gram of the batch is looked up once per language and depth.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heaviest, in_fold, pieces, stash
+from .common import in_fold, pieces, stash
 
 ORDER = 3
-#: Bounds of the training sample (rows), the n-grams kept, and the cost table (cells).
-SAMPLE, GRAMS, CELLS = 12_000, 250_000, 5_000_000
+#: Rows of the training sample and n-grams kept, over all languages.
+SAMPLE, GRAMS = 12_000, 250_000
+#: What every language gets of them at least, if it has as many.
+LEAST_ROWS, LEAST_GRAMS = 100, 10_000
 #: Texts of more bytes count as so many when code lengths become a probability.
 EVIDENCE = 64.0
 UNKNOWN = "und"
@@ -52,107 +54,122 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
 
 
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the sum of n and the number of rows of each."""
+    kinds, where = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(where, weights=n, minlength=len(kinds)), np.bincount(where, minlength=len(kinds))
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every wanted key in the ordered keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
 class Model:
-    """Context trees of the languages ``langs``; ``child[node, symbol]`` is the context one
-    byte longer (its oldest byte is the symbol) or -1, ``cost[node, symbol]`` the code
-    lengths, one per language."""
+    """Context trees of the languages ``langs``, one each.  Per language and depth: the known
+    bytes in their contexts with their code lengths, the known contexts with their escapes."""
 
     def __init__(self, langs: list[str], codes: np.ndarray, lang: np.ndarray, n: np.ndarray):
         self.langs = langs
-        count = max(len(langs), 1)
-        digits = np.stack([(codes // 257 ** (ORDER - i)) % 257 for i in range(ORDER + 1)], 1) if len(codes) else np.zeros((0, ORDER + 1), np.int64)
-        seen = np.unique(digits[digits != _PAD])
-        self.symbol = np.full(257, len(seen), dtype=np.int32)  # bytes never seen share a number
-        self.symbol[seen] = np.arange(len(seen))
-        self.symbol[_PAD] = len(seen) + 1
-        width = self.width = len(seen) + 2
-        sym = self.symbol[digits]
-        base = np.full((1, width, count), 8.0, dtype=np.float32)
-        child, cost, node = [np.full((1, width), -1, np.int32)], [], np.zeros(len(codes), np.int64)
-        cost.append(self._costs(base, np.zeros(1, np.int64), node, sym[:, ORDER], lang, n, 1))
-        total, parents = 1, np.zeros(1, np.int64)
-        room = max(CELLS // (width * count), 2)
-        for depth in range(1, ORDER + 1):
-            key = node * width + sym[:, ORDER - depth]  # contexts of this depth, by their parent and oldest byte
-            there = node >= 0
-            kinds, where = np.unique(key[there], return_inverse=True)
-            weight = np.bincount(where, weights=n[there], minlength=len(kinds))
-            kept = np.sort(np.argsort(-weight, kind="stable")[: max(room - total, 0)])
-            new = np.full(len(kinds), -1, np.int64)
-            new[kept] = total + np.arange(len(kept))
-            parents = kinds[kept] // width
-            grown = np.full((len(kept), width), -1, np.int32)
-            table = np.concatenate([*child, grown])
-            table[parents, kinds[kept] % width] = new[kept]
-            child = [table]
-            at = np.full(len(codes), -1, np.int64)
-            at[there] = new[where]
-            cost.append(self._costs(np.concatenate(cost), parents, np.where(at >= 0, at - total, -1), sym[:, ORDER], lang, n, len(kept)))
-            node, total = at, total + len(kept)
-        self.child, self.cost = child[0], np.concatenate(cost)
-
-    def _costs(self, shorter, parents, node, symbol, lang, n, nodes) -> np.ndarray:
-        """Code lengths of new nodes from their counts and their parents' code lengths."""
-        count = shorter.shape[2]
-        freq = np.zeros((nodes, self.width, count), dtype=np.float32)
-        on = node >= 0
-        np.add.at(freq, (node[on], symbol[on], lang[on]), n[on])
-        out = shorter[parents]
-        total, distinct = freq.sum(axis=1), (freq > 0).sum(axis=1)
-        known = total > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = -np.log2(distinct / (total + distinct))
-            own = -np.log2(freq / (total + distinct)[:, None, :])
-        out = out + np.where(known, escape, 0)[:, None, :].astype(np.float32)
-        return np.where(freq > 0, own, out).astype(np.float32)
+        self.trees = []
+        order = np.argsort(lang, kind="stable")
+        ends = np.searchsorted(lang[order], np.arange(len(langs) + 1))
+        for at, end in zip(ends, ends[1:]):
+            code, m, tree = codes[order[at:end]], n[order[at:end]], []
+            for depth in range(ORDER + 1):
+                gram, freq, _ = _sums(code % 257 ** (depth + 1), m)
+                context, total, distinct = _sums(gram // 257, freq)
+                own = -np.log2(freq / (total + distinct)[_find(context, gram // 257)[0]])
+                tree.append((gram, own.astype(np.float32), context, (-np.log2(distinct / (total + distinct))).astype(np.float32)))
+            self.trees.append(tree)
+
+    def _costs(self, tree, codes: np.ndarray) -> np.ndarray:
+        """Code length of every byte (``codes`` as of _codes, distinct and ordered) in one language."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for depth in range(ORDER, -1, -1):
+            gram, own, context, escape = tree[depth]
+            wanted = codes[left] % 257 ** (depth + 1)
+            at, there = _find(gram, wanted)
+            out[left[there]] += own[at[there]]
+            left, wanted = left[~there], wanted[~there] // 257
+            at, there = _find(context, wanted)
+            out[left[there]] += escape[at[there]]
+        out[left] += 8.0
+        return out
 
     def bits(self, data: list[bytes]) -> np.ndarray:
         """Code length of each byte string (a row) in each language (a column)."""
         lengths = np.array([len(d) for d in data], dtype=np.int64)
         out = np.zeros((len(data), len(self.langs)))
-        gap = bytes(1)
-        row = self.symbol[np.frombuffer(gap.join([b"\0" * (ORDER - 1), *data]) if data else b"", dtype=np.uint8)]
-        # layout: before every string at least one pad; the strings' bytes start at `starts`
-        starts = ORDER + np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if data else np.zeros(0, np.int64)
-        pad = self.symbol[_PAD]
-        row[:ORDER] = pad
-        row[starts[1:] - 1] = pad
-        mine = np.ones(len(row), dtype=bool)
-        mine[:ORDER] = False
-        mine[starts[1:] - 1] = False
-        pos = np.nonzero(mine)[0]
-        node = np.zeros(len(pos), dtype=np.int32)
-        best = node
-        ended = np.zeros(len(pos), dtype=bool)
-        for back in range(1, ORDER + 1):
-            sym = np.where(ended, pad, row[pos - back])
-            ended |= sym == pad
-            nxt = np.where(node >= 0, self.child[node, sym], -1)
-            best = np.where(nxt >= 0, nxt, best)
-            node = nxt
-        cost = self.cost[best, row[pos]]
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(data) else lengths
         full = lengths > 0
-        if full.any():
-            out[full] = np.add.reduceat(cost, begin[full], axis=0, dtype=np.float64)
+        if not full.any():
+            return out
+        codes, where = np.unique(_codes(data), return_inverse=True)  # the same few n-grams, again and again
+        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])[full]
+        for i, tree in enumerate(self.trees):
+            out[full, i] = np.add.reduceat(self._costs(tree, codes)[where], begin)
         return out
 
 
+def level(sizes: list[int], bound: int, least: int) -> float:
+    """The share of each of several sizes if ``bound`` is dealt out evenly and what small ones
+    leave goes to the others; ``least`` at least."""
+    left = float(bound)
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return max(left / (len(sizes) - i), least)
+        left -= n
+    return float(max([least, *sizes]))
+
+
+def _draw(*cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+
+
+def heaviest_of_each(grams: DataFrame) -> DataFrame:
+    """The n-grams (lang, code, n) of largest n of each language: about GRAMS in all, dealt out
+    by ``level``.  The last step of n that has room (a sixteenth of a doubling) is thinned by a hash."""
+    step = F.floor(F.log2("n") * 16)
+    steps = grams.groupBy("lang", step.alias("s")).agg(F.count("*").alias("c")).orderBy("lang", F.desc("s")).collect()
+    sizes: dict[str, int] = {}
+    for r in steps:
+        sizes[r["lang"]] = sizes.get(r["lang"], 0) + r["c"]
+    share = level(list(sizes.values()), GRAMS, LEAST_GRAMS)
+    cuts, used = {}, dict.fromkeys(sizes, 0)
+    for r in steps:
+        room = share - used[r["lang"]]
+        if room > 0:
+            cuts[r["lang"]] = (r["lang"], r["s"], min(1.0, room / r["c"]))
+        used[r["lang"]] += r["c"]
+    table = grams.sparkSession.createDataFrame(list(cuts.values()), "lang string, cut long, part double")
+    return (grams.join(F.broadcast(table), "lang").where((step > F.col("cut")) | ((step == F.col("cut")) & (_draw("code") < F.col("part"))))
+            .select("lang", "code", "n"))
+
+
 def fit(docs: DataFrame, train=None, sample: int = SAMPLE) -> Model:
     """Learn the languages from the rows of ``docs`` (doc_id, text, lang) that ``train`` (a
-    Column) holds for; rows without text or lang teach nothing.  About ``sample`` rows
-    are used, chosen by a hash of doc_id and text, and GRAMS of their commonest n-grams at most."""
+    Column) holds for; rows without text or lang teach nothing.
+
+    Every language that has a text is learned, however rare it is.  About ``sample`` rows are
+    used, chosen by a hash of doc_id and text and dealt out evenly: all rows of a language with
+    few, LEAST_ROWS of every other at least.  So are the n-grams (GRAMS, LEAST_GRAMS).  Over
+    ``sample`` / LEAST_ROWS languages the sample, over GRAMS / LEAST_GRAMS the model grows with
+    their number.
+    """
     train = F.lit(True) if train is None else train
-    rows = docs.select("doc_id", "text", "lang").where(train & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.where(draw < min(1.0, sample / max(n, 1)))
+    rows = (docs.select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & (F.col("text") != ""))
+            .withColumn("draw", _draw("doc_id", "text")))
+    each = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
+    if not each:
+        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    share = level([r["n"] for r in each], sample, LEAST_ROWS)
+    upto = docs.sparkSession.createDataFrame([(r["lang"], max(r["first"], share / r["n"])) for r in each], "lang string, upto double")
+    some = rows.join(F.broadcast(upto), "lang").where(F.col("draw") <= F.col("upto"))
     grams = stash(some.select("text", "lang").mapInArrow(_count, "lang string, code long, n long")
                   .groupBy("lang", "code").agg(F.sum("n").alias("n")), "ppm-grams")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    kept = heaviest(grams, "n", GRAMS).toPandas().sort_values(["lang", "code"])
-    langs = sorted(set(langs) & set(kept["lang"]))
-    kept = kept[kept["lang"].isin(langs)]
+    kept = heaviest_of_each(grams).toPandas().sort_values(["lang", "code"])
+    langs = sorted(set(kept["lang"]))
     number = {x: i for i, x in enumerate(langs)}
     return Model(langs, kept["code"].to_numpy(np.int64), kept["lang"].map(number).to_numpy(np.int64), kept["n"].to_numpy(np.float64))
 
