@@ -346,6 +346,19 @@ def test_estimate_trusts_precise_rules():
     assert post[good] > 0.9 and post[one] < 0.5 and post[two] < 0.5 and quality.estimate({}) == {}
 
 
+def test_estimate_follows_the_documents():
+    good, few, symbols, repeats, shouts = "2222222", "2222220", "0222222", "2202222", "2200022"
+    # shares of bad documents from 1 in 200 to two thirds, rules that fire together, any size
+    for times in (0.05, 1, 5, 20):
+        for size in (0.1, 1, 1000):
+            counts = {good: 8000 * size, few: 136 * size} | {k: v * times * size for k, v in ((symbols, 650), (repeats, 240), (shouts, 330))}
+            post = quality.estimate(counts)
+            assert post[good] > 0.8 and post[few] > 0.5 and max(post[symbols], post[repeats], post[shouts]) < 0.2, (times, size)
+    # the documents overrule the start: what only ever fires with a precise rule is found without it
+    alone = quality.estimate({good: 8000, "2222202": 30})["2222202"]
+    assert quality.estimate({good: 8000, "2222202": 30, "0222202": 3000})["2222202"] < alone - 0.1
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as c
 

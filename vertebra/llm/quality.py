@@ -1,8 +1,8 @@
 """Quality rules by weak supervision.
 
 Each rule votes good, bad or abstains on a document.  Expectation-maximisation over the
-votes of all documents estimates, per rule, how often it votes each way on good and on bad
-documents; a document is kept if its posterior probability of being good is high enough.
+votes of all documents estimates how many documents are good or of each kind of bad, and
+per rule, how often it votes each way on them; a document is kept if its posterior probability of being good is high enough.
 All documents enter as counts of vote patterns (3 ** rules at most), so the estimate needs
 one aggregation however many documents there are.
 """
@@ -96,10 +96,10 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *[f"{f} long" for f in FEATURES]]))
 
 
-#: Where the estimate starts: the share of bad documents.
-BAD = 0.15
-#: Weight of that start against the documents' votes.
-BELIEF = 4.0
+#: Share of its own kind of bad document that a rule is believed to find to begin with.
+OWN = 0.9
+#: Weight of the beliefs, in documents: they fade as documents speak.
+BELIEF = 100.0
 
 
 def vote(measured: DataFrame) -> DataFrame:
@@ -116,33 +116,40 @@ def vote(measured: DataFrame) -> DataFrame:
 def estimate(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Posterior probability of good for each vote pattern, from the numbers of documents.
 
-    Votes are independent given the class.  It starts from a share of BAD bad documents
-    that get PRECISE of each rule's bad votes and their share of all other votes: a rule
-    is taken to find its own kind of bad document, and not to know the others.  This belief
-    stays as a prior worth BELIEF documents per document: without it, rules that often
-    fire together would claim the bad class for themselves.
+    The classes are the good documents and one kind of bad document for each rule that is
+    believed right more often than not; a document is good, or of one kind.  Votes are
+    independent given the class, and an abstention says nothing.  Each kind starts with
+    the share of documents its rule's right votes make up, as one that this rule finds and
+    the others do not know.  From there shares and rates follow the documents: rules that
+    fire together fire together on a kind, and do not claim bad documents of another kind
+    for themselves.  Votes cannot tell whether a rule that fires alone is right: there the
+    start remains, however many documents there are.
     """
     keys = sorted(patterns)
     if not keys:
         return {}
     n = np.array([patterns[k] for k in keys], dtype=np.float64)
-    marks = (np.array([[int(c) for c in k] for k in keys])[:, :, None] == np.arange(3)).astype(np.float64)
-    share = (np.einsum("p,prv->rv", n, marks) + 1) / (n.sum() + 3)  # rule, vote
-    prior = np.array([BAD, 1 - BAD])
+    votes = np.array([[int(c) for c in k] for k in keys])
+    marks = np.stack([votes == 0, votes == 2], axis=2).astype(np.float64)  # pattern, rule, bad or good
+    fired = (n @ marks[:, :, 0] + 0.1) / (n.sum() + 1)
     precise = np.array([r[-1] for r in RULES])
-    of_bad = np.stack([np.minimum(precise * share[:, 0] / BAD, 0.9), (1 - precise) * share[:, 0] / (1 - BAD)])  # class, rule
-    others = share[:, 1:] / share[:, 1:].sum(axis=1, keepdims=True)
-    first = np.concatenate([of_bad[:, :, None], (1 - of_bad)[:, :, None] * others], axis=2)  # class, rule, vote
-    like, post = first, None
+    kinds = np.nonzero(precise > 0.5)[0]
+    bad = float(precise[kinds] @ fired[kinds])
+    start = np.append(precise[kinds] * fired[kinds], max(1 - bad, bad))  # kinds, good; rules overlap where bad is large
+    start /= start.sum()
+    of_bad = np.tile((1 - precise) * fired, (len(start), 1))  # class, rule
+    of_bad[np.arange(len(kinds)), kinds] = OWN
+    first = np.stack([of_bad, 1 - of_bad], axis=2)
+    prior, like, post = start, first, None
     for _ in range(rounds):
         logs = np.log(prior)[:, None] + np.einsum("prv,crv->cp", marks, np.log(like))
         post = np.exp(logs - logs.max(axis=0))
         post /= post.sum(axis=0)
         weight = post * n
-        prior = (weight.sum(axis=1) / n.sum() + BELIEF * np.array([BAD, 1 - BAD])) / (1 + BELIEF)
-        like = np.einsum("cp,prv->crv", weight, marks) + BELIEF * n.sum() * prior[:, None, None] * first
+        prior = (weight.sum(axis=1) + BELIEF * start) / (n.sum() + BELIEF)
+        like = np.einsum("cp,prv->crv", weight, marks) + BELIEF * start[:, None, None] * first
         like /= like.sum(axis=2, keepdims=True)
-    return dict(zip(keys, post[1].tolist()))
+    return dict(zip(keys, post[-1].tolist()))
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
