@@ -145,6 +145,23 @@ def test_near_duplicates_equal_brute_force(spark, docs, awkward, empty, monkeypa
     assert rows(neardup.near_duplicates(empty)) == []
 
 
+def test_crowded_buckets_leave_no_pair_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(neardup, "OUTSIDE", 7)
+    sigs = rng.integers(0, neardup.CIRCLE, (40, neardup.COORDS)).astype(np.uint32)
+    sigs[1] = sigs[0]
+    sigs[1, 7::4] += 1  # 97 coordinates of 128 agree, but of all bands only the first
+    sigs[3] = sigs[2]
+    sigs[3, 4::8] += 1  # twos and bands are hit differently: 112 agree
+    sigs[5] = sigs[4]
+    sigs[5, 74:] += 1  # 74 agree, one after the other
+    sigs[:, :4] = 9
+    nodes = spark.createDataFrame([(i, 100, neardup.band_keys(s).tolist(), bytearray(s.astype(np.uint8).tobytes())) for i, s in enumerate(sigs)],
+                                  "node long, n long, keys array<long>, sig binary")
+    members = nodes.select(F.col("keys")[0].alias("bkey"), "node", F.col("node").alias("comp"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last"))
+    assert sorted(rows(neardup._asks(members, nodes, 2))) == [(0, 1), (2, 3), (4, 5)]
+
+
 def test_archives_round_trip(spark, tmp):
     body = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
     data = [(3, "http://a.b/c d", body), (1, "http://a.b/\n", body), (2, None, "short"), (4, "u", "short"), (5, "u", None),

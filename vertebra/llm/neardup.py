@@ -221,9 +221,11 @@ def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _asks(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     """b, comp: node b may be linked to a member of another component.  ``rows`` (bkey,
-    node, comp, n) are members of buckets; those of one component are done.  A bucket with
-    many members outside its largest component is split by a second band first (``depth``
-    times at most); what is left meets in blocks, so no pair is left out."""
+    node, comp, n, band, last) are members of buckets; those of one component are done.  A
+    bucket with many members outside its largest component is split first (``depth`` times at
+    most) by two coordinates next to each other, outside the band and after the ``last`` two;
+    what is left meets in blocks.  Of the other 62 twos, AGREE coordinates fill four at
+    least, so a pair that agrees enough meets whatever the size of its bucket."""
     per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"))
     kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
     open_ = kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
@@ -237,9 +239,11 @@ def _asks(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     both = asking.unionByName(asked).join(nodes.select("node", "sig"), "node")
     found = both.groupBy("bkey", "g", "s").applyInPandas(_matches, "b long, comp long").distinct()
     if depth and not (crowded := rows.where(F.col("out") > OUTSIDE)).isEmpty():
-        finer = crowded.join(nodes.select("node", "keys"), "node").select(
-            "node", "comp", "n", "bkey", F.explode("keys").alias("k2")).where("k2 <> bkey").select(
-            F.xxhash64("bkey", "k2").alias("bkey"), "node", "comp", "n")
+        band = F.coalesce("band", F.array_position("keys", F.col("bkey")).cast("int") - 1)
+        finer = crowded.join(nodes.select("node", "keys", "sig"), "node").select(
+            "node", "comp", "n", "bkey", "sig", "last", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(COORDS // 2 - 1))).alias("two")).where(
+            f"two > last AND two div {ROWS // 2} <> band").select(
+            F.xxhash64("bkey", "two", F.expr("substring(sig, 2 * two + 1, 2)")).alias("bkey"), "node", "comp", "n", "band", F.col("two").alias("last"))
         found = found.unionByName(_asks(finer, nodes, depth - 1)).distinct()
     return stash(found, "dedup-asks")
 
@@ -310,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = star.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     roots = merge(roots, verify(apart.select("a", "b"), docs))
     labelled = (members.where("size > 2").select("bkey", "node", "n").join(roots, "node", "left")
-                .select("bkey", "node", F.coalesce("root", "node").alias("comp"), "n"))
+                .select("bkey", "node", F.coalesce("root", "node").alias("comp"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last")))
     asks = _asks(labelled, nodes, 2)
     if not asks.isEmpty():
         roots = merge(roots, answer(asks, roots, docs))
