@@ -391,3 +391,15 @@ def test_pipeline_stages_take_effect(spark):
     final = c.run(spark, sf)
     assert set(final.columns) >= {"doc_id", "n_tokens", "ids", "ids_sha256"} and final.count() > 500
     assert os.path.basename(c.__file__) == "corpus_pipeline.py"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(queries.SQL[name]).fetchall()
+    columns = [d[0] for d in con.description]
+    assert len(want) and collections.Counter(rows(queries.QUERIES[name](spark, SF).select(*columns))) == collections.Counter(want)
