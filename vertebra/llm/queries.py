@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fim, hmm, langid, maxscore, mixing, neardup, quality, sharding, toxicity, warc
+from . import bpe, fim, hmm, langid, maxscore, mixing, neardup, packing, quality, sharding, toxicity, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hmm_scores": lambda spark, d: hmm.op9(read(spark, d, "documents")),
     "op10_weak_quality": lambda spark, d: quality.op10(read(spark, d, "documents")),
     "op11_fill_in_middle": lambda spark, d: fim.op11(read(spark, d, "documents")),
+    "op12_large_item_matching": lambda spark, d: packing.op12(read(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
