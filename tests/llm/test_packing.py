@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -92,18 +93,24 @@ def test_ids_equal_the_library(library):
     texts = ["", " ", "It's DON'T we'll", "ÄÖ é  x y\x1cz\x85w", "a\x0bb\x0cc", "<|endoftext|> <|x|>", "漢字 123 😀!!! ΣΑΣ",
              "".join(rng.choices("ab'stl \n\t　é́ß1!Σ", k=4000))]
     texts += ["".join(chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(0x300, 0x2100), 32, 10))) for _ in range(300)) for _ in range(50)]
-    for t in texts:
+    usual = [chr(c) for c in range(1, 0x180)] + [" ", "'", "s", "T", "\n"] * 20
+    texts += ["".join(rng.choices(usual, k=300)) for _ in range(200)] + ["".join(chr(c) + "a " for c in range(1, 0x250))]
+    texts += ["".join(rng.choices([c for c in usual if c >= " "], k=40)) for _ in range(500)]
+    for t, ids in zip(texts, enc.encode(pa.array(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
         assert np.frombuffer(b"".join(enc.slices(t)), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_slices_and_forgotten_words_change_nothing(library, monkeypatch):
     monkeypatch.setattr(packing, "_SLICE", 50)
-    monkeypatch.setattr(packing, "_KEPT", 40)
+    monkeypatch.setattr(packing, "_TOKENS", 40)
+    monkeypatch.setattr(packing, "_WORDS", 30)
     rng = random.Random(3)
-    text = " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(800))
-    enc = packing.Encoder(PATH)
-    assert np.frombuffer(b"".join(enc.slices(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(enc) < 200
+    for letters in ("abcdé", "abcΣ"):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(800))
+        enc = packing.Encoder(PATH)
+        assert np.frombuffer(b"".join(enc.slices(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(enc.tokens) <= 40 and len(enc.words) <= 30
 
 
 def check(df, table, library):

@@ -55,8 +55,8 @@ def spread(df: DataFrame, spark: SparkSession | None = None) -> int:
     return int((spark or df.sparkSession).conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut Arrow batches so that one piece holds about ``UNIT_CHARS`` of text (one row at
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = UNIT_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Cut Arrow batches so that one piece holds about ``most`` bytes of text (one row at
     least), whatever the size of the incoming batch; texts as Python strings."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
@@ -64,7 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(False)
         while start < n:
             end, total = start, 0
-            while end < n and (end == start or total + lengths[end] <= UNIT_CHARS):
+            while end < n and (end == start or total + lengths[end] <= most):
                 total += lengths[end]
                 end += 1
             part = batch.slice(start, end - start)

@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
 import os
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,54 +35,111 @@ from pyspark.sql import functions as F
 from .common import pieces, stash
 
 CAPACITY, END = 4096, 1
-#: Words whose ids a worker keeps, and bytes of text that it looks at in one go.
-_KEPT, _SLICE = 300_000, 1 << 20
-#: Words encoded in one call, and rows and ids of an Arrow batch given out.
-_CALL, _ROWS, _IDS = 1000, 4096, 1_000_000
-_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Pre-tokens and words whose ids a worker keeps, and characters of text that it looks at in one go.
+_TOKENS, _WORDS, _SLICE = 700_000, 200_000, 1 << 20
+#: Characters of texts encoded together; pre-tokens or words merged in one call; rows and ids of an Arrow batch given out.
+_UNIT, _CALL, _ROWS, _IDS = 4_000_000, 4000, 4096, 1_000_000
+_BLANK = re.compile("[ \t\n\r\x0b\x0c]")
+#: Texts with none of these are made of blanks and of letters, digits and signs up to U+017F that
+#: are their own normal form and whose lower case is one character; others go by whole words.
+_UNUSUAL = "[^\n\t\r !-~\u00a1-\u012f\u0131-\u017f]|<\\|"
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
 
 
-class Encoder(dict):
-    """Ids (little-endian unsigned 32-bit integers) of the words seen last.
+class Kept(dict):
+    """The ids of the entries added last, ``most`` at the utmost."""
 
-    The vocabulary's normaliser and pre-tokeniser never look across white space and drop it, so
-    a text's ids are those of its words, cut at ASCII white space, one after the other.  The
-    library encodes every word that is not kept.
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def add(self, new: dict[str, bytes]) -> None:
+        over = len(self) + len(new) - self.most
+        if over > 0:
+            for k in list(itertools.islice(self, max(len(self) // 8, over))):
+                del self[k]
+        if len(new) <= self.most:
+            self.update(new)
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32-bit integers) of texts by a vocabulary of words.
+
+    Its normaliser and pre-tokeniser never look across white space and drop it, so a text's ids
+    are those of its words, cut at ASCII white space, one after the other.  Where a text holds
+    usual characters only (``_UNUSUAL``), its lower case is cut into pre-tokens by the
+    vocabulary's own pattern, and the library merges those, many in one call: the last id of a
+    pre-token, and no other, ends a word.  Each distinct pre-token or word of a batch is looked
+    up among those seen last first.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
-
-    def encode(self, data: bytes) -> bytes:
-        words = data.split()
-        fresh = [w for w in set(words) if w not in self]
+        self.merges = Tokenizer(self.library.model)  # of pre-tokens, one in a line
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        spec = json.loads(self.library.to_str())
+        self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.tokens, self.words = Kept(_TOKENS), Kept(_WORDS)
+
+    def _merge(self, tokens: list[str]) -> list[bytes]:
+        ids = np.array(self.merges.encode_batch_fast(["\n".join(tokens)], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(tokens):
+            raise ValueError("a pre-token that does not end a word")
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, texts: pa.Array, kept: Kept, find: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each text, its parts being separated by white space; ``find`` has those of parts not ``kept``."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [kept.get(w) if w else b"" for w in names]  # a leading blank makes an empty part
+        fresh = [w for w, found in zip(names, ids) if found is None]
         if fresh:
-            if len(self) + len(fresh) > _KEPT:
-                gone = list(itertools.islice(self, max(len(self) // 2, len(self) + len(fresh) - _KEPT)))
-                here = set(words)
-                for w in gone:
-                    if w not in here:
-                        del self[w]
+            new: dict[str, bytes] = {}
             for i in range(0, len(fresh), _CALL):
-                call = fresh[i: i + _CALL]
-                found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in call], add_special_tokens=False)
-                self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(call, found))
-        return b"".join(map(self.__getitem__, words))
+                new.update(zip(fresh[i: i + _CALL], find(fresh[i: i + _CALL])))
+            ids = [new[w] if found is None else found for w, found in zip(names, ids)]
+            kept.add(new)
+        data = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset: data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+        raw = memoryview(data.buffers()[2] or b"")
+        edges = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(edges, edges[1:])]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (none null)."""
+        out: list[bytes] = [b""] * len(texts)
+        unusual = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False).astype(bool)
+        usual = np.flatnonzero(~unusual)
+        if len(usual):
+            cut = pc.replace_substring_regex(pc.utf8_lower(texts.take(pa.array(usual))), self.pattern, "\\0 ")
+            for i, ids in zip(usual, self._joined(cut, self.tokens, self._merge)):
+                out[i] = ids
+        rest = np.flatnonzero(unusual)
+        if len(rest):
+            for i, ids in zip(rest, self._joined(texts.take(pa.array(rest)), self.words, self._whole)):
+                out[i] = ids
+        return out
 
     def slices(self, text: str) -> Iterator[bytes]:
-        """The ids of a text, bit by bit."""
-        data = text.encode("utf-8", "replace")
+        """The ids of one text, bit by bit."""
         at = 0
-        while at < len(data):
-            blank = _BLANK.search(data, at + _SLICE) if len(data) - at > _SLICE else None
-            end = blank.start() if blank else len(data)
-            yield self.encode(data[at:end])
+        while at < len(text):
+            blank = _BLANK.search(text, at + _SLICE) if len(text) - at > _SLICE else None
+            end = blank.start() if blank else len(text)
+            yield self.encode(pa.array([text[at:end]]))[0]
             at = end
 
 
@@ -119,9 +178,11 @@ def _tokenise(path: str, capacity: int, end: int):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        for batch, texts in pieces(batches):
-            for doc_id, text in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), texts):
-                for k, ids in enumerate(cut(enc.slices(text or ""), capacity, end)):
+        for batch, texts in pieces(batches, most=_UNIT):
+            short = pa.array([t if t is not None and len(t) <= _SLICE else "" for t in texts], pa.string())
+            doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            for doc_id, text, whole in zip(doc_ids, texts, enc.encode(short)):
+                for k, ids in enumerate(cut([whole] if len(text or "") <= _SLICE else enc.slices(text), capacity, end)):
                     n = len(ids) // 4
                     rows.append((doc_id, k, k * capacity, n, ids, part, nth[n]))
                     nth[n] += 1
