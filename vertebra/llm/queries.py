@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fim, hmm, langid, maxscore, mixing, neardup, packing, quality, sharding, toxicity, warc
+from . import bpe, fim, hmm, langid, maxscore, merkle, mixing, neardup, packing, quality, sharding, toxicity, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weak_quality": lambda spark, d: quality.op10(read(spark, d, "documents")),
     "op11_fill_in_middle": lambda spark, d: fim.op11(read(spark, d, "documents")),
     "op12_large_item_matching": lambda spark, d: packing.op12(read(spark, d, "documents")),
+    "op13_slot_pivot_manifest": lambda spark, d: merkle.op13(read(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ SQL: dict[str, str] = {
     "op3_maxscore": maxscore.SQL_OP3,
     "op5_warc_transactions": warc.SQL_OP5,
     "op11_fill_in_middle": fim.SQL_OP11,
+    "op13_slot_pivot_manifest": merkle.SQL_OP13,
 }
