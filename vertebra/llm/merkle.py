@@ -107,22 +107,24 @@ def _siblings(slot: Column, below: int) -> Column:
 
 
 def proofs(nodes: DataFrame, rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """``nodes`` with _proof: the siblings on the way to their tree's root, an array of (left, right)."""
-    none = F.array().cast("array<struct<left:string,right:string>>")
-    above = tops.select("_tree", F.lit(0).cast("long").alias("_index"), none.alias("_proof"))
-    for r in range(len(rounds) - 1, -1, -1):
+    """``nodes`` with _proof and the other columns of ``tops`` (_tree, _proof: one row per tree):
+    the siblings on the way to their tree's root, an array of (left, right), then the tree's."""
+    if not rounds:
+        return nodes.join(tops, "_tree")
+    told = [c for c in tops.columns if c not in ("_tree", "_proof")]
+    above = tops.withColumn("_index", F.lit(0).cast("long"))
+    for r in range(len(rounds) - 1, 0, -1):
         below = r * LEVELS
         rows = _levels(rounds[r].join(above, ["_tree", "_index"]), below)
-        if r:
-            slots = rows.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1)))).where(
-                F.get(F.array(*[F.col(f"_c0_{j}") for j in range(SPAN)]), F.col("_slot")).isNotNull())
-            above = slots.select("_tree", (F.col("_index") * SPAN + F.col("_slot")).alias("_index"),
-                                 F.concat(_siblings(F.col("_slot"), below), "_proof").alias("_proof"))
-    if not rounds:
-        return nodes.withColumn("_proof", none)
-    rows = rows.select("_tree", F.col("_index").alias("_up"), "_proof", *[f"_c{i}_{j}" for i in range(LEVELS) for j in range(SPAN // FANOUT ** i)])
+        slots = rows.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1)))).where(
+            F.get(F.array(*[F.col(f"_c0_{j}") for j in range(SPAN)]), F.col("_slot")).isNotNull())
+        above = slots.select("_tree", (F.col("_index") * SPAN + F.col("_slot")).alias("_index"), *told,
+                             F.concat(_siblings(F.col("_slot"), below), "_proof").alias("_proof"))
+    rows = _levels(rounds[0].join(above, ["_tree", "_index"]), 0)
+    inner = [f"_c{i}_{j}" for i in range(LEVELS) for j in range(SPAN // FANOUT ** i)]
+    rows = rows.select("_tree", F.col("_index").alias("_up"), "_proof", *told, *inner)
     met = nodes.withColumn("_up", F.expr(f"_index div {SPAN}")).join(rows, ["_tree", "_up"])
-    return met.select(*nodes.columns, F.concat(_siblings(F.col("_index") % SPAN, 0), "_proof").alias("_proof"))
+    return met.select(*nodes.columns, *told, F.concat(_siblings(F.col("_index") % SPAN, 0), "_proof").alias("_proof"))
 
 
 def fold(node: Column, proof: Column) -> Column:
@@ -150,11 +152,10 @@ def manifest(rows: DataFrame) -> DataFrame:
     subs = tops.select(F.lit("").alias("_tree"), F.col("_tree").alias("_name"), "_hash")
     subs = stash(ranked(stash(with_blocks(subs, ["_tree", "_name"]), "merkle-tops"), _TREE, ["_name"], "_index", "_n"), "merkle-subroots")
     high, roots = build(subs.select("_tree", "_index", "_n", "_hash"), "root")
-    root = roots.select(F.col("_tree"), F.col("_hash").alias("_root"))
-    last = proofs(subs, high, roots).join(root, "_tree").select(
-        F.col("_name").alias("_tree"), F.col("_hash").alias("subroot"), F.col("_root").alias("root"), F.col("_proof").alias("_rest"))
-    return (proofs(nodes, rounds, tops).join(last, "_tree")
-            .select(*kept, "subroot", "root", F.concat("_proof", "_rest").alias("proof")))
+    none = F.array().cast("array<struct<left:string,right:string>>")
+    roots = roots.select("_tree", F.col("_hash").alias("root"), none.alias("_proof"))
+    tops = proofs(subs, high, roots).select(F.col("_name").alias("_tree"), F.col("_hash").alias("subroot"), "root", "_proof")
+    return proofs(nodes, rounds, tops).select(*kept, "subroot", "root", F.col("_proof").alias("proof"))
 
 
 def op13(docs: DataFrame) -> DataFrame:
