@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vertebra.operators import mart, status
+from vertebra.operators.blocks import ranked, with_blocks
 from vertebra.operators.cadence import capture_gaps, with_prev_ts
 from vertebra.plans import catalog
 
@@ -28,11 +29,33 @@ def test_carry_exact_and_split(hot):
     brute = hot.select("event_id", F.last("status_label", True).over(w).alias("status"))
     got = status.status_carry(hot).select("event_id", "status")
     assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
-    seg = (hot.filter("user_id = 0")
-           .groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / status.CARRY_BUCKET_US))
-           .count())
-    biggest = seg.agg(F.max("count")).first()[0]
-    assert biggest * 50 < hot.filter("user_id = 0").count()  # no task sees the whole hot user
+    blocks = with_blocks(hot.select("user_id", "ts", "event_id"), ["user_id", "ts", "event_id"], 24)
+    per = blocks.groupBy("_block").agg(F.count("*").alias("n"), F.count(F.when(F.col("user_id") == 0, 1)).alias("hot")).collect()
+    assert sum(r.hot > 0 for r in per) >= 7 and max(r.n for r in per) < 3 * hot.count() / 24
+
+
+def test_a_third_of_all_rows_in_one_instant(spark, hot):
+    """One user, one instant: only the frame's id orders these rows, and still no block holds more than its share."""
+    third = hot.withColumn("ts", F.when(F.col("user_id") == 0, F.lit("2024-01-05 10:00:00").cast(hot.schema["ts"].dataType)).otherwise(F.col("ts")))
+    third = third.select("event_id", "user_id", "ts", "status_label").cache()
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n, us = third.count(), F.unix_micros(F.col("ts").cast("timestamp"))
+    brute = third.select("event_id", F.last("status_label", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("status"))
+    got = status.status_carry(third, blocks=24).select("event_id", "status")
+    assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
+    brute = third.select("event_id", F.lag(us).over(w).alias("p"))
+    got = with_prev_ts(third, blocks=24).select("event_id", F.col("prev_us").alias("p"))
+    assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
+    per = [r.n for r in with_blocks(third, ["user_id", "ts", "event_id"], 24).filter("user_id = 0").groupBy("_block").agg(F.count("*").alias("n")).collect()]
+    assert len(per) >= 7 and max(per) < 3 * n / 24
+
+
+def test_ranks_over_blocks_equal_row_numbers(spark, hot, tmp):
+    with_blocks(hot.select("user_id", "ts", "event_id"), ["user_id", "ts", "event_id"], 24).write.parquet(f"{tmp}/blocks")
+    got = ranked(spark.read.parquet(f"{tmp}/blocks"), ["user_id"], ["ts", "event_id"], "r", "n").select("event_id", "r", "n")
+    w = Window.partitionBy("user_id")
+    brute = hot.select("event_id", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("r"), F.count("*").over(w).alias("n"))
+    assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
 
 
 def test_gaps_exact(hot):

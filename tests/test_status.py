@@ -16,20 +16,20 @@ def labelled(spark):
                     "fha_left", "fha_right", "posture_correct").cache()
 
 
-@pytest.mark.parametrize("bucket_us", [60_000_000, 3_600_000_000, 86_400_000_000, 10**15])
-def test_carry_equals_whole_user_window(labelled, bucket_us):
+@pytest.mark.parametrize("blocks", [None, 1, 7, 60])
+def test_carry_equals_whole_user_window(labelled, blocks):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     brute = labelled.select("event_id", F.last("status_label", True).over(w).alias("status"))
-    got = status.status_carry(labelled, bucket_us=bucket_us).select("event_id", "status")
+    got = status.status_carry(labelled, blocks=blocks).select("event_id", "status")
     assert got.count() == brute.count()
     assert got.exceptAll(brute).count() == 0
 
 
-@pytest.mark.parametrize("bucket_us", [60_000_000, 86_400_000_000, 10**15])
-def test_prev_ts_equals_lag(labelled, bucket_us):
+@pytest.mark.parametrize("blocks", [None, 1, 60])
+def test_prev_ts_equals_lag(labelled, blocks):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     brute = labelled.select("event_id", F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w).alias("p"))
-    got = with_prev_ts(labelled, bucket_us=bucket_us).select("event_id", F.col("prev_us").alias("p"))
+    got = with_prev_ts(labelled, blocks=blocks).select("event_id", F.col("prev_us").alias("p"))
     assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
 
 

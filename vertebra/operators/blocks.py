@@ -11,17 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK = "_block"
 
 
 def with_blocks(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
     """``df`` range-partitioned by ``order`` (nulls first), with the partition's number as
     ``_block``: every block's rows come before those of the next.  ``blocks`` defaults to
-    ``spark.sql.shuffle.partitions``.  Rows equal in all of ``order`` share a block."""
+    ``spark.sql.shuffle.partitions``.  Rows equal in all of ``order`` share a block.
+
+    Every run of a range partition samples its bounds anew, so a plan that reads the numbers
+    twice needs them written first (``fixed_blocks``, or a table)."""
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id())
 
 
+def fixed_blocks(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
+    """``with_blocks``, written once to the shared checkpoint folder."""
+    return cut_lineage(with_blocks(df, order, blocks))
+
+
 def inside(keys: list[str], order: list[str]):
     """Window over a key's rows of one block."""
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)

@@ -2,40 +2,38 @@
 
 The producer sends a frame every 600 ms; longer gaps show lag or drops.
 The previous frame is found without a window over a whole user: ``lag`` works
-inside (user, hour) segments, and the first frame of a segment takes the last
-instant of the user's previous non-empty segment from a table of one row per
-segment.
+inside range blocks of (user, instant), and the first frame of a block takes the
+last instant of the user's blocks before from one summary row per (user, block).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import DEFAULT_TZ, local_time
-from .status import CARRY_BUCKET_US, _user_back, segment_keys
+from .blocks import BLOCK, carried, fixed_blocks, inside
+from .status import USER, user_back, user_keys
 
 # fixed value: capture cadence of the live client (milliseconds)
 CADENCE_MS = 600
 
 
 def with_prev_ts(df: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",
-                 bucket_us: int = CARRY_BUCKET_US) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """``user, tiebreak, _us, prev_us``: epoch micro-seconds of each frame and of
     the user's previous frame in (ts, tiebreak) order."""
     dtype = dict(df.dtypes)[user]
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    d, uk = segment_keys(df.select(user, ts, tiebreak).withColumn("_us", us), user, ts, bucket_us)
-    d = d.drop(user, ts)
-    inside = Window.partitionBy(*uk, "_bucket").orderBy("_us", tiebreak)
-    d = d.withColumn("_prev_in", F.lag("_us").over(inside))
+    d = user_keys(df.select(user, us.alias("_us"), tiebreak), user).drop(user)
+    d = fixed_blocks(d, [*USER, "_us", tiebreak], blocks)
+    d = d.withColumn("_prev_in", F.lag("_us").over(inside(USER, ["_us", tiebreak])))
     # the summary reads the windowed rows (greatest(_us, _prev_in) = _us), so
     # both branches carry the same columns and share one shuffle
-    seg = d.groupBy(*uk, "_bucket").agg(F.max(F.greatest("_us", "_prev_in")).alias("_seg_max"))
-    across = Window.partitionBy(*uk).orderBy("_bucket")
-    seg = seg.select(*uk, "_bucket", F.lag("_seg_max").over(across).alias("_prev_seg"))
-    return (d.join(seg, [*uk, "_bucket"], "left")
-             .select(_user_back(user, dtype), tiebreak, "_us",
+    seg = d.groupBy(*USER, BLOCK).agg(F.max(F.greatest("_us", "_prev_in")).alias("_seg_max"))
+    seg = seg.select(*USER, BLOCK, carried(USER, F.col("_seg_max")).alias("_prev_seg"))
+    return (d.join(seg, [*USER, BLOCK], "left")
+             .select(user_back(user, dtype), tiebreak, "_us",
                      F.coalesce("_prev_in", "_prev_seg").alias("prev_us")))
 
 

@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, carried, fixed_blocks, inside
+
 # fixed values: the two status messages of the live screen
 GOOD_LABEL = "옳은 자세입니다"
 BAD_LABEL = "자세를 바르게 해주세요"
 
-# rows of one user are scanned in time buckets of this size (micro-seconds);
-# at the 600 ms capture cadence one user-hour is at most ~6 000 frames
-CARRY_BUCKET_US = 3_600 * 1_000_000
+# non-nullable form of the user: (is NULL, user or a default)
+USER = ["_unull", "_ukey"]
 
 
 def status_label(posture: Column | str, good: str = GOOD_LABEL, bad: str = BAD_LABEL) -> Column:
@@ -21,8 +22,8 @@ def status_label(posture: Column | str, good: str = GOOD_LABEL, bad: str = BAD_L
     return F.when(p == F.lit(True), F.lit(good)).when(p == F.lit(False), F.lit(bad))
 
 
-def segment_keys(df: DataFrame, user: str, ts: str, bucket_us: int) -> tuple[DataFrame, list[str]]:
-    """Add non-nullable segment keys: (user is NULL, user or a default, time bucket).
+def user_keys(df: DataFrame, user: str) -> DataFrame:
+    """``df`` with the user as ``USER``.
 
     Non-nullable keys keep Catalyst from inferring ``IsNotNull`` filters on one
     branch of the join back, which would make the two branches differ and
@@ -30,42 +31,38 @@ def segment_keys(df: DataFrame, user: str, ts: str, bucket_us: int) -> tuple[Dat
     """
     dt = dict(df.dtypes)[user]
     default = F.lit("") if dt == "string" else F.lit(0).cast(dt)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    return (df.withColumns({"_unull": F.col(user).isNull(), "_ukey": F.coalesce(F.col(user), default),
-                            "_bucket": F.coalesce(F.floor(us / F.lit(bucket_us)), F.lit(-(1 << 62)))}),
-            ["_unull", "_ukey"])
+    return df.withColumns({"_unull": F.col(user).isNull(), "_ukey": F.coalesce(F.col(user), default)})
 
 
-def _user_back(user: str, dtype: str) -> Column:
+def user_back(user: str, dtype: str) -> Column:
     return F.when(F.col("_unull"), F.lit(None).cast(dtype)).otherwise(F.col("_ukey")).alias(user)
 
 
 def status_carry(df: DataFrame, label: str = "status_label", user: str = "user_id",
                  ts: str = "ts", tiebreak: str = "event_id", out: str = "status",
-                 bucket_us: int = CARRY_BUCKET_US) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """``user, ts, tiebreak, out``: the last non-NULL label so far per user, in
     (ts, tiebreak) order (join back on ``tiebreak`` for other columns).
 
     A window over the whole user would put a heavy user in one task; instead
-    the scan is split into (user, time bucket) segments: a window inside each
-    segment, then a carry of each segment's last label across segments, which
-    is a window over one small row per segment.  Both branches read the same
-    narrow columns, so they share one shuffle of the frames.
+    the frames are cut into range blocks of (user, ts, tiebreak), which split a
+    heavy user and also a heavy instant: a window inside each (user, block),
+    then a carry across one small summary row per (user, block).  The narrow rows
+    are written once with their block, so both passes see the same blocks and
+    the input is not read again.
     """
     dtype = dict(df.dtypes)[user]
-    d, uk = segment_keys(df.select(user, ts, tiebreak, label), user, ts, bucket_us)
-    d = d.drop(user)
-    inside = Window.partitionBy(*uk, "_bucket").orderBy(ts, tiebreak).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_local", F.last(label, ignorenulls=True).over(inside))
-    # the segment summary is read off the windowed rows: they are already
-    # partitioned by (user, bucket) and sorted, so the summary needs no shuffle
-    seg = d.groupBy(*uk, "_bucket").agg(
+    d = user_keys(df.select(user, ts, tiebreak, label), user).drop(user)
+    d = fixed_blocks(d, [*USER, ts, tiebreak], blocks)
+    so_far = inside(USER, [ts, tiebreak]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_local", F.last(label, ignorenulls=True).over(so_far))
+    # the summary is read off the windowed rows: they are already partitioned
+    # by (user, block) and sorted, so the summary needs no shuffle
+    seg = d.groupBy(*USER, BLOCK).agg(
         F.max_by("_local", F.struct(F.col(ts), F.col(tiebreak))).alias("_seg_last"))
-    across = Window.partitionBy(*uk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select(*uk, "_bucket", F.last("_seg_last", ignorenulls=True).over(across).alias("_carry_in"))
-    return (d.join(seg, [*uk, "_bucket"], "left")
-             .select(_user_back(user, dtype), ts, tiebreak,
+    seg = seg.select(*USER, BLOCK, carried(USER, F.col("_seg_last")).alias("_carry_in"))
+    return (d.join(seg, [*USER, BLOCK], "left")
+             .select(user_back(user, dtype), ts, tiebreak,
                      F.coalesce("_local", "_carry_in").alias(out)))
 
 
