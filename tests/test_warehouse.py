@@ -58,9 +58,9 @@ def test_attach_images_and_binary_source(spark, tmp):
 def test_append_new_reads_only_touched_partitions(spark, tmp):
     f = catalog.facts(spark, SF).drop("landmarks")
     p = f"{tmp}/facts_p"
-    writers.write_facts(f.filter("day_id < 20"), p)
+    writers.append_new(f.filter("day_id < 20"), p, ["posture_id"], writers.FACT_PARTITIONS)
     later = f.filter("day_id >= 20")
-    added = writers.write_facts(later, p)
+    added = writers.append_new(later, p, ["posture_id"], writers.FACT_PARTITIONS)
     plan = added._jdf.queryExecution().executedPlan().toString()
     scan = [ln for ln in plan.splitlines() if "FileScan" in ln and "struct<posture_id:string>" in ln]
     assert scan and "month_id" in scan[0].split("PartitionFilters: [")[1].split("]")[0]

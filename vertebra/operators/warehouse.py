@@ -117,6 +117,14 @@ def anti_join(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(there, same, "left_anti")
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """NULL-safe equality of ``keys`` of two frames that do not derive from each other."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[k])
+    return same
+
+
 def upsert_dim(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key is new, once each (anti-join + dedup).
 

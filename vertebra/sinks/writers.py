@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.timeparts import DEFAULT_TZ
 from ..operators.warehouse import anti_join
 from ..sources.tables import exists, remove
+from .keys import append_indexed
 
 FACT_PARTITIONS = ["year_id", "month_id"]
 
@@ -73,18 +74,18 @@ def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str
     return fresh
 
 
-def write_facts(facts: DataFrame, path: str) -> DataFrame:
-    """Fact rows, once per ``posture_id``, partitioned by year and month."""
-    return append_new(facts, path, ["posture_id"], FACT_PARTITIONS)
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Fact rows, once per ``posture_id``, partitioned by year and month; a batch is
+    held against the stored keys of its own hours only."""
+    append_indexed(facts, path, ["posture_id"], "timestamp", FACT_PARTITIONS)
 
 
-def write_images(images: DataFrame, path: str, tz: str = DEFAULT_TZ) -> DataFrame:
-    """Image blobs keyed by ``img_filename`` (bytes stay out of the fact table),
-    partitioned by local capture year and month like the facts, so the key
-    check of each batch reads only the months it touches."""
+def write_images(images: DataFrame, path: str, tz: str = DEFAULT_TZ) -> None:
+    """Image blobs keyed by ``img_filename`` (bytes stay out of the fact table and
+    out of the key check), partitioned by local capture year and month like the facts."""
     local = F.from_utc_timestamp(F.col("capture_time"), tz)
     parts = images.withColumns({"year_id": F.year(local), "month_id": F.month(local)})
-    return append_new(parts, path, ["img_filename"], FACT_PARTITIONS)
+    append_indexed(parts, path, ["img_filename"], "capture_time", FACT_PARTITIONS)
 
 
 def write_daily_stat(mart: DataFrame, path: str, day: dt.date | None = None) -> None:

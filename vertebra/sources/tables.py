@@ -18,6 +18,13 @@ def remove(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders and files in a folder of any file system; none if it is missing."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(hpath)) if fs.exists(hpath) else []
+
+
 def read_table(spark: SparkSession, base: str, name: str,
                schema: T.StructType | None = None) -> DataFrame:
     """``base/name.parquet`` if it exists, else the folder ``base/name``.
