@@ -19,7 +19,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from .functions.timeparts import DEFAULT_TZ
+from .functions.timeparts import DEFAULT_TZ, instant_range
 from .operators import mart as mart_ops
 from .operators import reports
 from .operators.inference import mediapipe_estimator_factory, recorded_landmarks_factory
@@ -38,14 +38,17 @@ def cmd_load(spark, a) -> None:
     analyzed, bad = jobs.process_frames(read_frames(spark, a.input), _estimator(a.estimator),
                                         a.user_id and F.lit(a.user_id), a.partitions)
     jobs.load_frames(analyzed, a.out, a.tz)
-    writers.append(bad.select("file_name", "timestamp", "reason", "raw"), writers.table_path(a.out, "quarantine"))
+    # once per file and row, however often the folder is loaded
+    bad = bad.select("file_name", "timestamp", "reason", "raw")
+    writers.append_new(bad, writers.table_path(a.out, "quarantine"), bad.columns)
 
 
 def cmd_daily(spark, a) -> None:
     facts = spark.read.parquet(writers.table_path(a.out, "tb_posture"))
     if a.day:
         d = dt.date.fromisoformat(a.day)
-        facts = facts.filter((F.col("year_id") == d.year) & (F.col("month_id") == d.month)
+        facts = facts.filter(instant_range("timestamp", d, d, tz=None)  # row groups by statistics
+                             & (F.col("year_id") == d.year) & (F.col("month_id") == d.month)
                              & (F.col("day_id") == d.day))
     writers.write_daily_stat(mart_ops.daily_stat(facts, by_user=a.by_user),
                              writers.table_path(a.out, "tb_daily_stat"), d if a.day else None)

@@ -6,6 +6,9 @@ instant and the local wall clock is derived with ``from_utc_timestamp``.
 
 from __future__ import annotations
 
+import datetime as dt
+import zoneinfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +82,47 @@ def calendar_parts(df: DataFrame, ts: str = "ts", tz: str = DEFAULT_TZ,
 def week_start(end: Column, days: int = 7) -> Column:
     """First date of the report window ending at ``end`` (inclusive of both ends)."""
     return F.date_sub(end, days)
+
+
+# a zone's clock may be set back across midnight, and two releases of the zone
+# rules may differ: the pushed range is this much wider on either side
+RANGE_MARGIN = dt.timedelta(hours=3)
+# fixed values: the zones furthest east and west of UTC
+EASTMOST, WESTMOST = dt.timedelta(hours=14), dt.timedelta(hours=12)
+
+
+def instant_range(ts: Column | str, first: dt.date, last: dt.date, tz: str | None = DEFAULT_TZ,
+                  ntz: bool = False) -> Column:
+    """Range of the raw instants of the local dates ``first`` to ``last``, as plain
+    comparisons with literals, which a scan can push down.
+
+    It holds every instant of those dates and a little more, so it goes *beside* the
+    exact condition on the calendar parts, never in its place.  Without ``tz`` it holds
+    the dates in any zone.  ``ntz``: the column is a TIMESTAMP_NTZ with the UTC wall clock
+    (the literals then are too; a cast of the column would not be pushed down).
+    """
+    # dates by the first and last instants they can have; kept inside the years a literal can name
+    start = dt.datetime.combine(max(first, dt.date(1, 1, 3)), dt.time())
+    end = dt.datetime.combine(min(last, dt.date(9999, 12, 28)), dt.time()) + dt.timedelta(days=1)
+    if tz is None:
+        start, end = start - EASTMOST, end + WESTMOST
+    else:
+        zone, utc = zoneinfo.ZoneInfo(tz), dt.timezone.utc
+        start = min(start.replace(tzinfo=zone, fold=f).astimezone(utc) for f in (0, 1)).replace(tzinfo=None) - RANGE_MARGIN
+        end = max(end.replace(tzinfo=zone, fold=f).astimezone(utc) for f in (0, 1)).replace(tzinfo=None) + RANGE_MARGIN
+    lit = (lambda t: F.expr(f"TIMESTAMP_NTZ'{t.isoformat(' ')}'")) if ntz else (lambda t: F.expr(f"TIMESTAMP'{t.isoformat(' ')} UTC'"))
+    return (_c(ts) >= lit(start)) & (_c(ts) < lit(end))
+
+
+def dates_between(first: dt.date, last: dt.date, year: str = "year_id", month: str = "month_id",
+                  day: str = "day_id") -> Column:
+    """Dates by their parts: one comparison of year, month and day per month of the
+    range, so a table partitioned by any of them is pruned to the folders it needs."""
+    found = F.lit(False)
+    at = first.replace(day=1)
+    while at <= last:
+        after = (at + dt.timedelta(days=31)).replace(day=1)
+        lo, hi = max(first, at), min(last, after - dt.timedelta(days=1))
+        found = found | ((F.col(year) == at.year) & (F.col(month) == at.month) & F.col(day).between(lo.day, hi.day))
+        at = after
+    return found

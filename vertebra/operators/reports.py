@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean_fixed, round_half_even
-from ..functions.timeparts import week_start
+from ..functions.timeparts import dates_between
 from ..schemas import AVG_COLUMNS, POINT_NAMES
 from .mart import MEAN_DIGITS
 
@@ -140,18 +140,16 @@ def _literal_parts(s: _dt.date, e: _dt.date) -> tuple[Column, Column]:
 def week_predicate(end: _dt.date | str, mode: str = "calendar", days: int = WEEK_DAYS) -> Column:
     """Rows of the report window ending at ``end``.
 
-    ``calendar``: the dates ``end - days .. end`` (both ends, so 8 dates) plus
-    year bounds that let a year-partitioned mart prune.  ``literal``: the
-    rows that the original report's rule over date parts selects, which
-    within one calendar year are far more than a week.
+    ``calendar``: the dates ``end - days .. end`` (both ends, so 8 dates), by
+    their parts, so a mart partitioned by year, month and day reads just their
+    folders.  ``literal``: the rows that the original report's rule over date
+    parts selects, which within one calendar year are far more than a week; a
+    row without a full date is in neither.
     """
     e = _date(end)
     s = e - _dt.timedelta(days=days)
-    y, m, d = F.col("year_id"), F.col("month_id"), F.col("day_id")
     if mode == "calendar":
-        dt = F.make_date(y, m, d)
-        return (y.between(s.year, e.year)
-                & dt.between(week_start(F.lit(e), days), F.lit(e)))
+        return dates_between(s, e)
     if mode == "literal":
         head, rest = _literal_parts(s, e)
         return head | rest

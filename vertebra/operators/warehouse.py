@@ -6,11 +6,13 @@ replayed batch produces the same ids and the upserts below stay idempotent.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import image_size, surrogate_key
-from ..functions.timeparts import DEFAULT_TZ, as_instant, calendar_parts, message_ts_text
+from ..functions.timeparts import DEFAULT_TZ, as_instant, calendar_parts, instant_range, message_ts_text
 
 CALENDAR_DIMS = ("year", "month", "week", "day")
 
@@ -176,8 +178,15 @@ def attach_images(facts: DataFrame, images: DataFrame) -> DataFrame:
 
 def day_class(facts: DataFrame, year: int, month: int, day: int,
               posture: bool | None = None) -> DataFrame:
-    """File names and class of one day's frames with a pose, in one filtered scan."""
-    f = facts.filter((F.col("year_id") == year) & (F.col("month_id") == month)
+    """File names and class of one day's frames with a pose, in one filtered scan.
+
+    Beside the calendar parts, stored facts are cut by their instant (the day in any
+    zone), which the scan holds against the statistics of its row groups."""
+    f = facts
+    if "timestamp" in facts.columns:
+        day_ = dt.date(year, month, day)
+        f = f.filter(instant_range("timestamp", day_, day_, tz=None))
+    f = f.filter((F.col("year_id") == year) & (F.col("month_id") == month)
                      & (F.col("day_id") == day) & F.col("posture_status").isNotNull())
     if posture is not None:
         f = f.filter(F.col("posture_status") == F.lit(posture))

@@ -19,13 +19,16 @@ from ..operators import reports, status, warehouse
 from ..operators.codec_ops import archive_frames_names, encode_frames, preview, result_feed
 from ..operators.messages import decode_messages, nonnull_frames, split_valid
 from ..operators.posture import analyze, with_c7, with_landmarks
-from ..sources.fixtures import event_frames, frame_messages, frames, message_values
+from ..sources.fixtures import Days, event_frames, frame_messages, frames, message_values
 
 # fixed query parameters
 TZ = DEFAULT_TZ
 REPORT_DAY = dt.date(2024, 1, 2)
 WEEK_END = dt.date(2024, 1, 31)
 CAL_YEAR = 2024
+# the local dates that the reports can use
+CAL_DATES = (dt.date(CAL_YEAR, 1, 1), dt.date(CAL_YEAR, 12, 31))  # also all that the literal week takes
+WEEK_DATES = (WEEK_END - dt.timedelta(days=reports.WEEK_DAYS), WEEK_END)
 TODAY = dt.date(2024, 1, 31)
 UPSERT_CUTOFF = dt.date(2024, 1, 15)
 DATA_URL_HEADER = "data:image/jpeg;base64,"
@@ -33,16 +36,17 @@ DATA_URL_HEADER = "data:image/jpeg;base64,"
 
 # ---- shared derivations ------------------------------------------------------
 
-def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(with_landmarks(frames(spark, sf_dir)))
+def analyzed(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    return analyze(with_landmarks(frames(spark, sf_dir, days)))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warehouse.to_facts(analyzed(spark, sf_dir), key="event_id", ts="ts", user="user_id", tz=TZ)
+def facts(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    """The facts; with ``days``, those a report on these local dates needs (and some more)."""
+    return warehouse.to_facts(analyzed(spark, sf_dir, days), key="event_id", ts="ts", user="user_id", tz=TZ)
 
 
-def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart_ops.daily_stat(facts(spark, sf_dir))
+def mart(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
+    return mart_ops.daily_stat(facts(spark, sf_dir, days))
 
 
 def decoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +191,7 @@ def q_star_join(spark, sf_dir):
 
 def q_day_class_scan(spark, sf_dir):
     d = REPORT_DAY
-    return warehouse.day_class(facts(spark, sf_dir), d.year, d.month, d.day)
+    return warehouse.day_class(facts(spark, sf_dir, (d, d)), d.year, d.month, d.day)
 
 
 # ---- mart and reports --------------------------------------------------------
@@ -197,16 +201,16 @@ def q_daily_stat(spark, sf_dir):
 
 
 def q_calendar_days(spark, sf_dir):
-    return reports.calendar_days(mart(spark, sf_dir), CAL_YEAR)
+    return reports.calendar_days(mart(spark, sf_dir, CAL_DATES), CAL_YEAR)
 
 
 def q_calendar_map(spark, sf_dir):
-    m = reports.calendar_map(mart(spark, sf_dir), CAL_YEAR)
+    m = reports.calendar_map(mart(spark, sf_dir, CAL_DATES), CAL_YEAR)
     return m.select("year_id", "month_id", F.array_join("days", ",").alias("days"))
 
 
 def q_daily_report(spark, sf_dir):
-    return reports.daily_report(mart(spark, sf_dir), REPORT_DAY)
+    return reports.daily_report(mart(spark, sf_dir, (REPORT_DAY, REPORT_DAY)), REPORT_DAY)
 
 
 def q_daily_score(spark, sf_dir):
@@ -214,19 +218,19 @@ def q_daily_score(spark, sf_dir):
 
 
 def q_weekly_score(spark, sf_dir):
-    return reports.weekly_score(mart(spark, sf_dir), WEEK_END, "calendar")
+    return reports.weekly_score(mart(spark, sf_dir, WEEK_DATES), WEEK_END, "calendar")
 
 
 def q_weekly_score_literal(spark, sf_dir):
-    return reports.weekly_score(mart(spark, sf_dir), WEEK_END, "literal")
+    return reports.weekly_score(mart(spark, sf_dir, CAL_DATES), WEEK_END, "literal")
 
 
 def q_weekly_landmarks(spark, sf_dir):
-    return reports.weekly_landmarks(mart(spark, sf_dir), WEEK_END, "calendar")
+    return reports.weekly_landmarks(mart(spark, sf_dir, WEEK_DATES), WEEK_END, "calendar")
 
 
 def q_weekly_landmarks_literal(spark, sf_dir):
-    return reports.weekly_landmarks(mart(spark, sf_dir), WEEK_END, "literal")
+    return reports.weekly_landmarks(mart(spark, sf_dir, CAL_DATES), WEEK_END, "literal")
 
 
 def q_calendar_grid(spark, sf_dir):

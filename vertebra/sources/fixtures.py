@@ -9,24 +9,32 @@ KST timestamp text and the image bytes (here the UTF-8 of ``props``) as hex.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import encode_hex
-from ..functions.timeparts import DEFAULT_TZ, message_ts_text
+from ..functions.timeparts import DEFAULT_TZ, instant_range, message_ts_text
 from ..schemas import EMBEDDINGS, EVENTS
 from .tables import read_table
 
 LANDMARK_WIDTH = 12  # LS xyz, RS xyz, LE xyz, RE xyz
 
 
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frames without landmarks: ``events`` alone, no join."""
-    return read_table(spark, sf_dir, "events", EVENTS).select("event_id", "user_id", "ts",
-                                                              "event_type", "props")
+Days = tuple[dt.date, dt.date] | None
+
+
+def event_frames(spark: SparkSession, sf_dir: str, days: Days = None, tz: str = DEFAULT_TZ) -> DataFrame:
+    """The frames without landmarks: ``events`` alone, no join.  ``days`` (first, last): a
+    report's local dates, pushed to the scan as a range of instants that holds them."""
+    ev = read_table(spark, sf_dir, "events", EVENTS)
+    if days:
+        ev = ev.filter(instant_range("ts", *days, tz=tz, ntz=True))
+    return ev.select("event_id", "user_id", "ts", "event_type", "props")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, days: Days = None) -> DataFrame:
     """``event_id, user_id, ts (UTC, NTZ), event_type, props, lm array<double>``.
 
     The lookup is a plain equi-join on ``vec_id`` (uniform keys; Catalyst/AQE
@@ -35,7 +43,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     parquet metadata) and enters as a literal: a scalar subquery would get a
     fresh id in every branch of a plan and block the reuse of shared shuffles.
     """
-    ev = event_frames(spark, sf_dir)
+    ev = event_frames(spark, sf_dir, days)
     emb = read_table(spark, sf_dir, "embeddings", EMBEDDINGS).select("vec_id", "embedding")
     n = emb.count()
     key = F.pmod(F.col("event_id"), F.lit(n)) if n else F.lit(None).cast("long")
