@@ -4,8 +4,10 @@
   daily    facts -> daily mart, all days or one day (idempotent per day)
   live     frame stream (Kafka or a folder of frame files) -> feed, landing, quarantine, tables
   loader   landing-zone stream -> facts, images, dimensions
+  status   frame stream -> live status table (newest result per user), or with --counts
+           the frames per local day and class
   report   calendar | daily | weekly | weekly-landmarks | weekly-chart | daily-chart
-           over the stored mart (JSON lines)
+           over the stored mart (JSON lines), live over the status table
 
 The pose model is a plug-in: ``--estimator recorded`` reads landmarks carried
 in the payload; ``--estimator mediapipe`` needs MediaPipe and OpenCV.
@@ -28,6 +30,7 @@ from .sinks import writers
 from .sources.files import frame_file_stream, landing_stream, read_frames
 from .sources.kafka import frame_stream
 from .streaming import jobs
+from .streaming.upserts import read_upserts
 
 
 def _estimator(name: str):
@@ -54,19 +57,34 @@ def cmd_daily(spark, a) -> None:
                              writers.table_path(a.out, "tb_daily_stat"), d if a.day else None)
 
 
-def cmd_live(spark, a) -> None:
+def _frames(spark, a):
+    """The frame stream of a job, and its trigger."""
     if a.kafka:
         servers, topic = a.kafka.split("/", 1)
         stream = frame_stream(spark, servers, topic, max_offsets_per_trigger=a.max_per_trigger)
     else:
         stream = frame_file_stream(spark, a.input, max_files_per_trigger=a.max_per_trigger)
-    trigger = {"availableNow": True} if a.once else {"processingTime": a.trigger}
+    return stream, {"availableNow": True} if a.once else {"processingTime": a.trigger}
+
+
+def cmd_live(spark, a) -> None:
+    stream, trigger = _frames(spark, a)
     q = jobs.start_pipeline(stream, a.out, a.checkpoint, _estimator(a.estimator), trigger,
                             a.user_id and F.lit(a.user_id), a.partitions, not a.no_tables, a.tz,
                             a.dedup_watermark)
     q.awaitTermination()
 
 
+def cmd_status(spark, a) -> None:
+    stream, trigger = _frames(spark, a)
+    user, est = a.user_id and F.lit(a.user_id), _estimator(a.estimator)
+    if a.counts:
+        q = jobs.start_daily_counts(stream, writers.table_path(a.out, "tb_daily_count"), a.checkpoint, est, trigger, user, a.partitions, a.tz)
+    else:
+        q = jobs.start_live_status(stream, writers.table_path(a.out, "tb_live_status"), a.checkpoint, est, trigger, user, a.partitions)
+    q.awaitTermination()
+
+
 def cmd_loader(spark, a) -> None:
     trigger = {"availableNow": True} if a.once else {"processingTime": a.trigger}
     q = jobs.start_loader(landing_stream(spark, a.input), a.out, a.checkpoint, trigger,
@@ -75,6 +93,12 @@ def cmd_loader(spark, a) -> None:
 
 
 def cmd_report(spark, a) -> None:
+    if a.kind == "live":
+        rows = read_upserts(spark, writers.table_path(a.out, "tb_live_status"), jobs.STATUS_KEYS)
+        rows = rows.filter(F.col("user_id") == a.user_id) if rows is not None and a.user_id else rows
+        for row in rows.orderBy(F.desc("event_ts")).limit(a.rows).toJSON().collect() if rows is not None else []:
+            sys.stdout.write(row + "\n")
+        return
     mart = spark.read.parquet(writers.table_path(a.out, "tb_daily_stat"))
     if a.kind == "calendar":
         df = reports.calendar_map_value(mart, a.year)
@@ -113,33 +137,38 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--day", default=None, help="yyyy-mm-dd; all days when omitted")
     s.add_argument("--by-user", action="store_true")
 
-    for name in ("live", "loader"):
+    for name in ("live", "status", "loader"):
         s = sub.add_parser(name)
         s.add_argument("--input", default=None)
         s.add_argument("--out", required=True)
         s.add_argument("--checkpoint", required=True)
-        s.add_argument("--trigger", default="500 milliseconds" if name == "live" else "3 seconds")
+        s.add_argument("--trigger", default="3 seconds" if name == "loader" else "500 milliseconds")
         s.add_argument("--once", action="store_true", help="process what is there, then stop")
         s.add_argument("--user-id", default=None)
-        if name == "live":
+        if name != "loader":
             s.add_argument("--kafka", default=None, help="servers/topic")
             s.add_argument("--max-per-trigger", type=int, default=None)
             s.add_argument("--estimator", required=True, choices=["recorded", "mediapipe"])
             s.add_argument("--partitions", type=int, default=None)
+        if name == "status":
+            s.add_argument("--counts", action="store_true", help="counts per local day and class instead")
+        if name == "live":
             s.add_argument("--no-tables", action="store_true")
             s.add_argument("--dedup-watermark", default=None, help="e.g. '10 minutes'")
 
     s = sub.add_parser("report")
     s.add_argument("kind", choices=["calendar", "daily", "weekly", "weekly-landmarks", "weekly-chart",
-                                    "daily-chart"])
+                                    "daily-chart", "live"])
     s.add_argument("--out", required=True)
     s.add_argument("--year", type=int, default=dt.date.today().year)
     s.add_argument("--date", default=dt.date.today().isoformat())
+    s.add_argument("--user-id", default=None, help="live: one user")
+    s.add_argument("--rows", type=int, default=20, help="live: users shown, newest first")
     s.add_argument("--mode", default="calendar", choices=["calendar", "literal"])
 
     a = p.parse_args(argv)
     spark = build_session(a.master, app=f"vertebra-{a.job}")
-    {"load": cmd_load, "daily": cmd_daily, "live": cmd_live, "loader": cmd_loader,
+    {"load": cmd_load, "daily": cmd_daily, "live": cmd_live, "status": cmd_status, "loader": cmd_loader,
      "report": cmd_report}[a.job](spark, a)
 
 

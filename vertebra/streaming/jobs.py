@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.codec import surrogate_key
-from ..functions.timeparts import DEFAULT_TZ, parse_message_ts
+from ..functions.timeparts import DEFAULT_TZ, local_time, parse_message_ts
 from ..operators import status as status_ops
 from ..operators import warehouse
 from ..operators.codec_ops import result_feed
@@ -22,6 +22,7 @@ from ..operators.inference import Estimator, infer_landmarks
 from ..operators.messages import decode_messages, split_valid
 from ..operators.posture import analyze, with_landmarks
 from ..sinks import writers
+from .upserts import COMPACT_EVERY, start_upserts
 
 
 def _user(user_id: Column | str | None) -> Column:
@@ -205,16 +206,21 @@ def start_loader(landed_stream: DataFrame, out_base: str, checkpoint: str,
     return w.start()
 
 
-def live_status_stream(analyzed: DataFrame, checkpoint: str, query_name: str = "live_status",
-                       sink: str = "memory", trigger: dict | None = None) -> StreamingQuery:
-    """Newest result per user, kept up to date (update mode, state = one row per user)."""
+def live_status_rows(analyzed: DataFrame) -> DataFrame:
+    """Newest result per user and its last label (one aggregation; on a stream, one state row per user)."""
     a = analyzed.withColumn("status_label", status_ops.status_label("posture_correct"))
     order = F.struct(F.col("event_ts"), F.col("frame_key"))
     agg = a.groupBy("user_id").agg(
         F.max_by(F.struct("event_ts", "cva_left", "cva_right", "fha_left", "fha_right",
                           "posture_correct"), order).alias("latest"),
         F.max_by(F.col("status_label"), F.when(F.col("status_label").isNotNull(), order)).alias("status"))
-    w = (agg.select("user_id", "latest.*", "status").writeStream.outputMode("complete" if sink == "memory" else "update")
+    return agg.select("user_id", "latest.*", "status")
+
+
+def live_status_stream(analyzed: DataFrame, checkpoint: str, query_name: str = "live_status",
+                       sink: str = "memory", trigger: dict | None = None) -> StreamingQuery:
+    """Newest result per user in the driver's memory sink, to look at (``start_live_status`` writes a table)."""
+    w = (live_status_rows(analyzed).writeStream.outputMode("complete" if sink == "memory" else "update")
          .format(sink).option("checkpointLocation", checkpoint))
     if sink == "memory":
         w = w.queryName(query_name)
@@ -223,11 +229,41 @@ def live_status_stream(analyzed: DataFrame, checkpoint: str, query_name: str = "
     return w.start()
 
 
+STATUS_KEYS = ["user_id"]
+COUNT_KEYS = ["day_value", "posture_correct"]
+
+
+def start_live_status(stream: DataFrame, path: str, checkpoint: str, estimator_factory: Callable[[], Estimator],
+                      trigger: dict | None = None, user_id: Column | str | None = None,
+                      partitions: int | None = None, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Live status as a running job: frames -> newest result per user, in a table
+    (``upserts.read_upserts``).  State is one row per user, kept with the checkpoint."""
+    analyzed, _ = process_frames(stream, estimator_factory, user_id, partitions)
+    return start_upserts(live_status_rows(analyzed), path, STATUS_KEYS, checkpoint, trigger, compact_every)
+
+
+def daily_count_rows(analyzed: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Frames with a pose per local day and class."""
+    day = F.date_format(local_time("event_ts", tz), "yyyy-MM-dd")
+    return (analyzed.filter(F.col("posture_correct").isNotNull())
+            .groupBy(day.alias("day_value"), "posture_correct").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def start_daily_counts(stream: DataFrame, path: str, checkpoint: str, estimator_factory: Callable[[], Estimator],
+                       trigger: dict | None = None, user_id: Column | str | None = None,
+                       partitions: int | None = None, tz: str = DEFAULT_TZ, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Counts per local day and class as a running table: the open day too, any zone, late frames
+    counted however late (the state is two rows per day, so no watermark has to bound it)."""
+    analyzed, _ = process_frames(stream, estimator_factory, user_id, partitions)
+    return start_upserts(daily_count_rows(analyzed, tz), path, COUNT_KEYS, checkpoint, trigger, compact_every)
+
+
 def daily_counts_stream(analyzed: DataFrame, checkpoint: str, query_name: str = "daily_counts",
                         watermark: str = "1 hour", start_time: str = "15 hours",
                         trigger: dict | None = None) -> StreamingQuery:
     """Per local day and class frame counts, finalised once the watermark passes
-    the day (append mode, bounded state). Extension."""
+    the day (append mode, bounded state), in the driver's memory sink, to look at
+    (``start_daily_counts`` writes a table, open day included). Extension."""
     # a local day in ``tz`` is a UTC window shifted by the zone offset (KST: 15:00 UTC)
     a = analyzed.withWatermark("event_ts", watermark).filter(F.col("posture_correct").isNotNull())
     agg = (a.groupBy(F.window("event_ts", "1 day", startTime=start_time).alias("day"),
