@@ -40,3 +40,9 @@ def test_block_scans_read_the_blocks_only(spark):
 def test_mart_has_one_shuffle(spark):
     names = _names(spark, "q_daily_stat")
     assert names.count("ShuffleExchangeExec") == 1 and "SortMergeJoinExec" not in names
+
+
+def test_star_is_one_pass(spark):
+    names = _names(spark, "q_star_join")
+    assert names.count("FileSourceScanExec") == 2  # events, and the poses
+    assert names.count("ShuffleExchangeExec") <= 1

@@ -29,13 +29,28 @@ def write_frame_files(spark, folder, start=0, n=60):
     return len(fr)
 
 
-def test_infer_landmarks_map_in_pandas(spark):
+def test_infer_landmarks(spark):
     df = spark.createDataFrame([(1, json.dumps([0.1] * 12).encode()), (2, b"{}"), (3, None)],
                                "id int, image binary")
     got = {r.id: r.lm for r in infer_landmarks(df, stub_factory, partitions=2).collect()}
     assert got[1] == [0.1] * 12 and got[2] is None and got[3] is None
 
 
+def test_inference_passes_other_columns_untouched(spark):
+    """Integers with NULLs, decimals, nested values, dates and times come back as they went (pandas would widen some)."""
+    import datetime as dt
+    import decimal
+    rows = [(1, None, decimal.Decimal("1.50"), {"a": [1, None]}, (2, "x"), dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 12), json.dumps([0.5] * 12).encode()),
+            (None, 7, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a long, b int, c decimal(9,2), d map<string,array<int>>, e struct<x:int,y:string>, f date, g timestamp, image binary")
+    got = infer_landmarks(df, stub_factory, partitions=3)
+    assert got.schema[:-1] == df.schema[:] and got.columns[-1] == "lm"
+    assert sorted(map(str, got.drop("lm").collect())) == sorted(map(str, df.collect()))
+    assert sorted(str(r.lm) for r in got.collect()) == sorted([str([0.5] * 12), "None"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
 @pytest.fixture(scope="module")
 def frame_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("frames") / "in")

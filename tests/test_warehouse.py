@@ -43,6 +43,22 @@ def test_star_join_no_fan_out(spark):
     assert s.filter(F.col("day_value").isNull() | F.col("user_name").isNull()).count() == 0
 
 
+def test_star_in_one_pass_equals_the_joins(spark):
+    """Also for frames without a user, an instant or an image."""
+    a = catalog.analyzed(spark, SF).withColumn("image", F.encode("props", "UTF-8"))
+    a = a.withColumns({"user_id": F.when(F.col("event_id") % 11 != 0, F.col("user_id")), "ts": F.when(F.col("event_id") % 13 != 0, F.col("ts")),
+                       "image": F.when(F.col("event_id") % 17 != 0, F.col("image"))})
+    f = warehouse.to_facts(a)
+    joined = warehouse.star(f, warehouse.to_dims(f), warehouse.to_images(a).dropDuplicates(["img_filename"]).filter("img_filename IS NOT NULL"))
+    got = warehouse.star_frames(a)
+    keyed = F.col("posture_id").isNotNull()
+    cols = sorted(joined.columns)
+    assert cols == sorted(got.columns)
+    assert sorted(map(str, joined.filter(keyed & F.col("timestamp").isNotNull()).select(cols).collect())) == \
+        sorted(map(str, got.filter(keyed & F.col("timestamp").isNotNull()).select(cols).collect()))
+    assert got.count() == a.count()
+
+
 def test_attach_images_and_binary_source(spark, tmp):
     import os
     os.makedirs(f"{tmp}/img")

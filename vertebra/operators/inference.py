@@ -1,4 +1,4 @@
-"""Distributed pose inference behind a plug-in estimator (``mapInPandas``).
+"""Distributed pose inference behind a plug-in estimator (``mapInArrow``).
 
 An estimator factory is called once per partition iterator inside the Python
 worker (so non-serialisable clients and models are built there); the
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -23,6 +24,9 @@ def infer_landmarks(df: DataFrame, estimator_factory: Callable[[], Estimator],
                     partitions: int | None = None) -> DataFrame:
     """Add ``out array<double>`` (NULL = no pose) from the image bytes column.
 
+    Only the image column becomes Python objects; all others, of whatever type, pass
+    through as the Arrow columns they are, so nothing is converted to pandas and back.
+
     ``partitions`` re-spreads the rows before the Python stage when the input
     has too few partitions for the cluster (e.g. a small broker topic).
     """
@@ -30,15 +34,14 @@ def infer_landmarks(df: DataFrame, estimator_factory: Callable[[], Estimator],
     if partitions:
         df = df.repartition(partitions)
 
-    def run(batches: Iterable) -> Iterator:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         est = estimator_factory()
-        for pdf in batches:
-            imgs = [None if b is None else bytes(b) for b in pdf[image].tolist()]
-            res = est(imgs)
-            pdf[out] = [None if r is None else [float(v) for v in r] for r in res]
-            yield pdf
+        for batch in batches:
+            res = est(batch.column(batch.schema.get_field_index(image)).to_pylist())
+            lm = pa.array([None if r is None else [float(v) for v in r] for r in res], pa.list_(pa.float64()))
+            yield batch.append_column(out, lm)  # the other columns go on as they came
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def mediapipe_estimator_factory(model_complexity: int = 1) -> Callable[[], Estimator]:

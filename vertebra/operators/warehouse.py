@@ -33,8 +33,10 @@ def frame_ids(key: Column | str, ts: Column | str, tz: str = DEFAULT_TZ) -> dict
 
 
 def to_facts(df: DataFrame, key: str = "event_id", ts: str = "ts", user: str = "user_id",
-             tz: str = DEFAULT_TZ, keep_landmarks: bool = True) -> DataFrame:
-    """Analysed frames -> ``tb_posture`` rows (+ ``landmarks`` for the daily mart).
+             tz: str = DEFAULT_TZ, keep_landmarks: bool = True,
+             extra: list[Column] | None = None) -> DataFrame:
+    """Analysed frames -> ``tb_posture`` rows (+ ``landmarks`` for the daily mart, and
+    ``extra`` columns, which may use the calendar parts).
 
     ``timestamp`` stays a real TIMESTAMP (UTC instant); text is rendered at the edge.
     """
@@ -48,7 +50,7 @@ def to_facts(df: DataFrame, key: str = "event_id", ts: str = "ts", user: str = "
             "day_id", "week_id", "month_id", "year_id", as_instant(ts).alias("timestamp")]
     if keep_landmarks:
         cols.append("landmarks")
-    return df.select(*cols)
+    return df.select(*cols, *(extra or []))
 
 
 def to_images(df: DataFrame, key: str = "event_id", ts: str = "ts", image: str = "image",
@@ -165,6 +167,23 @@ def star(facts: DataFrame, dims: dict[str, DataFrame], images: DataFrame | None
     return out
 
 
+def star_frames(df: DataFrame, key: str = "event_id", ts: str = "ts", user: str = "user_id",
+                image: str = "image", tz: str = DEFAULT_TZ) -> DataFrame:
+    """``star`` of frames whose dimensions derive from them: the same rows, in the scan
+    that makes the facts, without a distinct, a join back or a written table.
+
+    The calendar attributes, the name of a user without a stored row and the image's id,
+    time and size are functions of the frame itself.  Dimensions that hold more than that
+    (a users table with personal attributes) are stored tables: ``star`` joins them.
+    """
+    name = F.concat(F.lit("user_"), F.col(user).cast("string"))
+    return to_facts(df, key, ts, user, tz, keep_landmarks="landmarks" in df.columns, extra=[
+        F.col("year_id").alias("year_value"), F.col("month_value"), F.col("week_id").alias("week_value"), F.col("day_value"),
+        name.alias("user_name"), F.lit(None).cast("int").alias("user_age"), F.lit(None).cast("string").alias("user_gender"),
+        frame_ids(key, ts, tz)["img_id"].alias("img_id"), as_instant(ts).alias("capture_time"),
+        image_size(image).alias("file_size")])
+
+
 def with_user(df: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
     """User attributes from the user dimension (left join; the dimension grows
     with the data, so the planner's size check decides whether to broadcast)."""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import decode_hex
+from ..functions.codec import decode_hex, encode_hex
 from ..functions.timeparts import DEFAULT_TZ, LOCAL_TS_PATTERN, local_time, parse_message_ts
 from ..operators import mart as mart_ops
 from ..operators import reports, status, warehouse
@@ -182,9 +182,8 @@ def q_dim_upsert(spark, sf_dir):
 
 
 def q_star_join(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    images = warehouse.to_images(decoded_images(spark, sf_dir), "event_id", "ts", "image", TZ)
-    s = warehouse.star(f, warehouse.to_dims(f, TZ, materialize=True), images)
+    image = decode_hex(encode_hex(F.encode("props", "UTF-8")))  # as the message carries it
+    s = warehouse.star_frames(analyzed(spark, sf_dir).withColumn("image", image), "event_id", "ts", "user_id", "image", TZ)
     return s.select("posture_id", "user_id", "user_name", "year_value", "month_value",
                     "week_value", "day_value", "file_size")
 
