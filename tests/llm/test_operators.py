@@ -179,6 +179,53 @@ def test_archives_round_trip(spark, tmp):
     assert rows(warc.op5(pages.limit(0))) == []
 
 
+def test_small_evidence_makes_nothing_toxic(spark):
+    """Few positives, no telling word: the prior alone condemns no text."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert all(r["score"] < toxicity.THRESHOLD for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
+
+
+@pytest.mark.parametrize("n_words", [10, 1000, 12_000])
+def test_long_positives_do_not_turn_the_order_round(spark, n_words):
+    """Three positives that share many words: plain texts stay under the threshold."""
+    shared = " ".join(f"w{i}" for i in range(n_words))
+    docs = spark.createDataFrame([(i, shared) for i in range(3)] + [(3 + i, f"a plain text of its own p{i} q{i % 7}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(0, 63)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(out[i] < toxicity.THRESHOLD for i in range(3, 63))
+    assert min(out[i] for i in range(3)) > max(out[i] for i in range(3, 63))
+
+
+def test_risk_and_gradient_against_finite_differences(monkeypatch):
+    """train_nnpu ends where the non-negative risk, written out plainly, is no larger than at the start,
+    and the gradient it follows is that of the written-out risk."""
+    rng = np.random.default_rng(0)
+    pos = [np.unique(rng.integers(0, 6, 4)) for _ in range(30)]
+    unl = [np.unique(rng.integers(0, 12, 4)) for _ in range(120)]
+    values, prior = np.ones(12), 0.2
+
+    def risk(w):
+        fp, fu = (np.array([w[d].sum() + w[-1] for d in docs]) for docs in (pos, unl))
+        clean = np.mean(np.log1p(np.exp(fu))) - prior * np.mean(np.log1p(np.exp(fp)))
+        return prior * np.mean(np.log1p(np.exp(-fp))) + max(0.0, clean)
+
+    start = np.append(np.zeros(12), np.log(prior / (1 - prior)))
+    one = toxicity.train_nnpu(pos, unl, values, prior, steps=1, l1=0.0)
+    moved = np.sign(one[:-1])  # the first step of Adam goes against the gradient's sign
+    for i in range(12):
+        at = [start.copy(), start.copy()]
+        at[0][i] -= 1e-5
+        at[1][i] += 1e-5
+        slope = (risk(at[1]) - risk(at[0])) / 2e-5
+        if abs(slope) > 1e-4:
+            assert moved[i] == -np.sign(slope)
+    end = toxicity.train_nnpu(pos, unl, values, prior)
+    end[-1] = min((risk(np.append(end[:-1], b)), b) for b in np.linspace(-6, 6, 200))[1]
+    assert risk(end) < risk(start)
+    assert end[:6].mean() > end[6:12].mean()
+
+
 def test_toxicity_learns_and_scores_all(spark, awkward, empty):
     rng = random.Random(2)
     plain = [f"w{i}" for i in range(200)]

@@ -29,6 +29,8 @@ POSITIVES, UNLABELLED, WORDS = 6000, 20000, 20000
 #: unfavourable side.  The logarithm of that lift is the feature's value.
 LEAST_DF, LIFT, SURE = 3, 1.5, 2.0
 BAGS = 4
+#: Sum of a positive's feature values (on average) from which on they are scaled down.
+LARGEST = 100.0
 THRESHOLD = 0.3
 
 _TOKEN = re.compile(r"\w+")
@@ -43,8 +45,10 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], value_of: np.ndarra
                steps: int = 300, rate: float = 0.1, l1: float = 1e-4) -> np.ndarray:
     """Weights per word (the last is the bias) of the risk's minimum, by Adam with soft
     thresholds.  ``pos``, ``unl``: word numbers of each document; ``value_of``: the words'
-    feature values."""
+    feature values, scaled down where the positives hold so many that one step would
+    overshoot."""
     n_words = len(value_of)
+    value_of = value_of / max(1.0, float(np.mean([value_of[r].sum() for r in pos])) / LARGEST)
 
     def sparse(rows):
         lengths = np.array([len(r) for r in rows], dtype=np.int64)
@@ -121,15 +125,20 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     rows = docs.select("doc_id", "text").where(train & F.col("text").isNotNull())
     known = (labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    marked = rows.join(known, "doc_id")
+    # the join sees ids and draws only; of the texts, those of the bounded sample are fetched afterwards
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    marked = stash(rows.select("doc_id", "draw").join(known, "doc_id"), "toxic-known")
     got = {r["toxic"]: r["n"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_all = got.get(1, 0), rows.count()
     if not n_pos or n_all < 2:
         return Model({}, -30.0)
     prior = min(max(n_pos / (n_pos + got.get(0, 0)), 0.01), 0.5) if got.get(0, 0) else 0.1
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    some = lambda df, bound, n: df.where(draw < min(1.0, bound / n))
-    sample = some(marked.where("toxic > 0"), POSITIVES, n_pos).select("text", F.lit(True).alias("pos"), F.lit(-1).alias("bag"))
+    some = lambda df, bound, n: df.where(F.col("draw") / float(1 << 30) < min(1.0, bound / n))
+    # words that tell nothing apart are no reason to call any text toxic
+    nothing_found = min(float(np.log(prior / (1 - prior))), float(np.log(THRESHOLD / (1 - THRESHOLD))) - 1.0)
+    # at most about POSITIVES pairs of numbers, whatever the table's size, so they are broadcast
+    picked = some(marked.where("toxic > 0"), POSITIVES, n_pos).select("doc_id", "draw").distinct()
+    sample = rows.join(F.broadcast(picked), ["doc_id", "draw"], "left_semi").select("text", F.lit(True).alias("pos"), F.lit(-1).alias("bag"))
     sample = sample.unionByName(some(rows, UNLABELLED, n_all).select(
         "text", F.lit(False).alias("pos"), F.pmod(F.xxhash64("text", F.lit(5)), F.lit(BAGS)).cast("int").alias("bag")))
     seen = stash(sample.mapInArrow(_distinct_words, "pos boolean, bag int, words array<string>"), "toxic-sample")
@@ -142,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     top = sorted(heaviest(lifted, "p", WORDS).collect(), key=lambda r: (-r["p"], r["w"]))
     vocabulary, values = [r["w"] for r in top], np.array([r["lift"] for r in top])
     if not vocabulary:
-        return Model({}, float(np.log(prior / (1 - prior))))
+        return Model({}, nothing_found)
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
         pos, unl = ([rows[i] for i in np.nonzero(x)[0]] for x in (is_pos, ~is_pos))
         if not pos or not unl:
             return pd.DataFrame({"bag": [], "w": []})
-        return pd.DataFrame({"bag": [int(pdf["bag"].iloc[0])], "w": [train_nnpu(pos, unl, values, prior)]})
+        w = train_nnpu(pos, unl, values, prior)
+        mean = lambda docs: float(np.mean([w[d].sum() for d in docs]))
+        if not mean(pos) > mean(unl):  # it tells them apart the wrong way round: nothing was learned
+            return pd.DataFrame({"bag": [], "w": []})
+        return pd.DataFrame({"bag": [int(pdf["bag"].iloc[0])], "w": [w]})
 
     known = seen.mapInArrow(numbered, "pos boolean, bag int, ids array<int>")  # only the vocabulary goes on
     bags = known.where("NOT pos").unionByName(
         known.where("pos").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1)))))
     weights = [np.array(r["w"]) for r in bags.groupBy("bag").applyInPandas(learn, "bag int, w array<double>").orderBy("bag").collect()]
     if not weights:
-        return Model({}, float(np.log(prior / (1 - prior))))
+        return Model({}, nothing_found)
     mean = np.mean(weights, axis=0)
     return Model({w: float(mean[i]) for w, i in number.items() if mean[i]}, float(mean[-1]))
 
