@@ -137,9 +137,10 @@ def test_near_duplicates_equal_brute_force(spark, docs, awkward, empty, monkeypa
     data += [(r["doc_id"] + 1000, r["text"]) for r in docs.collect()]
     for name in ("STAR", "BLOCK", "OUTSIDE", "SIDE"):  # small blocks take every path
         monkeypatch.setattr(neardup, name, 7)
-    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    monkeypatch.setattr(neardup, "MORE", 2)
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).drop("row", "component")
     assert sorted(rows(got)) == brute_components(data)
-    out = rows(neardup.near_duplicates(awkward))
+    out = rows(neardup.near_duplicates(awkward).drop("row", "component"))
     assert len(out) == len(AWKWARD) and (None, 7, None, True) in out and out.count((6, 7, 6, True)) == 2
     assert (7, 8, 6, False) in out and (5, 1, 4, False) in out and (1, 0, 1, True) in out
     assert rows(neardup.near_duplicates(empty)) == []
@@ -158,9 +159,43 @@ def test_crowded_buckets_leave_no_pair_out(spark, monkeypatch):
     sigs[:, :4] = 9
     nodes = spark.createDataFrame([(i, 100, neardup.band_keys(s).tolist(), bytearray(s.astype(np.uint8).tobytes())) for i, s in enumerate(sigs)],
                                   "node long, n long, keys array<long>, sig binary")
-    members = nodes.select(F.col("keys")[0].alias("bkey"), "node", F.col("node").alias("comp"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last"))
-    assert sorted(rows(neardup._asks(members, nodes, 2))) == [(0, 1), (2, 3), (4, 5)]
-
+    members = nodes.select(F.col("keys")[0].alias("bkey"), "node", F.col("node").alias("comp"), F.col("node").alias("cur"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last"))
+    assert sorted(rows(neardup._asks(members, nodes, 2, 1, None))) == [(0, 1, False), (2, 3, False), (4, 5, False)]
+    asked = spark.createDataFrame([(0, [1]), (2, [7])], "node long, asked array<long>")
+    assert sorted(rows(neardup._asks(members, nodes, 2, 1, asked))) == [(2, 3, False), (4, 5, False)]
+
+
+def test_asks_grow_with_members_not_with_pairs():
+    """All near copies of one text, each a component of its own: a member asks as many as the limit."""
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 255, neardup.COORDS).astype(np.uint8)
+    for n in (50, 200, 800):
+        own = [np.where(rng.random(neardup.COORDS) < 0.1, 255, sig).astype(np.uint8).tobytes() for _ in range(n)]
+        pdf = pd.DataFrame({"node": range(n), "comp": range(n), "cur": range(n), "n": 100, "asks": True, "sig": own, "asked": [None] * n})
+        out = neardup._matches(1)(pdf)
+        assert len(out) == n - 1 and out["more"].sum() == n - 2
+        # what was asked before is not asked again, and without a limit every pair has its turn
+        pdf["asked"] = [out["comp"][out["b"] == i].tolist() or None for i in range(n)]
+        rest = neardup._matches(n)(pdf)
+        assert len(rest) == n * (n - 1) // 2 - (n - 1) and not rest["more"].any()
+
+
+def test_one_of_each_equals_brute_force(spark, docs):
+    """A stage that loses one clean row, or leaves one copy, fails."""
+    table = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted(i for i, _, _, kept in brute_components(table) if kept)
+    assert sorted(r["doc_id"] for r in neardup.one_of_each(docs).collect()) == want
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    data = [(3, base), (5, base + " end"), (5, "something else altogether with words of its own")]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(rows(got.drop("row", "component"))) == [(3, 56, 3, True), (5, 4, 5, True), (5, 57, 3, False)]
+    more = data + [(6, base)] * 3 + [(None, base)] * 2 + [(8, ""), (8, ""), (9, None), (5, "something else altogether with words of its own"), (2, "short"), (2, "other"), (1, "Short")]
+    kept = sorted(rows(neardup.one_of_each(spark.createDataFrame(more, "doc_id long, text string"))), key=str)
+    assert kept == sorted([(3, base), (5, data[2][1]), (None, base), (8, ""), (9, None), (2, "other"), (1, "Short")], key=str)
 
 def test_archives_round_trip(spark, tmp):
     body = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"

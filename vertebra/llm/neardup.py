@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, stash
@@ -45,6 +45,15 @@ AGREE = 70
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+#: Components that a node asks at once in the first round, and by how much each round has more.
+ASKED, MORE = 1, 4
+
+
+def row_id() -> Column:
+    """What tells rows apart: a doc_id may be repeated with another text."""
+    return F.xxhash64("doc_id", "text")
+
+
 class _Words(dict):
     """64-bit fingerprints of words, kept for the words seen last."""
 
@@ -115,9 +124,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(band_keys(sig).tolist() if len(s) else [])
             sigs.append(sig.astype(np.uint8).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+            [*[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id")], pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
              pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "keys", "sig"])
+            names=["row", "doc_id", "n_shingles", "digest", "keys", "sig"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -135,7 +144,7 @@ def _verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``name`` and text of the rows of ``docs`` whose doc_id is in ``ids`` (one column).
+    """``name`` and text of the rows of ``docs`` whose ``row_id`` is in ``ids`` (one column).
 
     A bitmap of 2^24 hashed ids (2 MB at most, so it is broadcast) keeps the text of most
     other rows from being moved; the merge join that follows decides.
@@ -143,11 +152,11 @@ def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 24))
     ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
     bits = ids.groupBy(F.bitmap_bucket_number(slot("id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("id"))).alias("bits"))
-    at = F.bitmap_bit_position(slot("doc_id")).cast("int")
+    at = F.bitmap_bit_position(slot("row")).cast("int")
     byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
-    return (docs.select("doc_id", "text", F.bitmap_bucket_number(slot("doc_id")).alias("bucket"), at.alias("at"))
+    return (docs.select(row_id().alias("row"), "text").select("row", "text", F.bitmap_bucket_number(slot("row")).alias("bucket"), at.alias("at"))
             .join(F.broadcast(bits), "bucket").where(F.getbit(byte, F.col("at") % 8) == 1)
-            .select(F.col("doc_id").alias(name), "text"))
+            .select(F.col("row").alias(name), "text"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -202,50 +211,65 @@ def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots if more.isEmpty() else _follow(roots, components(more))
 
 
-def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members outside the bucket's largest component (``asks``), and the components that
-    have a member whose signature agrees enough; between two that ask, the smaller asks."""
-    pdf = pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
-    node, comp = pdf["node"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
-    n, asks = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool)
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
-    b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.nonzero(asks)[0]:
-        like = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~asks | (node > node[i]))
-        at = np.nonzero(like)[0]
-        found = np.unique(comp[at[(sig[at] == sig[i]).sum(axis=1) >= AGREE]])
-        b.append(np.full(len(found), node[i]))
-        c.append(found)
-    return pd.DataFrame({"b": np.concatenate(b), "comp": np.concatenate(c)})
-
-
-def _asks(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """b, comp: node b may be linked to a member of another component.  ``rows`` (bkey,
-    node, comp, n, band, last) are members of buckets; those of one component are done.  A
+def _matches(limit: int):
+    """Members outside the bucket's largest component (``asks``) and the components that have
+    a member whose signature agrees enough: ``limit`` of them, the likeliest first, and whether
+    there are more.  Between two that ask, the smaller asks; those in ``asked`` were asked before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
+        node, comp, cur = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "cur"))
+        n, asks = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool)
+        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
+        asked = pdf["asked"].tolist()
+        found: list[tuple[int, int, bool]] = []
+        for i in np.nonzero(asks)[0]:
+            like = (cur != cur[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~asks | (node > node[i]))
+            if asked[i] is not None:
+                like &= ~np.isin(comp, np.asarray(asked[i], dtype=np.int64))
+            at = np.nonzero(like)[0]
+            agree = (sig[at] == sig[i]).sum(axis=1)
+            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+            best = comp[at[np.lexsort((node[at], -agree))]]
+            best = best[np.sort(np.unique(best, return_index=True)[1])]
+            found += [(node[i], c, len(best) > limit) for c in best[:limit]]
+        return pd.DataFrame(found, columns=["b", "comp", "more"]).astype({"b": "int64", "comp": "int64", "more": "bool"})
+
+    return run
+
+
+def _asks(rows: DataFrame, nodes: DataFrame, depth: int, limit: int, asked: DataFrame | None) -> DataFrame:
+    """b, comp, more: node b may be linked to a member of another component; with ``more`` also
+    to others than those given out.  ``rows`` (bkey, node, comp, cur, n, band, last) are members
+    of buckets, ``cur`` the component that ``comp`` is part of by now; those of one ``cur`` are
+    done.  ``asked`` (node, asked): components asked before.  A
     bucket with many members outside its largest component is split first (``depth`` times at
     most) by two coordinates next to each other, outside the band and after the ``last`` two;
     what is left meets in blocks.  Of the other 62 twos, AGREE coordinates fill four at
     least, so a pair that agrees enough meets whatever the size of its bucket."""
-    per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"))
-    kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
-    open_ = kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
+    per = rows.groupBy("bkey", "cur").agg(F.count("*").alias("c"))
+    kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "cur")).alias("top"), F.count("*").alias("k"))
+    open_ = kinds.where("k > 1").select("bkey", F.col("top.cur").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
     rows = stash(rows.join(open_, "bkey"), "dedup-open")
     ready = rows.where(F.col("out") <= OUTSIDE) if depth else rows
     groups, blocks = F.ceil(F.col("out") / OUTSIDE).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    asking = ready.where("comp <> big").select("bkey", "node", "comp", "n", deal(groups, 3).alias("g"), F.explode(upto(blocks)).alias("s"), F.lit(True).alias("asks"))
-    asked = ready.select("bkey", "node", "comp", "n", F.explode(upto(groups)).alias("g"), deal(blocks, 4).alias("s"), F.lit(False).alias("asks"))
-    both = asking.unionByName(asked).join(nodes.select("node", "sig"), "node")
-    found = both.groupBy("bkey", "g", "s").applyInPandas(_matches, "b long, comp long").distinct()
+    member = ["bkey", "node", "comp", "cur", "n"]
+    asking = ready.where("cur <> big").select(*member, deal(groups, 3).alias("g"), F.explode(upto(blocks)).alias("s"), F.lit(True).alias("asks"))
+    before = F.lit(None).cast("array<long>").alias("asked")
+    asking = asking.withColumn("asked", before) if asked is None else asking.join(asked, "node", "left")
+    others = ready.select(*member, F.explode(upto(groups)).alias("g"), deal(blocks, 4).alias("s"), F.lit(False).alias("asks")).withColumn("asked", before)
+    both = asking.select(others.columns).unionByName(others).join(nodes.select("node", "sig"), "node")
+    found = both.groupBy("bkey", "g", "s").applyInPandas(_matches(limit), "b long, comp long, more boolean")
     if depth and not (crowded := rows.where(F.col("out") > OUTSIDE)).isEmpty():
         band = F.coalesce("band", F.array_position("keys", F.col("bkey")).cast("int") - 1)
         finer = crowded.join(nodes.select("node", "keys", "sig"), "node").select(
-            "node", "comp", "n", "bkey", "sig", "last", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(COORDS // 2 - 1))).alias("two")).where(
+            "node", "comp", "cur", "n", "bkey", "sig", "last", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(COORDS // 2 - 1))).alias("two")).where(
             f"two > last AND two div {ROWS // 2} <> band").select(
-            F.xxhash64("bkey", "two", F.expr("substring(sig, 2 * two + 1, 2)")).alias("bkey"), "node", "comp", "n", "band", F.col("two").alias("last"))
-        found = found.unionByName(_asks(finer, nodes, depth - 1)).distinct()
-    return stash(found, "dedup-asks")
+            F.xxhash64("bkey", "two", F.expr("substring(sig, 2 * two + 1, 2)")).alias("bkey"), "node", "comp", "cur", "n", "band", F.col("two").alias("last"))
+        found = found.unionByName(_asks(finer, nodes, depth - 1, limit, asked))
+    return stash(found.groupBy("b", "comp").agg(F.bool_or("more").alias("more")), "dedup-asks")
 
 
 def _answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -289,20 +313,23 @@ def answer(asks: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Components of near-duplicate rows of ``docs`` (doc_id, text; others are not read).
 
-    Returns doc_id, n_shingles, component_id, kept for every row.  Documents with
-    100 * intersection >= 75 * union are linked; component_id is the smallest doc_id that
+    Returns doc_id, n_shingles, component_id, kept, row (``row_id``) and component (a number per
+    component) for every row.  Documents
+    with 100 * intersection >= 75 * union are linked; component_id is the smallest doc_id that
     can be reached and kept is doc_id = component_id.  A text that is null or has no word
-    is linked with nothing.  Rows that repeat a doc_id are judged by their own text each.  A
-    row without doc_id takes no part: component_id is null and kept true.  An empty table
-    gives no rows.
+    is linked with nothing.  Rows that repeat a doc_id are judged by their own text each: the
+    sets are the nodes, not the ids.  A row without doc_id takes no part: component_id is null
+    and kept true.  Texts of any length are whole sets of 8 bytes a shingle, one in a worker
+    at a time but where they are verified (``SIDE`` texts).  An empty table gives no rows.
     """
-    sigs = stash(docs.select("doc_id", "text").mapInArrow(
-        _signatures, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "dedup-sigs")
+    sigs = stash(docs.select(row_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(
+        _signatures, "row long, doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "dedup-sigs")
+    docs = docs.where("doc_id IS NOT NULL")
     real = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = stash(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "dedup-first")
-    nodes = stash(real.join(first, (real["digest"] == first["digest"]) & (real["doc_id"] == first["node"]), "left_semi")
-                  .dropDuplicates(["doc_id", "digest"])
-                  .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "sig"), "dedup-nodes")
+    first = stash(real.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "dedup-first")
+    nodes = stash(real.join(first, (real["digest"] == first["digest"]) & (real["row"] == first["node"]), "left_semi")
+                  .dropDuplicates(["row"])
+                  .select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "keys", "sig"), "dedup-nodes")
     bands = nodes.select("node", "n", F.explode("keys").alias("bkey"))
     buckets = bands.groupBy("bkey").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
     members = stash(bands.join(buckets, "bkey").select("bkey", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "size"), "dedup-members")
@@ -313,14 +340,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     apart = star.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     roots = merge(roots, verify(apart.select("a", "b"), docs))
-    labelled = (members.where("size > 2").select("bkey", "node", "n").join(roots, "node", "left")
+    # what is still apart asks: one component first, which mostly settles it, then more of those left
+    parts, limit, asked = roots, ASKED, None
+    labelled = (members.where("size > 2").select("bkey", "node", "n").join(parts, "node", "left")
                 .select("bkey", "node", F.coalesce("root", "node").alias("comp"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last")))
-    asks = _asks(labelled, nodes, 2)
-    if not asks.isEmpty():
-        roots = merge(roots, answer(asks, roots, docs))
-    named = (first.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("comp")))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    while True:
+        by_now = roots.select(F.col("node").alias("comp"), F.col("root").alias("cur"))
+        rows = labelled.join(by_now, "comp", "left").withColumn("cur", F.coalesce("cur", "comp"))
+        asks = _asks(rows, nodes, 2, limit, None if asked is None else asked.groupBy(F.col("b").alias("node")).agg(F.collect_set("comp").alias("asked")))
+        if asks.isEmpty():
+            break
+        roots = merge(roots, answer(asks.select("b", "comp"), parts, docs))
+        if asks.where("more").isEmpty():
+            break
+        asked = asks.select("b", "comp") if asked is None else asked.unionByName(asks.select("b", "comp"))
+        limit *= MORE
+    named = first.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("comp"))
+    named = named.join(least, "root").select("digest", "comp", "root")
+    out = sigs.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
     return (out.withColumn("component_id", comp.cast("long"))
             .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row",
+                    F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one row of each component: the one of
+    the smallest doc_id, of rows that share it the one of the smallest ``row_id``.  Of rows
+    equal in doc_id and text one stays, whichever, null ids and empty texts included; a row
+    without doc_id or without a word is otherwise a component of its own.
+    """
+    found = stash(near_duplicates(docs).select(F.coalesce("component", "row").alias("group"), "row", "kept"), "dedup-found")
+    groups = found.groupBy("group").agg(F.min(F.struct(~F.col("kept"), "row")).alias("best"), F.min("row").alias("lo"), F.max("row").alias("hi"))
+    lost = found.join(groups.where("lo <> hi"), "group").where("row <> best.row").select(F.col("row").alias("_lost")).distinct()
+    many = found.groupBy(F.col("row").alias("_many")).agg(F.count("*").alias("n")).where("n > 1").select("_many")
+    left = docs.withColumn("_row", row_id()).join(lost, F.col("_row") == F.col("_lost"), "left_anti")
+    once = left.join(many, F.col("_row") == F.col("_many"), "left_anti")
+    again = left.join(many, F.col("_row") == F.col("_many"), "left_semi").dropDuplicates(["_row"])  # only literal copies are shuffled by row
+    return once.unionByName(again).drop("_row")

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kk_sharding": lambda spark, d: sharding.op1(read(spark, d, "documents")),
     "op2_poisson_mix": lambda spark, d: mixing.op2(read(spark, d, "documents")),
     "op3_maxscore": lambda spark, d: maxscore.op3(read(spark, d, "embeddings")),
-    "op4_circulant_minhash": lambda spark, d: neardup.near_duplicates(read(spark, d, "documents")),
+    "op4_circulant_minhash": lambda spark, d: neardup.near_duplicates(read(spark, d, "documents")).drop("row", "component"),
     "op5_warc_transactions": lambda spark, d: warc.op5(read(spark, d, "pages")),
     "op6_nnpu_toxicity": lambda spark, d: toxicity.op6(read(spark, d, "documents"), read(spark, d, "labels")),
     "op7_bpe_chunks": lambda spark, d: bpe.op7(read(spark, d, "documents")),
