@@ -300,8 +300,31 @@ def test_stitched_chunks_equal_one_pass(enc):
     for _ in range(800):
         text = "".join(rng.choice(["'", "s", "'re", "ll", " ", "  ", "\n", "a", "ß", "1", "22", "!", "漢"]) for _ in range(rng.randint(1, 120)))
         size, overlap = rng.randint(1, 30), rng.randint(0, 12)
-        chunks = [(s, text[s:s + size + overlap], *enc.chunk(text[s:s + size + overlap])) for s in range(0, len(text), size)]
-        assert bpe.stitch(enc, chunks) == enc.encode(text)
+        cut = [(s, text[s:s + size + overlap]) for s in range(0, len(text), size)]
+        assert bpe.stitch(enc, [(s, len(t), t, *enc.chunk(t)) for s, t in cut]) == enc.encode(text)
+
+
+def test_chunks_go_without_their_text_where_an_overlap_is_sure(spark, enc):
+    """Small chunks of texts with and without white space, with and without the pattern of sure places."""
+    rng = random.Random(2)
+    parts = ["'", "s", "'re", "ll", " ", "  ", "\n", "a", "ß", "1", "22", "!", "漢", "word", "word "]
+    data = [(i, "".join(rng.choices(parts[: rng.choice([4, 9, 15])] + ["x"] * rng.randint(0, 9), k=rng.randint(1, 90)))) for i in range(400)]
+    data += [(500, "x" * 300), (501, " " * 300), (502, "a b" * 100 + "y" * 100 + " z" * 50), (500, "x" * 299), (None, "a b c " * 40)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    path, want = P.path("byte_bpe_50k.tiktoken"), sorted((str(i), enc.encode(t)) for i, t in data)
+    for chunk, overlap, sure in ((20, 8, bpe.SURE), (7, 5, bpe.SURE), (20, 8, None)):
+        got = bpe.encode(df, path, P.PATTERN, chunk, overlap, sure).collect()
+        assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in got) == want
+
+
+def test_forgotten_pre_tokens_change_nothing(enc, monkeypatch):
+    monkeypatch.setattr(bpe, "_KEPT", 16)
+    small = bpe.Encoder(enc.ranks, P.PATTERN)
+    rng = random.Random(4)
+    for _ in range(50):
+        text = " ".join("".join(rng.choices("abcdeß1", k=rng.randint(1, 6))) for _ in range(40))
+        assert small.encode(text) == enc.encode(text)
+    assert len(small) <= 16
 
 
 def test_language_code_lengths_equal_a_tree_walk():

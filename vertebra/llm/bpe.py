@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,11 @@ CHUNK, OVERLAP = 16_384, 512
 #: A boundary so near to a window's end may move once more text is seen (contractions
 #: need two more letters, a run of white space one more character).
 MARGIN = 3
-_KEPT = 80_000
+_KEPT = 250_000
+#: A place in a text that is a boundary whatever came before, as a pattern of one character
+#: before it and one after.  No pre-token of ``public_tokenizers.PATTERN`` goes on from a
+#: character that is no white space to one that is.
+SURE = r"\S\s"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +53,8 @@ class Encoder(dict):
         out = np.array(self.merge(token.encode("utf-8", "replace")), dtype="<u4").tobytes()
         if len(token) <= 64:
             if len(self) >= _KEPT:
-                self.clear()
+                for old in list(itertools.islice(self, _KEPT // 8)):
+                    del self[old]
             self[token] = out
         return out
 
@@ -126,11 +132,13 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return b"".join(map(_TOKENS[path].__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def stitch(enc: Encoder, chunks: list[tuple[int, str, np.ndarray, bytes, np.ndarray]]) -> bytes:
-    """Ids of a text from its chunks (start, text, ends, ids, id ends), in order of start."""
+def stitch(enc: Encoder, chunks: list[tuple[int, int, str | None, np.ndarray, bytes, np.ndarray]]) -> bytes:
+    """Ids of a text from its chunks (start, length, text, ends, ids, id ends), in order of start.
+    Of the ends, those within an overlap and the last are enough; the text is needed only of
+    chunks that share no boundary with a neighbour."""
     out: list[bytes] = []
     at = 0  # all before this character is encoded; it is a boundary of the current chunk
-    start, text, ends, ids, id_ends = chunks[0]
+    start, length, text, ends, ids, id_ends = chunks[0]
     for nxt in [*chunks[1:], None]:
         stops = np.concatenate([[0], ends]) + start
         offsets = np.concatenate([[0], id_ends])
@@ -138,35 +146,47 @@ def stitch(enc: Encoder, chunks: list[tuple[int, str, np.ndarray, bytes, np.ndar
         if nxt is None:
             out.append(ids[offsets[first]:])
             break
-        n_start, n_text, n_ends, n_ids, n_id_ends = nxt
-        sure = stops[(stops >= max(n_start, at)) & (stops <= start + len(text) - MARGIN)]
+        n_start, n_length, n_text, n_ends, n_ids, n_id_ends = nxt
+        sure = stops[(stops >= max(n_start, at)) & (stops <= start + length - MARGIN)]
         shared = np.intersect1d(sure, np.concatenate([[0], n_ends]) + n_start, assume_unique=True)
         if len(shared):
             last = np.searchsorted(stops, shared[0])
             out.append(ids[offsets[first]:offsets[last]])
             at = int(shared[0])
-            start, text, ends, ids, id_ends = nxt
+            start, length, text, ends, ids, id_ends = nxt
         else:  # go on from the last boundary that is sure, over both chunks' text
-            joined = text[at - start:] + n_text[max(0, start + len(text) - n_start):]
-            start, text = at, joined
+            joined = text[at - start:] + n_text[max(0, start + length - n_start):]
+            start, text, length = at, joined, len(joined)
             ends, ids, id_ends = enc.chunk(joined)
     return b"".join(out)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, sure: str | None = None) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every text of ``docs``.
 
     ``path``: the rank file, at the same place on every machine.  A null text is empty and
     has no ids; null and repeated doc_ids are rows like others; other columns are not
-    read; an empty table gives no rows.
+    read; an empty table gives no rows.  Texts of any length are encoded in chunks.
+
+    ``sure``: a pattern as ``SURE`` that holds for ``pattern``.  Two chunks with such a place in
+    their overlap share a boundary there, which both see from the overlap alone, so they go to
+    the stitching without their text; without ``sure`` every chunk takes its text along.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk)
     long = rows.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
     starts = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)))
-    cut = (long.select("uid", "doc_id", "text", starts.alias("start"))
-           .select("uid", "doc_id", "start", F.col("text").substr(F.col("start") + 1, F.lit(chunk + overlap)).alias("text"))
+    cut = (long.select("uid", "doc_id", "text", starts.alias("start"), (F.length("text") - chunk).alias("to"))
+           .select("uid", "doc_id", "start", "to", F.col("text").substr(F.col("start") + 1, F.lit(chunk + overlap)).alias("text"))
            .repartition(spread(docs), "uid", "start"))
+    place = regex.compile(sure) if sure else None
+
+    def needed(text: str, start: int, to: int) -> bool:
+        """Whether an overlap of the chunk may hold no shared boundary (``to``: start of the text's last chunk at the utmost)."""
+        meets = [text[:overlap]] if start else []
+        meets += [text[chunk: chunk + overlap]] if start < to else []
+        # the overlap of two chunks is the same text in both; a boundary near its end might move
+        return place is None or not all(place.search(t, 0, max(len(t) - MARGIN, 0)) for t in meets)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -175,19 +195,24 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
+        ints = lambda rows: pa.array([x.astype("<i4").tobytes() for x in rows], pa.binary())
         for batch, texts in pieces(batches):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             done = [enc.chunk(t) for t in texts]
+            kept = [(d[0] <= overlap) | (d[0] >= chunk) | (d[0] == len(t)) for d, t in zip(done, texts)]
+            taken = [t if needed(t, s, to) else None for t, s, to in zip(texts, column("start").to_pylist(), column("to").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([d[0].astype("<i4").tobytes() for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary()),
-                 pa.array([d[2].astype("<i4").tobytes() for d in done], pa.binary())], names=[*batch.schema.names, "ends", "ids", "id_ends"])
+                [column("uid"), column("doc_id"), column("start"), pa.array([len(t) for t in texts], pa.int32()), pa.array(taken, pa.string()),
+                 ints(d[0][k] for d, k in zip(done, kept)), pa.array([d[1] for d in done], pa.binary()), ints(d[2][k] for d, k in zip(done, kept))],
+                names=["uid", "doc_id", "start", "length", "text", "ends", "ids", "id_ends"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
         ints = lambda c: [np.frombuffer(x, "<i4").astype(np.int64) for x in pdf[c]]
-        ids = stitch(encoder(path, pattern), list(zip(pdf["start"].tolist(), pdf["text"], ints("ends"), pdf["ids"], ints("id_ends"))))
+        ids = stitch(encoder(path, pattern), list(zip(pdf["start"].tolist(), pdf["length"].tolist(), pdf["text"], ints("ends"), pdf["ids"], ints("id_ends"))))
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "ids": [ids]})
 
-    stitched = (cut.mapInArrow(parts, "uid long, doc_id long, start int, text string, ends binary, ids binary, id_ends binary")
+    stitched = (cut.mapInArrow(parts, "uid long, doc_id long, start int, length int, text string, ends binary, ids binary, id_ends binary")
                 .groupBy("uid").applyInPandas(join, "doc_id long, ids binary"))
     return short.mapInArrow(whole, "doc_id long, ids binary").unionByName(stitched)
 
@@ -211,6 +236,6 @@ def op7(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode(encode(docs, path, pattern), path)
+    both = decode(encode(docs, path, pattern, sure=SURE), path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
