@@ -46,7 +46,7 @@ _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 
 
 #: Components that a node asks at once in the first round, and by how much each round has more.
-ASKED, MORE = 1, 4
+ASKED, MORE = 1, 8
 
 
 def row_id() -> Column:
@@ -214,17 +214,18 @@ def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
 def _matches(limit: int):
     """Members outside the bucket's largest component (``asks``) and the components that have
     a member whose signature agrees enough: ``limit`` of them, the likeliest first, and whether
-    there are more.  Between two that ask, the smaller asks; those in ``asked`` were asked before."""
+    there are more.  Between two that are ``outside``, the smaller asks; those in ``asked`` were
+    asked before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
         node, comp, cur = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "cur"))
-        n, asks = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool)
+        n, asks, outside = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool), pdf["outside"].to_numpy(bool)
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
         asked = pdf["asked"].tolist()
         found: list[tuple[int, int, bool]] = []
         for i in np.nonzero(asks)[0]:
-            like = (cur != cur[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~asks | (node > node[i]))
+            like = (cur != cur[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~outside | (node > node[i]))
             if asked[i] is not None:
                 like &= ~np.isin(comp, np.asarray(asked[i], dtype=np.int64))
             at = np.nonzero(like)[0]
@@ -241,24 +242,27 @@ def _matches(limit: int):
 def _asks(rows: DataFrame, nodes: DataFrame, depth: int, limit: int, asked: DataFrame | None) -> DataFrame:
     """b, comp, more: node b may be linked to a member of another component; with ``more`` also
     to others than those given out.  ``rows`` (bkey, node, comp, cur, n, band, last) are members
-    of buckets, ``cur`` the component that ``comp`` is part of by now; those of one ``cur`` are
-    done.  ``asked`` (node, asked): components asked before.  A
+    of buckets, ``cur`` the component that ``comp`` is part of by now.  Only members outside a
+    bucket's largest ``comp`` ask, which is the same in every round; from the second on, those
+    in ``asked`` (node, asked: the components asked before), in the buckets that they are in.  A
     bucket with many members outside its largest component is split first (``depth`` times at
     most) by two coordinates next to each other, outside the band and after the ``last`` two;
     what is left meets in blocks.  Of the other 62 twos, AGREE coordinates fill four at
     least, so a pair that agrees enough meets whatever the size of its bucket."""
-    per = rows.groupBy("bkey", "cur").agg(F.count("*").alias("c"))
-    kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "cur")).alias("top"), F.count("*").alias("k"))
-    open_ = kinds.where("k > 1").select("bkey", F.col("top.cur").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
+    per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"))
+    kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
+    open_ = kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
+    if asked is not None:
+        open_ = open_.join(rows.join(asked, "node", "left_semi").select("bkey").distinct(), "bkey", "left_semi")
     rows = stash(rows.join(open_, "bkey"), "dedup-open")
     ready = rows.where(F.col("out") <= OUTSIDE) if depth else rows
     groups, blocks = F.ceil(F.col("out") / OUTSIDE).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    member = ["bkey", "node", "comp", "cur", "n"]
-    asking = ready.where("cur <> big").select(*member, deal(groups, 3).alias("g"), F.explode(upto(blocks)).alias("s"), F.lit(True).alias("asks"))
+    member = ["bkey", "node", "comp", "cur", "n", F.expr("comp <> big").alias("outside")]
+    asking = ready.where("comp <> big").select(*member, deal(groups, 3).alias("g"), F.explode(upto(blocks)).alias("s"), F.lit(True).alias("asks"))
     before = F.lit(None).cast("array<long>").alias("asked")
-    asking = asking.withColumn("asked", before) if asked is None else asking.join(asked, "node", "left")
+    asking = asking.withColumn("asked", before) if asked is None else asking.join(asked, "node")
     others = ready.select(*member, F.explode(upto(groups)).alias("g"), deal(blocks, 4).alias("s"), F.lit(False).alias("asks")).withColumn("asked", before)
     both = asking.select(others.columns).unionByName(others).join(nodes.select("node", "sig"), "node")
     found = both.groupBy("bkey", "g", "s").applyInPandas(_matches(limit), "b long, comp long, more boolean")
@@ -347,13 +351,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while True:
         by_now = roots.select(F.col("node").alias("comp"), F.col("root").alias("cur"))
         rows = labelled.join(by_now, "comp", "left").withColumn("cur", F.coalesce("cur", "comp"))
-        asks = _asks(rows, nodes, 2, limit, None if asked is None else asked.groupBy(F.col("b").alias("node")).agg(F.collect_set("comp").alias("asked")))
+        asks = _asks(rows, nodes, 2, limit, asked)
         if asks.isEmpty():
             break
         roots = merge(roots, answer(asks.select("b", "comp"), parts, docs))
-        if asks.where("more").isEmpty():
+        before = asks.select(F.col("b").alias("node"), "comp", "more")
+        if asked is not None:
+            before = before.unionByName(asked.select("node", F.explode("asked").alias("comp"), F.lit(False).alias("more")))
+        # who has asked all is done; the rest keep a list of ``limit`` components for each of their buckets at most
+        asked = stash(before.groupBy("node").agg(F.collect_set("comp").alias("asked"), F.bool_or("more").alias("more")).where("more").drop("more"), "dedup-asked")
+        if asked.isEmpty():
             break
-        asked = asks.select("b", "comp") if asked is None else asked.unionByName(asks.select("b", "comp"))
         limit *= MORE
     named = first.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("comp"))
