@@ -90,6 +90,56 @@ def test_mix_follows_weights(spark, docs, awkward, empty):
     assert rows(mixing.poisson_mix(empty)) == []
 
 
+def test_mix_takes_any_column_names(spark):
+    names = ["cdf", "parts", "_source", "_salt", "_salt_of", "_times", "_cdf", "PARTS_", "mean", "bytes", "weight"]
+    plain = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"),
+                                    F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    more = plain.select("*", *[F.lit(c).alias(c) for c in names])
+    want = collections.Counter(rows(mixing.poisson_mix(plain, epochs=2.0).select("doc_id", "copy", "rate", "shuffle_key")))
+    got = mixing.poisson_mix(more, epochs=2.0)
+    assert got.columns == ["doc_id", "text", "source", *names, "rate", "copy", "shuffle_key"]
+    assert collections.Counter(rows(got.select("doc_id", "copy", "rate", "shuffle_key"))) == want and len(want) > 400
+    assert rows(got.select(*names).distinct()) == [tuple(names)]
+
+
+def test_salted_mix_equals_the_broadcast_one(spark, docs, monkeypatch):
+    columns = ["doc_id", "source", "copy", "rate", "shuffle_key"]
+    want = rows(mixing.poisson_mix(docs).select(*columns))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert rows(mixing.poisson_mix(docs).select(*columns)) == want  # in the same order
+
+
+def test_top_k_keeps_every_row_of_a_repeated_id(spark):
+    data = [(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 9.0]), (50, [0.0, 1.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = rows(maxscore.op3(df).orderBy("query_id", "rank"))
+    pairs = sorted((-int(65536 * (np.array(q) @ np.array(v))), i) for j, q in data for i, v in data if j == 50 and i != 50)[:5]
+    assert got == [(50, n + 1, i, -s) for n, (s, i) in enumerate(pairs)]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    rng = np.random.default_rng(9)
+    many = data + [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 150, 400), rng.normal(0, 0.4, (400, 2)))]
+    many += [(7, [3.0, 3.0])] * 300 + [(100, [0.25, 0.5])] * 3  # a hot id, a query that is there three times
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", many)
+    want = con.execute(maxscore.SQL_OP3).fetchall()
+    df = spark.createDataFrame(many, "vec_id long, embedding array<float>")
+    got = rows(maxscore.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=40, block_rows=3))
+    assert sorted(got) == sorted(want)
+
+
+def test_heaviest_thins_the_last_step(spark):
+    from vertebra.llm.common import heaviest
+
+    flat = spark.range(10_000).select(F.col("id").alias("w"), F.when(F.col("id") < 100, 7).otherwise(3).alias("p"))
+    got = [r["w"] for r in heaviest(flat, "p", 1100, "w").collect()]
+    assert set(range(100)) <= set(got) and 1000 < len(got) < 1200
+    assert sorted(got) == sorted(r["w"] for r in heaviest(flat.repartition(3), "p", 1100, "w").collect())
+    assert heaviest(flat, "p", 10_000, "w").count() == 10_000 and heaviest(flat.limit(0), "p", 5, "w").count() == 0
+    assert 20 < heaviest(flat, "p", 50, "w").count() < 80
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.3, (700, 16)))]
@@ -97,11 +147,11 @@ def test_top_k_equals_brute_force(spark):
     data += [(2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 16), (2150, [float("inf")] * 16), (2200, [0.5]), (50, data[50][1]), (None, [1.0] * 16)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     got = sorted(rows(maxscore.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=100, block_rows=5)))
-    ints = {i: np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 16 - len(v))) for i, v in data
-            if i is not None and v and None not in v and np.isfinite(v).all()}
+    ints = [(i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 16 - len(v)))) for i, v in data
+            if i is not None and v and None not in v and np.isfinite(v).all()]  # row by row: 50 is there twice
     want = []
-    for q in (i for i in ints if i % 50 == 0):
-        best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:5]
+    for q in sorted({i for i, _ in ints if i % 50 == 0}):
+        best = sorted((-int(mine @ v), i) for j, mine in ints if j == q for i, v in ints if i != q)[:5]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert rows(maxscore.op3(df.limit(0))) == []

@@ -74,16 +74,19 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = UN
         pa.default_memory_pool().release_unused()  # workers are kept, and so is what their pool holds
 
 
-def heaviest(df: DataFrame, weight: str, most: int) -> DataFrame:
-    """The rows of largest ``weight`` (positive), ``most`` at the utmost.  The cut lies at a
-    step of weight (a sixteenth of a doubling), so equal weights stay together and no task
-    sends more than its own share."""
+def heaviest(df: DataFrame, weight: str, most: int, key: str) -> DataFrame:
+    """The rows of largest ``weight`` (positive), about ``most`` of them if there are more.
+
+    Weights are compared by step (a sixteenth of a doubling), so no task sends more than its
+    own share.  The step that the bound falls into is thinned by a hash of ``key``: of rows of
+    equal weight some stay, never none, and the same ones in every run.
+    """
     step = F.floor(F.log2(F.col(weight)) * 16)
     steps = sorted(((r["s"], r["n"]) for r in df.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    cut, total = None, 0
+    total = 0
     for s, n in steps:
+        if total + n > most:
+            draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+            return df.where((step > s) | ((step == s) & (draw < (most - total) / n)))
         total += n
-        if total > most:
-            break
-        cut = s
-    return df.where(F.lit(False) if cut is None else step >= cut)
+    return df

@@ -94,7 +94,7 @@ class Tables:
 def prepare(counts: DataFrame) -> Tables:
     """Tables of ``counts`` (word, c)."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = heaviest(counts.where(F.octet_length("word") <= 64), "c", KNOWN).collect()
+    top = heaviest(counts.where(F.octet_length("word") <= 64), "c", KNOWN, "word").collect()
     top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     known = {bytes(r["word"]): r["c"] for r in top}
     head = [bytes(r["word"]) for r in top[:HEAD]]

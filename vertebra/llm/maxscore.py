@@ -24,11 +24,12 @@ PROBE = 8
 
 
 def integers(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id and v = floor(scale * x) of the rows that take part."""
+    """vec_id, v = floor(scale * x) and n of the rows that take part; n rows are equal in both."""
     x = F.col("embedding")
     whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) != float("inf")))
     return (vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & whole)
-            .select("vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale)))).alias("v")))
+            .select("vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale)))).alias("v"))
+            .groupBy("vec_id", "v").agg(F.count("*").alias("n")))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -40,7 +41,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def shard_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int):
     """Per query the k best (query index, vector index, score) of one shard, ties to the
-    smaller id; rows of the query's own id are no candidates."""
+    smaller id; rows of the query's own id are no candidates.  Indices are of the rows given."""
     dim = max(q.shape[1], 1)
     most = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * dim
     kind = np.float64 if most < 2 ** 53 else np.int64  # float64 sums of integers are exact below 2^53
@@ -78,19 +79,20 @@ def shard_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray,
         best = [x[nth < k] for x in best]
         last = nth[nth < k] == k - 1
         theta[best[0][last]] = best[2][last]
-    return best[0], ids[best[1]], best[2]
+    return best[0], order[best[1]], best[2]
 
 
 def _search(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "times": []}).astype("int64")
         if not len(vectors) or not len(queries):
             return empty
         dim = max(map(len, [*vectors["v"], *queries["v"]]))
-        q_ids = queries["vec_id"].to_numpy(np.int64)
-        qi, ids, score = shard_top(q_ids, _matrix(queries["v"], dim),
-                                   vectors["vec_id"].to_numpy(np.int64), _matrix(vectors["v"], dim), k)
-        return pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids, "score": score})
+        q_ids, ids = (x["vec_id"].to_numpy(np.int64) for x in (queries, vectors))
+        q_times, times = (np.minimum(x["n"].to_numpy(np.int64), k) for x in (queries, vectors))
+        qi, vi, score = shard_top(q_ids, _matrix(queries["v"], dim), ids, _matrix(vectors["v"], dim), k)
+        return pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids[vi], "score": score,
+                             "times": np.minimum(q_times[qi] * times[vi], k)})
 
     return run
 
@@ -102,26 +104,31 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.  A null
     vector, one with a null or non-finite component, or a null vec_id takes no part; a
-    shorter vector counts as padded with 0; repeated rows of one vec_id are one candidate;
-    fewer than k candidates give fewer rows; other columns are not read.
-    Queries (in blocks) meet shards, both of bounded size, whatever the number of rows.
+    shorter vector counts as padded with 0; fewer than k candidates give fewer rows; an empty
+    table gives none; texts and other columns are not read.  Every row is a candidate: of a
+    repeated vec_id each row counts with its own vector, equal ones as often as they are there.
+    Queries of one vec_id give one list, the best of all their pairs.
+    Queries (in blocks) meet shards, both of bounded size, whatever the number of rows: rows
+    are dealt by id and vector, and those equal in both travel as one with their number.
     """
-    all_ = stash(integers(vectors, scale).dropDuplicates(["vec_id"]), "search-vectors")
+    all_ = stash(integers(vectors, scale), "search-vectors")
     asked = all_.where(is_query)
     n_shards = max(1, -(-all_.count() // shard_rows))
     n_blocks = max(1, -(-asked.count() // block_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    left = all_.select("vec_id", "v", deal(n_shards, 1).alias("shard"), every(n_blocks).alias("block"))
-    right = asked.select("vec_id", "v", deal(n_blocks, 2).alias("block"), every(n_shards).alias("shard"))
+    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(n)).cast("int")
+    left = all_.select("vec_id", "v", "n", deal(n_shards, 1).alias("shard"), every(n_blocks).alias("block"))
+    right = asked.select("vec_id", "v", "n", deal(n_blocks, 2).alias("block"), every(n_shards).alias("shard"))
     found = (left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
-             .applyInPandas(_search(k), "query_id long, vec_id long, score long"))
+             .applyInPandas(_search(k), "query_id long, vec_id long, score long, times long")
+             .withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
 def op3(vectors: DataFrame) -> DataFrame:
+    """``top_k`` of the rows whose vec_id is divisible by 50; awkward rows as stated there."""
     return top_k(vectors, F.col("vec_id") % 50 == 0)
 
 

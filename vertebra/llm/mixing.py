@@ -56,6 +56,13 @@ def rates(docs: DataFrame, weights: DataFrame | None, epochs: float, alpha: floa
     return stash(out.select("source", "rate", "parts", cdf.alias("cdf")), "mix-rates")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that no column of ``taken`` has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
                 alpha: float = 0.7, seed: str = SEED) -> DataFrame:
     """Repeat the rows of ``docs`` (doc_id, text, source, any other columns) so that the
@@ -64,32 +71,38 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     ``weights``: (source, weight); a source it lacks gets none.  Without it a source of b
     bytes weighs b ** alpha.  ``epochs``: bytes wanted, as a multiple of the input's.
     Adds rate, copy (from 0) and shuffle_key (ascending in the new order).  Null sources
-    are one source, a null text has one byte as every empty text, rows of equal doc_id
-    draw alike, an empty table gives no rows.  Input columns named rate, copy or
-    shuffle_key give way.
+    are one source, a null text has one byte as every empty text, a very long one is a row as
+    any other (texts are never gathered), rows of equal doc_id draw alike, an empty table gives
+    no rows.  Input columns named rate, copy or shuffle_key give way; all others pass, whatever
+    their names.
     """
-    keep = [c for c in docs.columns if c not in ("rate", "copy", "shuffle_key")]
+    keep = [c for c in docs.columns if c.lower() not in ("rate", "copy", "shuffle_key")]
     docs = docs.select(*keep)
-    by = rates(docs, weights, epochs, alpha).withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    source, parts, cdf, times, salt, other = (_free(c, keep) for c in ("_source", "_parts", "_cdf", "_times", "_salt", "_salt_of"))
+    by = rates(docs, weights, epochs, alpha).select(F.col("source").alias(source), "rate", F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    same = F.col("source").eqNullSafe(F.col(source))
     if by.count() <= BROADCAST_SOURCES:
         drawn = docs.join(F.broadcast(by), same)
     else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        drawn = (docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-                 .join(by.withColumn("_salt2", salt), same & (F.col("_salt") == F.col("_salt2"))))
-    one = lambda i: F.size(F.filter("cdf", lambda c: c <= (
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        drawn = (docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+                 .join(by.withColumn(other, every), same & (F.col(salt) == F.col(other))))
+    one = lambda i: F.size(F.filter(cdf, lambda c: c <= (
         unit_hash(seed, i, F.col("doc_id")) / F.lit(float(2 ** 48)))))
-    times = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, i: a + one(i))
-    copies = (drawn.withColumn("_times", times).where("_times > 0")
-              .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    drawn_times = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, i: a + one(i))
+    copies = (drawn.withColumn(times, drawn_times).where(F.col(times) > 0)
+              .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
               .withColumn("shuffle_key", unit_hash(f"{seed}-order", F.col("doc_id"), F.col("copy"))))
+    # the keys are uniform in 48 bits, so equal ranges hold equal shares: the range is computed
+    # from the key, and the draw runs once (a range partitioner would sample it first)
     n = spread(docs)
     return (copies.select(*keep, "rate", "copy", "shuffle_key")
-            .repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy"))
+            .repartitionById(n, F.shiftright(F.col("shuffle_key") * F.lit(n), 48).cast("int"))
+            .sortWithinPartitions("shuffle_key", "doc_id", "copy"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """The documents at rates of bytes ** 0.7; awkward rows as stated in ``poisson_mix``."""
     return poisson_mix(docs).select("doc_id", "source", "rate", "copy", "shuffle_key", "text")
 
 

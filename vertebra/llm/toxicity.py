@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     lifted = (seen.select("pos", F.explode("words").alias("w")).groupBy("w")
               .agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u")).where(F.col("p") >= LEAST_DF)
               .select("w", "p", lift.alias("lift")).where(F.col("lift") >= float(np.log(LIFT))))
-    top = sorted(heaviest(lifted, "p", WORDS).collect(), key=lambda r: (-r["p"], r["w"]))
+    top = sorted(heaviest(lifted, "p", WORDS, "w").collect(), key=lambda r: (-r["p"], r["w"]))
     vocabulary, values = [r["w"] for r in top], np.array([r["lift"] for r in top])
     if not vocabulary:
         return Model({}, nothing_found)
