@@ -1,9 +1,14 @@
 """Job entry points: ``python -m vertebra.cli <job> ...``.
 
-  load     frame JSON files -> facts, images, dimensions (batch job)
+  load     frame JSON files, or all messages that a topic holds -> facts, images,
+           dimensions (batch job)
   daily    facts -> daily mart, all days or one day (idempotent per day)
   live     frame stream (Kafka or a folder of frame files) -> feed, landing, quarantine, tables
-  loader   landing-zone stream -> facts, images, dimensions
+  loader   landing-zone stream -> facts, images, dimensions; with --clean-source the files
+           of a batch are archived or deleted once the next batch begins (of the last batch
+           of a run: by the next run that finds new files)
+  archive  frame stream -> messages under one folder per local day
+  images   the images of one day's frames, with their class, from the image table or a folder
   status   frame stream -> live status table (newest result per user), or with --counts
            the frames per local day and class
   report   calendar | daily | weekly | weekly-landmarks | weekly-chart | daily-chart
@@ -23,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .functions.timeparts import DEFAULT_TZ, instant_range
 from .operators import mart as mart_ops
-from .operators import reports
+from .operators import reports, warehouse
 from .operators.inference import mediapipe_estimator_factory, recorded_landmarks_factory
 from .session import build_session
 from .sinks import writers
-from .sources.files import frame_file_stream, landing_stream, read_frames
-from .sources.kafka import frame_stream
+from .sources.files import frame_file_stream, landing_stream, read_frames, read_images
+from .sources.kafka import frame_stream, replay_frames
 from .streaming import jobs
 from .streaming.upserts import read_upserts
 
@@ -38,11 +43,13 @@ def _estimator(name: str):
 
 
 def cmd_load(spark, a) -> None:
-    analyzed, bad = jobs.process_frames(read_frames(spark, a.input), _estimator(a.estimator),
+    frames = replay_frames(spark, *a.kafka.split("/", 1)) if a.kafka else read_frames(spark, a.input)
+    analyzed, bad = jobs.process_frames(frames, _estimator(a.estimator),
                                         a.user_id and F.lit(a.user_id), a.partitions)
     jobs.load_frames(analyzed, a.out, a.tz)
-    # once per file and row, however often the folder is loaded
-    bad = bad.select("file_name", "timestamp", "reason", "raw")
+    # once per file (none for a topic) and row, however often it is loaded
+    name = F.col("file_name") if "file_name" in bad.columns else F.lit(None).cast("string").alias("file_name")
+    bad = bad.select(name, "timestamp", "reason", "raw")
     writers.append_new(bad, writers.table_path(a.out, "quarantine"), bad.columns)
 
 
@@ -87,11 +94,30 @@ def cmd_status(spark, a) -> None:
 
 def cmd_loader(spark, a) -> None:
     trigger = {"availableNow": True} if a.once else {"processingTime": a.trigger}
-    q = jobs.start_loader(landing_stream(spark, a.input), a.out, a.checkpoint, trigger,
+    landed = landing_stream(spark, a.input, clean_source=a.clean_source, archive_dir=a.archive_dir)
+    q = jobs.start_loader(landed, a.out, a.checkpoint, trigger,
                           a.user_id and F.lit(a.user_id), a.tz)
     q.awaitTermination()
 
 
+def cmd_archive(spark, a) -> None:
+    stream, trigger = _frames(spark, a)
+    jobs.start_archive(stream, writers.table_path(a.out, "archive"), a.checkpoint, trigger, a.tz).awaitTermination()
+
+
+def cmd_images(spark, a) -> None:
+    d = dt.date.fromisoformat(a.day)
+    posture = {None: None, "correct": True, "incorrect": False}[a.posture]
+    facts = spark.read.parquet(writers.table_path(a.out, "tb_posture"))
+    if a.images:
+        wanted = warehouse.day_class(facts, d.year, d.month, d.day, posture)
+        rows = warehouse.attach_images(wanted, read_images(spark, a.images, wanted))
+    else:
+        stored = spark.read.parquet(writers.table_path(a.out, "tb_image"))
+        rows = warehouse.day_images(facts, stored, d.year, d.month, d.day, posture)
+    rows.write.mode("overwrite").parquet(a.dest)  # a re-run replaces the result
+
+
 def cmd_report(spark, a) -> None:
     if a.kind == "live":
         rows = read_upserts(spark, writers.table_path(a.out, "tb_live_status"), jobs.STATUS_KEYS)
@@ -126,7 +152,8 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="job", required=True)
 
     s = sub.add_parser("load")
-    s.add_argument("--input", required=True)
+    s.add_argument("--input", default=None)
+    s.add_argument("--kafka", default=None, help="servers/topic: replay what it holds")
     s.add_argument("--out", required=True)
     s.add_argument("--estimator", required=True, choices=["recorded", "mediapipe"])
     s.add_argument("--user-id", default=None)
@@ -137,17 +164,29 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--day", default=None, help="yyyy-mm-dd; all days when omitted")
     s.add_argument("--by-user", action="store_true")
 
-    for name in ("live", "status", "loader"):
+    s = sub.add_parser("images")
+    s.add_argument("--out", required=True)
+    s.add_argument("--day", required=True, help="yyyy-mm-dd")
+    s.add_argument("--class", dest="posture", default=None, choices=["correct", "incorrect"])
+    s.add_argument("--images", default=None, help="folder of image files; the image table when omitted")
+    s.add_argument("--dest", required=True)
+
+    for name in ("live", "status", "loader", "archive"):
         s = sub.add_parser(name)
         s.add_argument("--input", default=None)
         s.add_argument("--out", required=True)
         s.add_argument("--checkpoint", required=True)
         s.add_argument("--trigger", default="3 seconds" if name == "loader" else "500 milliseconds")
         s.add_argument("--once", action="store_true", help="process what is there, then stop")
-        s.add_argument("--user-id", default=None)
-        if name != "loader":
+        if name != "archive":
+            s.add_argument("--user-id", default=None)
+        if name == "loader":
+            s.add_argument("--clean-source", default=None, choices=["archive", "delete"])
+            s.add_argument("--archive-dir", default=None, help="folder outside --input, for --clean-source archive")
+        else:
             s.add_argument("--kafka", default=None, help="servers/topic")
             s.add_argument("--max-per-trigger", type=int, default=None)
+        if name in ("live", "status"):
             s.add_argument("--estimator", required=True, choices=["recorded", "mediapipe"])
             s.add_argument("--partitions", type=int, default=None)
         if name == "status":
@@ -167,9 +206,13 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--mode", default="calendar", choices=["calendar", "literal"])
 
     a = p.parse_args(argv)
+    if a.job == "loader" and (a.clean_source == "archive") != bool(a.archive_dir):
+        p.error("--clean-source archive and --archive-dir go together")
+    if a.job in ("load", "live", "status", "archive") and bool(a.input) == bool(a.kafka):
+        p.error("give either --input or --kafka")
     spark = build_session(a.master, app=f"vertebra-{a.job}")
     {"load": cmd_load, "daily": cmd_daily, "live": cmd_live, "status": cmd_status, "loader": cmd_loader,
-     "report": cmd_report}[a.job](spark, a)
+     "archive": cmd_archive, "images": cmd_images, "report": cmd_report}[a.job](spark, a)
 
 
 if __name__ == "__main__":

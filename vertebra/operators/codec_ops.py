@@ -51,6 +51,14 @@ def archive_frames_names(messages: DataFrame, ts: str = "ts", text: str = "times
     return messages.select(*keep, day.alias("ingest_date"), archive_name(text).alias("archive_name"))
 
 
+def archive_rows(messages: DataFrame, ts: str = "event_ts", tz: str = DEFAULT_TZ) -> DataFrame:
+    """Messages as they are archived: ``ingest_date`` (local day of the frame, NULL if the
+    message has none), the per-message name, and the message (``raw`` where it could not be decoded)."""
+    day = F.date_format(F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz), "yyyyMMdd")
+    return (messages.withColumns({"ingest_date": day, "archive_name": archive_name("timestamp")})
+            .select("ingest_date", "archive_name", "timestamp", "image_data", *[c for c in ("raw",) if c in messages.columns]))
+
+
 def preview(df: DataFrame, order: tuple[str, ...], n: int = 20) -> DataFrame:
     """First ``n`` rows in a fixed order (top-n, not a full sort)."""
     return df.orderBy(*order).limit(n)

@@ -195,6 +195,18 @@ def attach_images(facts: DataFrame, images: DataFrame) -> DataFrame:
     return facts.join(images, "img_filename", "inner")
 
 
+def day_images(facts: DataFrame, images: DataFrame, year: int, month: int, day: int,
+               posture: bool | None = None) -> DataFrame:
+    """``day_class`` with the image bytes, from the stored image table: the scan reads the
+    folder of the month and, by the statistics on ``capture_time``, the row groups of the
+    day, so the bytes of other days stay where they are.  A frame without a stored image is
+    left out; so is an image without a pose."""
+    day_ = dt.date(year, month, day)
+    stored = images.filter((F.col("year_id") == year) & (F.col("month_id") == month)
+                           & instant_range("capture_time", day_, day_, tz=None))
+    return attach_images(day_class(facts, year, month, day, posture), stored.select("img_filename", "image", "file_size"))
+
+
 def day_class(facts: DataFrame, year: int, month: int, day: int,
               posture: bool | None = None) -> DataFrame:
     """File names and class of one day's frames with a pose, in one filtered scan.

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import DEFAULT_TZ
+from ..operators.codec_ops import archive_rows
 from ..operators.warehouse import anti_join
 from ..sources.tables import exists, remove
 from .keys import append_indexed
@@ -129,13 +130,9 @@ def archive_frames(messages: DataFrame, path: str, ts: str = "event_ts", tz: str
 
     Spark writes part files, not one file per message; each archived row keeps
     the per-message name (``kafka_<timestamp>.json``) as ``archive_name``.
+    A second call adds its rows again; ``streaming.jobs.start_archive`` adds none twice.
     """
-    from ..functions.codec import archive_name
-
-    day = F.date_format(F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz), "yyyyMMdd")
-    (messages.withColumns({"ingest_date": day, "archive_name": archive_name("timestamp")})
-     .select("ingest_date", "archive_name", "timestamp", "image_data")
-     .write.mode("append").partitionBy("ingest_date").json(path))
+    archive_rows(messages, ts, tz).write.mode("append").partitionBy("ingest_date").json(path)
 
 
 def table_path(base: str, name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +29,38 @@ def read_frames(spark: SparkSession, path: str, schema: T.StructType = FRAME_MES
     return _checked(reader, T.StructType(list(schema.fields)), path)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image blobs as ``img_filename, image BINARY, file_size`` (binaryFile source)."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-            .select(file_basename("path").alias("img_filename"),
-                    F.col("content").alias("image"),
-                    F.col("length").cast("int").alias("file_size")))
+# files at most whose paths are named one by one to a scan (a path is about 200 bytes); the driver
+# holds as much for every file of a folder that it lists
+NAMED_FILES = 50_000
+
+
+def wanted_paths(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """Paths under ``path`` whose file name is in ``names`` (img_filename), by the listing
+    alone: the scan has no content column, so no file is opened."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+              .select("path", file_basename("path").alias("img_filename")))
+    return listed.join(names.select("img_filename"), "img_filename", "left_semi").select("path")
+
+
+def read_images(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """Image blobs as ``img_filename, image BINARY, file_size`` (binaryFile source).
+
+    With ``names`` (img_filename) only the files so named, and up to ``NAMED_FILES`` of them
+    only those are opened: their paths are found first and become the scan's own.  Beyond,
+    the whole folder is read and cut by the same semi-join.
+    """
+    some = None
+    if names is not None:
+        some = [r["path"] for r in wanted_paths(spark, path, names).limit(NAMED_FILES + 1).collect()]
+        # a path is taken for a pattern by the reader
+        some = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in some] if len(some) <= NAMED_FILES else None
+    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(some or path)
+    out = blobs.select(file_basename("path").alias("img_filename"),
+                       F.col("content").alias("image"),
+                       F.col("length").cast("int").alias("file_size"))
+    if some == []:
+        return out.where(F.lit(False))
+    return out if names is None or some else out.join(names.select("img_filename"), "img_filename", "left_semi")
 
 
 def landing_stream(spark: SparkSession, path: str, schema: T.StructType = LANDED_DOCUMENT,

@@ -17,7 +17,7 @@ from ..functions.codec import surrogate_key
 from ..functions.timeparts import DEFAULT_TZ, local_time, parse_message_ts
 from ..operators import status as status_ops
 from ..operators import warehouse
-from ..operators.codec_ops import result_feed
+from ..operators.codec_ops import archive_rows, result_feed
 from ..operators.inference import Estimator, infer_landmarks
 from ..operators.messages import decode_messages, split_valid
 from ..operators.posture import analyze, with_landmarks
@@ -187,6 +187,20 @@ def start_landing_sink(analyzed: DataFrame, path: str, checkpoint: str,
     return w.start(path)
 
 
+def start_archive(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                  tz: str = DEFAULT_TZ) -> StreamingQuery:
+    """Archive of the messages as a running job: JSON lines under ``ingest_date=<yyyyMMdd>``
+    through the streaming file sink.  Its commit log names the files of each batch, so a batch
+    that is replayed after a crash adds nothing, and readers of ``path`` see whole batches only.
+    Messages that cannot be decoded are archived too, with their text in ``raw``."""
+    if "value" in stream.columns and "image_data" not in stream.columns:
+        stream = decode_messages(stream)
+    rows = archive_rows(stream.withColumn("event_ts", parse_message_ts("timestamp")), "event_ts", tz)
+    w = (rows.writeStream.format("json").option("ignoreNullFields", "false")
+         .option("checkpointLocation", checkpoint).partitionBy("ingest_date"))
+    return w.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start(path)
+
+
 def start_loader(landed_stream: DataFrame, out_base: str, checkpoint: str,
                  trigger: dict | None = None, user_id: Column | str | None = None,
                  tz: str = DEFAULT_TZ, estimator_factory: Callable[[], Estimator] | None = None
