@@ -20,14 +20,20 @@ LEAST_LANGUAGE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold; learns from the fold the operator's query learns from."""
+    """Documents that score under the threshold; learns from the fold the operator's query learns from.
+
+    Null and empty texts and very long ones are scored as any other, equal rows alike; without
+    labels nothing is toxic; an empty table gives no rows; other columns are left behind."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 4, 2))
     return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: not ``und``, and probable enough."""
+    """Documents whose language is recognised: not ``und``, and probable enough.
+
+    Texts that are null or have no letter go, as does everything if no language was learned;
+    equal rows fare alike; an empty table gives no rows; other columns are left behind."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs, ~in_fold(F.col("doc_id"), 5, 0))
     found = langid.predict(docs, model)
@@ -41,12 +47,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated at their source's rate, in a new global order."""
+    """Documents repeated at their source's rate, in a new global order.
+
+    A null source is a source; rows of equal doc_id are repeated alike; texts play no part but
+    by their size; an empty table gives no rows; other columns are left behind."""
     return mixing.poisson_mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with a digest of what they decode to."""
+    """Ids of every document, with a digest of what they decode to.
+
+    A null text counts as empty and has no ids; equal rows each give a row; a long text is
+    encoded in chunks; an empty table gives no rows."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     both = bpe.decode(bpe.encode(docs, path, pattern), path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
@@ -61,8 +73,9 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Learned models and MinHash are beyond SQL.  Tests hold near-dedup, mixing and bpe against
-#: brute force, toxicity and language against their labels.
+#: Learned models and MinHash are beyond SQL.  Tests of the operators hold near-dedup and bpe
+#: against brute force, mixing against its SQL, toxicity and language against their labels;
+#: the test of the stages in a row holds their row counts, and that no near duplicate is left.
 ORACLE_SQL = None
 
 
