@@ -231,6 +231,49 @@ def test_asks_grow_with_members_not_with_pairs():
         assert len(rest) == n * (n - 1) // 2 - (n - 1) and not rest["more"].any()
 
 
+def test_steps_give_out_members_not_pairs(spark, monkeypatch):
+    """Near copies that share buckets, hardly any of them linked: what is looked at and what is
+    given out are rows of members of the 32 buckets, twice at most, and no link is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    data = [(i, " ".join(w if rng.random() > 0.035 else f"x{rng.randint(0, 10**6)}" for w in base)) for i in range(120)]
+    data += [(500 + i, data[i][1] + " end") for i in range(0, 40, 3)]
+    counts: dict[str, list[int]] = {}
+
+    def counting(df, name, stash=neardup.stash):
+        out = stash(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stash", counting)
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).drop("row", "component")
+    assert sorted(rows(got)) == brute_components(data)
+    assert len(counts["dedup-open"]) <= 2 and sum(counts["dedup-open"]) <= 2 * neardup.BANDS * len(data)
+    assert len(counts["dedup-asks"]) == 1 and counts["dedup-asks"][0] <= neardup.BANDS * len(data)
+    assert counts["dedup-met"][0] > 0
+
+
+def test_members_that_meet_give_out_a_forest():
+    import pandas as pd
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    for n in (20, 60):
+        texts = [" ".join(w if rng.random() > 0.012 else f"x{rng.randint(0, 10**6)}" for w in base) for _ in range(n)]
+        texts.append(" ".join(base[:40]))  # a candidate of nobody
+        sets = [neardup.shingle_set(t) for t in texts]
+        sigs = [neardup.signature(s, neardup._windows()).astype(np.uint8).tobytes() for s in sets]
+        pdf = pd.DataFrame({"node": range(n + 1), "comp": range(n + 1), "cur": range(n + 1), "n": [len(s) for s in sets], "asks": True, "outside": True,
+                            "sig": sigs, "asked": [None] * (n + 1), "text": texts})
+        met = neardup._partners(pd.concat([pdf, pdf.assign(asks=False)]))
+        assert met["node"].is_unique and n not in set(met["node"])
+        links = neardup._settle(met)
+        pairs = [(a, b) for a in range(n + 1) for b in range(a) if neardup._linked(sets[a], sets[b])]
+        together = pd.Series(range(n + 1))
+        for a, b in pairs:
+            together[together == together[a]] = together[b]
+        assert len(links) == n + 1 - together.nunique() < len(pairs) and all(neardup._linked(sets[a], sets[b]) for a, b in links.to_numpy())
+
+
 def test_one_of_each_equals_brute_force(spark, docs):
     """A stage that loses one clean row, or leaves one copy, fails."""
     table = [(r["doc_id"], r["text"]) for r in docs.collect()]

@@ -10,7 +10,9 @@ Bands of four coordinates give buckets.  Rather than all pairs of a bucket, each
 verified against the smallest members of its buckets (stars), and verified links are
 contracted to components.  Only buckets whose members still belong to different components
 are looked at again: a member whose signature agrees enough with one of another component
-asks that component, and is held against its members' full sets until one is linked.  So
+asks that component, and is held against its members' full sets until one is linked.  Those
+for whom that leaves components meet the members of their buckets once more, with their
+texts, and give out the links alone.  So
 no link that the bands found is lost, and no step gives out the pairs of a group.  Copies
 of one set are a single node throughout.
 """
@@ -45,8 +47,11 @@ AGREE = 70
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-#: Components that a node asks at once in the first round, and by how much each round has more.
-ASKED, MORE = 1, 8
+#: Components that a node asks in a bucket before it meets all; candidates that it is held
+#: against there at a time.
+ASKED, MORE = 1, 64
+#: Shingles of either side of a block that is verified where it meets (8 bytes each).
+HEAVY = 2_000_000
 
 
 def row_id() -> Column:
@@ -211,27 +216,39 @@ def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots if more.isEmpty() else _follow(roots, components(more))
 
 
+def _members(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Those who meet, each once; one that asks, asking."""
+    return pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
+
+
+def _candidates(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Of members outside the bucket's largest component (``asks``): the rows of other components
+    whose signature agrees enough, the likeliest first.  Between two that are ``outside``, the
+    smaller asks; components in ``asked`` were asked before."""
+    node, comp, cur = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "cur"))
+    n, asks, outside = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool), pdf["outside"].to_numpy(bool)
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
+    asked = pdf["asked"].tolist()
+    for i in np.nonzero(asks)[0]:
+        like = (cur != cur[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~outside | (node > node[i]))
+        if asked[i] is not None:
+            like &= ~np.isin(comp, np.asarray(asked[i], dtype=np.int64))
+        at = np.nonzero(like)[0]
+        agree = (sig[at] == sig[i]).sum(axis=1)
+        at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+        yield i, at[np.lexsort((node[at], -agree))]
+
+
 def _matches(limit: int):
-    """Members outside the bucket's largest component (``asks``) and the components that have
-    a member whose signature agrees enough: ``limit`` of them, the likeliest first, and whether
-    there are more.  Between two that are ``outside``, the smaller asks; those in ``asked`` were
-    asked before."""
+    """Members that ask, and the components of their candidates: ``limit`` of them, the
+    likeliest first, and whether there are more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
-        node, comp, cur = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "cur"))
-        n, asks, outside = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool), pdf["outside"].to_numpy(bool)
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
-        asked = pdf["asked"].tolist()
+        pdf = _members(pdf)
+        node, comp = (pdf[c].to_numpy(np.int64) for c in ("node", "comp"))
         found: list[tuple[int, int, bool]] = []
-        for i in np.nonzero(asks)[0]:
-            like = (cur != cur[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~outside | (node > node[i]))
-            if asked[i] is not None:
-                like &= ~np.isin(comp, np.asarray(asked[i], dtype=np.int64))
-            at = np.nonzero(like)[0]
-            agree = (sig[at] == sig[i]).sum(axis=1)
-            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-            best = comp[at[np.lexsort((node[at], -agree))]]
+        for i, at in _candidates(pdf):
+            best = comp[at]
             best = best[np.sort(np.unique(best, return_index=True)[1])]
             found += [(node[i], c, len(best) > limit) for c in best[:limit]]
         return pd.DataFrame(found, columns=["b", "comp", "more"]).astype({"b": "int64", "comp": "int64", "more": "bool"})
@@ -239,24 +256,60 @@ def _matches(limit: int):
     return run
 
 
-def _asks(rows: DataFrame, nodes: DataFrame, depth: int, limit: int, asked: DataFrame | None) -> DataFrame:
-    """b, comp, more: node b may be linked to a member of another component; with ``more`` also
-    to others than those given out.  ``rows`` (bkey, node, comp, cur, n, band, last) are members
-    of buckets, ``cur`` the component that ``comp`` is part of by now.  Only members outside a
-    bucket's largest ``comp`` ask, which is the same in every round; from the second on, those
-    in ``asked`` (node, asked: the components asked before), in the buckets that they are in.  A
-    bucket with many members outside its largest component is split first (``depth`` times at
-    most) by two coordinates next to each other, outside the band and after the ``last`` two;
-    what is left meets in blocks.  Of the other 62 twos, AGREE coordinates fill four at
-    least, so a pair that agrees enough meets whatever the size of its bucket."""
-    per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"))
-    kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
-    open_ = kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"))
+def _partners(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Those who meet that have a candidate or are one: a row of each, not of their pairs."""
+    pdf = _members(pdf)
+    there = np.zeros(len(pdf), dtype=bool)
+    for i, at in _candidates(pdf):
+        if len(at):
+            there[i] = there[at] = True
+    return pdf[there]
+
+
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between those who meet (with ``text``), by their full sets: every candidate is held
+    against who asks unless links found here join the two already, so there are fewer links
+    than members."""
+    pdf = _members(pdf)
+    sets = [shingle_set(t) for t in pdf["text"]]
+    size = [len(s) for s in sets]
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(number, np.cumsum(size)[:-1])
+    node, now = pdf["node"].to_numpy(np.int64), pdf["cur"].to_numpy(np.int64).copy()
+    mark = np.zeros(len(known), dtype=bool)
+    found: list[tuple[int, int]] = []
+    for i, at in _candidates(pdf):
+        mark[own[i]] = True
+        for part in (at[k: k + MORE] for k in range(0, len(at), MORE)):
+            for j in part[now[part] != now[i]]:
+                both = np.count_nonzero(mark[own[j]]) if now[j] != now[i] else 0
+                if both and 100 * both >= PERCENT * (size[i] + size[j] - both):
+                    found.append((node[j], node[i]))
+                    now[now == now[j]] = now[i]
+        mark[own[i]] = False
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _meet(rows: DataFrame, nodes: DataFrame, depth: int, asked: DataFrame | None, run, schema: str, heavy: int | None = None) -> DataFrame:
+    """What ``run`` makes of members of buckets that may be linked to one of another component.
+    ``rows`` (bkey, node, comp, cur, n, band, last) are members of buckets, ``cur`` the component
+    that ``comp`` is part of by now.  Only members outside a bucket's largest ``comp`` ask, which
+    is the same in every round; from the second on, those in ``asked`` (node, asked: the
+    components asked before), in the buckets that they are in.  A bucket with many members
+    outside its largest component is split first (``depth`` times at most) by two coordinates
+    next to each other, outside the band and after the ``last`` two; what is left meets in
+    blocks, with ``heavy`` also of so many shingles.  Of the other 62 twos, AGREE coordinates
+    fill four at least, so a pair that agrees enough meets whatever the size of its bucket."""
+    per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.sum("w").alias("heft"), F.max(F.struct("c", "comp", "w")).alias("top"), F.count("*").alias("k"))
+    open_ = kinds.where("k > 1").select("bkey", F.col("top.comp").alias("big"), "all", (F.col("all") - F.col("top.c")).alias("out"),
+                                        "heft", (F.col("heft") - F.col("top.w")).alias("heft_out"))
     if asked is not None:
         open_ = open_.join(rows.join(asked, "node", "left_semi").select("bkey").distinct(), "bkey", "left_semi")
     rows = stash(rows.join(open_, "bkey"), "dedup-open")
     ready = rows.where(F.col("out") <= OUTSIDE) if depth else rows
-    groups, blocks = F.ceil(F.col("out") / OUTSIDE).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    parts = lambda count, most, heft: F.ceil(F.greatest(F.col(count) / most, F.col(heft) / heavy) if heavy else F.col(count) / most).cast("int")
+    groups, blocks = parts("out", OUTSIDE, "heft_out"), parts("all", BLOCK, "heft")
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     member = ["bkey", "node", "comp", "cur", "n", F.expr("comp <> big").alias("outside")]
@@ -265,17 +318,34 @@ def _asks(rows: DataFrame, nodes: DataFrame, depth: int, limit: int, asked: Data
     asking = asking.withColumn("asked", before) if asked is None else asking.join(asked, "node")
     others = ready.select(*member, F.explode(upto(groups)).alias("g"), deal(blocks, 4).alias("s"), F.lit(False).alias("asks")).withColumn("asked", before)
     both = asking.select(others.columns).unionByName(others).join(nodes.select("node", "sig"), "node")
-    found = both.groupBy("bkey", "g", "s").applyInPandas(_matches(limit), "b long, comp long, more boolean")
+    found = both.groupBy("bkey", "g", "s").applyInPandas(run, schema)
     if depth and not (crowded := rows.where(F.col("out") > OUTSIDE)).isEmpty():
         band = F.coalesce("band", F.array_position("keys", F.col("bkey")).cast("int") - 1)
         finer = crowded.join(nodes.select("node", "keys", "sig"), "node").select(
             "node", "comp", "cur", "n", "bkey", "sig", "last", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(COORDS // 2 - 1))).alias("two")).where(
             f"two > last AND two div {ROWS // 2} <> band").select(
             F.xxhash64("bkey", "two", F.expr("substring(sig, 2 * two + 1, 2)")).alias("bkey"), "node", "comp", "cur", "n", "band", F.col("two").alias("last"))
-        found = found.unionByName(_asks(finer, nodes, depth - 1, limit, asked))
+        found = found.unionByName(_meet(finer, nodes, depth - 1, asked, run, schema, heavy))
+    return found
+
+
+def _asks(rows: DataFrame, nodes: DataFrame, depth: int, limit: int, asked: DataFrame | None) -> DataFrame:
+    """b, comp, more: node b may be linked to a member of another component; with ``more`` also
+    to others than those given out.  The others as in ``_meet``."""
+    found = _meet(rows, nodes, depth, asked, _matches(limit), "b long, comp long, more boolean")
     return stash(found.groupBy("b", "comp").agg(F.bool_or("more").alias("more")), "dedup-asks")
 
 
+def settle(rows: DataFrame, nodes: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join whatever is linked among the nodes in ``asked`` and the members of
+    their buckets (``rows``, ``asked`` as in ``_meet``).  Texts go to where members meet, and
+    only links are given out: no step has a row per pair."""
+    met = stash(_meet(rows, nodes, 2, asked, _partners, "bkey long, node long, comp long, cur long, n long, outside boolean, "
+                      "g int, s int, asks boolean, asked array<long>, sig binary", HEAVY), "dedup-met")
+    texts = texts_of(docs, met.select("node"), "node").dropDuplicates(["node"])
+    return stash(met.hint("merge").join(texts, "node").groupBy("bkey", "g", "s").applyInPandas(_settle, "a long, b long").distinct(), "dedup-links")
+
+
 def _answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """For every b of the right, the first member of the left that it is linked to."""
     found: list[tuple[int, int]] = []
@@ -344,25 +414,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     apart = star.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     roots = merge(roots, verify(apart.select("a", "b"), docs))
-    # what is still apart asks: one component first, which mostly settles it, then more of those left
-    parts, limit, asked = roots, ASKED, None
-    labelled = (members.where("size > 2").select("bkey", "node", "n").join(parts, "node", "left")
+    # what is still apart asks one component, which mostly settles it; who may be linked to more meets them all
+    labelled = (members.where("size > 2").select("bkey", "node", "n").join(roots, "node", "left")
                 .select("bkey", "node", F.coalesce("root", "node").alias("comp"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last")))
-    while True:
-        by_now = roots.select(F.col("node").alias("comp"), F.col("root").alias("cur"))
-        rows = labelled.join(by_now, "comp", "left").withColumn("cur", F.coalesce("cur", "comp"))
-        asks = _asks(rows, nodes, 2, limit, asked)
-        if asks.isEmpty():
-            break
-        roots = merge(roots, answer(asks.select("b", "comp"), parts, docs))
-        before = asks.select(F.col("b").alias("node"), "comp", "more")
-        if asked is not None:
-            before = before.unionByName(asked.select("node", F.explode("asked").alias("comp"), F.lit(False).alias("more")))
-        # who has asked all is done; the rest keep a list of ``limit`` components for each of their buckets at most
-        asked = stash(before.groupBy("node").agg(F.collect_set("comp").alias("asked"), F.bool_or("more").alias("more")).where("more").drop("more"), "dedup-asked")
-        if asked.isEmpty():
-            break
-        limit *= MORE
+    asks = _asks(labelled.withColumn("cur", F.col("comp")), nodes, 2, ASKED, None)
+    if not asks.isEmpty():
+        roots = merge(roots, answer(asks.select("b", "comp"), roots, docs))
+        asked = stash(asks.groupBy(F.col("b").alias("node")).agg(F.collect_set("comp").alias("asked"), F.bool_or("more").alias("more"))
+                      .where("more").drop("more"), "dedup-asked")
+        if not asked.isEmpty():
+            by_now = roots.select(F.col("node").alias("comp"), F.col("root").alias("cur"))
+            rows = labelled.join(by_now, "comp", "left").withColumn("cur", F.coalesce("cur", "comp"))
+            roots = merge(roots, settle(rows, nodes, asked, docs))
     named = first.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("comp"))
     named = named.join(least, "root").select("digest", "comp", "root")
