@@ -290,6 +290,27 @@ def test_rows_of_one_id_are_judged_by_their_text(spark):
     kept = sorted(rows(neardup.one_of_each(spark.createDataFrame(more, "doc_id long, text string"))), key=str)
     assert kept == sorted([(3, base), (5, data[2][1]), (None, base), (8, ""), (9, None), (2, "other"), (1, "Short")], key=str)
 
+
+def test_a_worker_lets_go_what_another_operator_kept():
+    """A worker that went from bpe to near-dedup kept the ids of 250 000 pre-tokens for good."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = bpe.encoder(path, pattern)
+    assert bpe.encoder(path, pattern) is enc  # kept from task to task
+    ids, gone = enc.encode("some words, and some more"), weakref.ref(enc)
+    del enc
+    assert bpe.decode_ids(ids, path) == b"some words, and some more" and gone() is not None
+    assert len(neardup.shingle_set("one two three four five six")) == 2
+    gc.collect()
+    assert gone() is None
+    kept = neardup._fingerprints()
+    assert neardup._fingerprints() is kept and len(kept) == 6
+    assert bpe.encoder(path, pattern).encode("some words, and some more") == ids
+
+
 def test_archives_round_trip(spark, tmp):
     body = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
     data = [(3, "http://a.b/c d", body), (1, "http://a.b/\n", body), (2, None, "short"), (4, "u", "short"), (5, "u", None),

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, spread
+from .common import held, pieces, spread
 
 CHUNK, OVERLAP = 16_384, 512
 #: A boundary so near to a window's end may move once more text is seen (contractions
@@ -112,24 +112,20 @@ class Encoder(dict):
         return (np.cumsum([len(t) for t in tokens], dtype=np.int64), b"".join(ids), np.cumsum([len(x) for x in ids], dtype=np.int64))
 
 
-_LOADED: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder per Python worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
-
-
-_TOKENS: dict[str, dict[int, bytes]] = {}
+    loaded = held("bpe")
+    if (path, pattern) not in loaded:
+        loaded[path, pattern] = Encoder(load_ranks(path), pattern)
+    return loaded[path, pattern]
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
     """The raw bytes of ids, concatenated."""
-    if path not in _TOKENS:
-        _TOKENS[path] = {v: k for k, v in load_ranks(path).items()}
-    return b"".join(map(_TOKENS[path].__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    tokens = held("bpe")
+    if path not in tokens:
+        tokens[path] = {v: k for k, v in load_ranks(path).items()}
+    return b"".join(map(tokens[path].__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 def stitch(enc: Encoder, chunks: list[tuple[int, int, str | None, np.ndarray, bytes, np.ndarray]]) -> bytes:

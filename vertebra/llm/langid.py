@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, pieces, stash
+from .common import held, in_fold, pieces, stash
 
 ORDER = 3
 #: Rows of the training sample and n-grams kept, over all languages.
@@ -184,6 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema][:-1] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("langid")  # nothing, but what other stages kept goes
         m = shared.value
         for batch, texts in pieces(batches):
             letters = batch.column(batch.num_columns - 1).to_numpy(False)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stash
+from .common import held, pieces, stash
 
 SHINGLE = 5
 PERCENT = 75
@@ -69,7 +69,12 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
+def _fingerprints() -> _Words:
+    """One of them per Python worker."""
+    kept = held("near-dedup")
+    if "words" not in kept:
+        kept["words"] = _Words()
+    return kept["words"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +89,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=n)
+    h = np.fromiter(map(_fingerprints().__getitem__, words), dtype=np.uint64, count=n)
     width = min(n, SHINGLE)
     acc = np.full(n - width + 1, np.uint64(width), dtype=np.uint64)
     for i in range(width):
