@@ -58,9 +58,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with a digest of what they decode to.
 
     A null text counts as empty and has no ids; equal rows each give a row; a long text is
-    encoded in chunks; an empty table gives no rows."""
+    encoded in chunks; an empty table gives no rows.
+
+    The ids are written before they are decoded: a task with two Python steps in a row takes two
+    workers, and Spark keeps them all, with what each has loaded, for every later step."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, path, pattern), path)
+    both = bpe.decode(stash(bpe.encode(docs, path, pattern, sure=bpe.SURE), "pipeline-ids"), path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

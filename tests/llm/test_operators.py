@@ -612,6 +612,19 @@ def test_pipeline_stages_take_effect(spark):
     assert os.path.basename(c.__file__) == "corpus_pipeline.py"
 
 
+def test_pipeline_tokens_take_one_python_worker_a_task(spark, awkward, enc):
+    """Encoding and decoding in one task held two workers, and all of them stayed for the session."""
+    import corpus_pipeline as c
+
+    got = c.tokens(spark, awkward, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow|MapInPandas|GroupsInPandas|EvalPython", plan)) == 1
+    want = [(r[0], enc.encode(r[1] or "")) for r in AWKWARD]
+    assert collections.Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["ids_sha256"], r["decoded_sha256"]) for r in got.collect()) == collections.Counter(
+        (i, len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest())
+        for (i, ids), r in zip(want, AWKWARD))
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
