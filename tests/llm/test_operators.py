@@ -253,6 +253,51 @@ def test_steps_give_out_members_not_pairs(spark, monkeypatch):
     assert counts["dedup-met"][0] > 0
 
 
+def test_crowded_buckets_are_compared_whole_and_pairs_once(spark, monkeypatch):
+    """Near copies of one text, few of them linked, in buckets beyond the bound of a block: rows
+    do not multiply, no link is lost, and two that share several buckets meet in the first."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    data = [(i, " ".join(w if rng.random() > 0.035 else f"x{rng.randint(0, 10**6)}" for w in base)) for i in range(60)]
+    data += [(500 + i, data[i][1] + " end") for i in range(0, 40, 3)]
+    for name in ("OUTSIDE", "BLOCK"):
+        monkeypatch.setattr(neardup, name, 7)
+    counts: list[int] = []
+
+    def counting(df, name, stash=neardup.stash):
+        out = stash(df, name)
+        if name == "dedup-open":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stash", counting)
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).drop("row", "component")
+    assert sorted(rows(got)) == brute_components(data)
+    assert len(counts) <= 2 and sum(counts) <= 2 * neardup.BANDS * len(data)
+
+
+def test_a_pair_meets_in_its_first_common_bucket():
+    import pandas as pd
+    sig = np.arange(neardup.COORDS, dtype=np.uint32)
+    sigs = np.stack([sig, sig, sig])
+    sigs[1, [1, 5]] += 1  # bands 0 and 1 differ, 126 coordinates agree
+    sigs[2, 60:] += 1  # too few agree
+    keys = neardup.band_keys(sigs)
+    assert (keys == np.stack([neardup.band_keys(s) for s in sigs])).all()
+    pdf = pd.DataFrame({"node": range(3), "comp": range(3), "cur": range(3), "n": 100, "asks": True, "outside": True,
+                        "sig": [s.astype(np.uint8).tobytes() for s in sigs], "asked": [None] * 3, "keys": list(keys), "g": 0, "s": 0, "cell": 0})
+    buckets = pd.concat([pdf.assign(bkey=keys[0, band]) for band in (2, 3, 9)])
+    out = neardup._each(neardup._matches(1))(buckets)
+    assert out[["b", "comp"]].to_numpy().tolist() == [[0, 1]]
+
+
+def test_sets_of_texts_hashed_together_are_those_of_each():
+    texts = ["a b c d e f g", None, "", "a", "A  b\tc\nd", "É é ü a b", "x " * 40, "a\x00b c\x1cd \x0be f g h"] * 3
+    many = neardup.shingle_sets(texts)
+    assert [len(s) for s in many[:8]] == [3, 0, 0, 1, 1, 1, 1, 2]
+    assert all((a == neardup.shingle_set(t)).all() and (a[1:] > a[:-1]).all() for t, a in zip(texts, many))
+
+
 def test_members_that_meet_give_out_a_forest():
     import pandas as pd
     rng = random.Random(1)

@@ -20,7 +20,8 @@ of one set are a single node throughout.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,17 @@ _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 ASKED, MORE = 1, 64
 #: Shingles of either side of a block that is verified where it meets (8 bytes each).
 HEAVY = 2_000_000
+#: Words whose fingerprints a worker keeps.
+WORDS = 20_000
+#: Groups too small to be worth a call of their own share one ("cell"): pairs, rows of buckets
+#: and shingles of one, on average.
+CELL_PAIRS, CELL_ROWS, CELL_SHINGLES = 64, 512, 500_000
+#: How often a crowded bucket is split by more coordinates.  Members of one are alike, so those
+#: that share two more coordinates are most of them, and 62 twos would hold each pair many
+#: times; whole, it holds a pair once and its blocks are compared fast.
+SPLITS = 0
+#: Bytes of text that are hashed at once; pairs whose signatures are compared at once.
+TEXT, TILE = 1 << 18, 1 << 13
 
 
 def row_id() -> Column:
@@ -60,12 +72,13 @@ def row_id() -> Column:
 
 
 class _Words(dict):
-    """64-bit fingerprints of words, kept for the words seen last."""
+    """64-bit fingerprints of words, kept for the words seen first: common ones are among them,
+    and emptying it again and again cost more than it saved."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS:
+            self[word] = h
         return h
 
 
@@ -83,18 +96,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sets(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Sorted distinct fingerprints of the shingles of texts given as words."""
+    ends = np.cumsum([len(w) for w in texts])
+    h = np.fromiter(map(_fingerprints().__getitem__, itertools.chain.from_iterable(texts)), dtype=np.uint64, count=int(ends[-1]))
+    placed = [_mix(h + place) for place in _PLACE]
+
+    def of(at: int, end: int, width: int) -> np.ndarray:
+        acc = np.full(end - at - width + 1, np.uint64(width), dtype=np.uint64)
+        for i in range(width):
+            acc *= _PLACE[4]
+            acc += placed[i][at + i: end - width + 1 + i]
+        return _mix(acc)
+
+    whole = of(0, len(h), SHINGLE) if len(h) >= SHINGLE else None
+    out = []
+    for words, end in zip(texts, ends.tolist()):
+        n = len(words)
+        if n < SHINGLE:
+            out.append(of(end - n, end, n) if n else np.zeros(0, np.uint64))
+            continue
+        acc = np.sort(whole[end - n: end - SHINGLE + 1])
+        out.append(acc[np.concatenate([[True], acc[1:] != acc[:-1]])])
+    return out
+
+
+def shingle_sets(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """Of each text, the sorted distinct fingerprints of its shingles (of the whole sequence, if
+    it is shorter).  Texts are hashed together, ``TEXT`` bytes (one text at least) at a time."""
+    out: list[np.ndarray] = []
+    ready, total = [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "replace")
+        if ready and total + len(raw) > TEXT:
+            out += _sets(ready)
+            ready, total = [], 0
+        ready.append(raw.lower().split())
+        total += len(raw)
+    return out + _sets(ready) if ready else out
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct fingerprints of a text's shingles (of the whole sequence, if it is shorter)."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_fingerprints().__getitem__, words), dtype=np.uint64, count=n)
-    width = min(n, SHINGLE)
-    acc = np.full(n - width + 1, np.uint64(width), dtype=np.uint64)
-    for i in range(width):
-        acc = acc * _PLACE[4] + _mix(h[i: n - width + 1 + i] + _PLACE[i])
-    return np.unique(_mix(acc))
+    return shingle_sets([text])[0]
 
 
 @functools.cache
@@ -114,28 +157,27 @@ def signature(shingles: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
-    part = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    """One 64-bit key per band, of a signature or a table of them; the band's number is part of it."""
+    part = sig.reshape(*sig.shape[:-1], BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
-        key = _mix(key * _PLACE[0] + part[:, i])
+        key = _mix(key * _PLACE[0] + part[..., i])
     return key.view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     windows = _windows()
     for batch, texts in pieces(batches):
-        n, digest, keys, sigs = [], [], [], []
-        for text in texts:
-            s = shingle_set(text)
-            n.append(len(s))
-            digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sig = signature(s, windows) if len(s) else None
-            keys.append(band_keys(sig).tolist() if len(s) else [])
-            sigs.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+        sets = shingle_sets(texts)
+        n = [len(s) for s in sets]
+        digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        sigs = [signature(s, windows) if len(s) else None for s in sets]
+        some = [s for s in sigs if s is not None]
+        keys = pa.array(band_keys(np.stack(some)).ravel() if some else [], pa.int64())
+        keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [BANDS * (k > 0) for k in n]), pa.int32()), keys)
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id")], pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+             keys, pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in sigs], pa.binary())],
             names=["row", "doc_id", "n_shingles", "digest", "keys", "sig"])
 
 
@@ -144,12 +186,45 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def _shared(mark: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many of each of ``sets`` (numbers, none empty) are marked."""
+    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    return np.add.reduceat(mark[np.concatenate(sets)], starts, dtype=np.int64)
+
+
+def _cells(total: int, most: int, *by: str | Column) -> Column:
+    """The cell of a group: groups of ``total`` in all share calls of about ``most``."""
+    return F.pmod(F.xxhash64(*by), F.lit(max(1, -(-total // most)))).alias("cell")
+
+
+def _groups(pdf: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The groups of a cell, by key."""
+    at = [pdf[c].to_numpy(np.int64) for c in by]
+    order = np.lexsort(at[::-1])
+    pdf, at = pdf.iloc[order], np.stack([a[order] for a in at])
+    new = np.flatnonzero(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(axis=0)])) if len(pdf) else np.zeros(0, np.int64)
+    for start, end in zip(new.tolist(), [*new.tolist()[1:], len(pdf)]):
+        yield tuple(at[:, start].tolist()), pdf.iloc[start:end]
+
+
+def _each(run):
+    """``run`` for each bucket's block of a cell."""
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [run(group) for _, group in _groups(pdf.drop(columns="cell"), ["bkey", "g", "s"])]
+        return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
+
+    return cell
+
+
 def _verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Those pairs (a, b) of the right that are linked; the left has the text of every a."""
     found: list[tuple[int, int]] = []
-    mine = [(a, shingle_set(t)) for a, t in zip(left["la"], left["left_text"])]
-    for b, text in zip(right["b"], right["right_text"]):
-        other = shingle_set(text)
-        found += [(a, b) for a, own in mine if _linked(own, other)]
+    mine = dict(zip(left["la"].tolist(), shingle_sets(left["left_text"])))
+    right = right.drop_duplicates(["a", "b"])
+    for a, b, other in zip(right["a"].tolist(), right["b"].tolist(), shingle_sets(right["right_text"])):
+        if a in mine and _linked(mine[a], other):
+            found.append((a, b))
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -171,14 +246,16 @@ def texts_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough.  A hot ``a`` is split:
-    its text goes along with every ``STAR`` partners."""
+    its text goes along with every ``STAR`` partners; cold ones share a cell."""
     pairs = stash(pairs.distinct(), "dedup-pairs")
+    cell = functools.partial(_cells, pairs.count(), CELL_PAIRS)
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     left = (many.hint("merge").join(texts_of(docs, many.select("a"), "a"), "a")
-            .select(F.col("a").alias("la"), F.col("text").alias("left_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("ls")))
+            .select(F.col("a").alias("la"), F.col("text").alias("left_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("ls"))
+            .select("la", "left_text", cell("la", "ls")))
     right = (pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-             .hint("merge").join(texts_of(docs, pairs.select("b"), "b"), "b").select("a", "salt", "b", F.col("text").alias("right_text")))
-    return stash(left.groupBy("la", "ls").cogroup(right.groupBy("a", "salt"))
+             .hint("merge").join(texts_of(docs, pairs.select("b"), "b"), "b").select("a", "b", F.col("text").alias("right_text"), cell("a", "salt")))
+    return stash(left.groupBy("cell").cogroup(right.groupBy("cell"))
                  .applyInPandas(_verify, "a long, b long").distinct(), "dedup-links")
 
 
@@ -223,25 +300,49 @@ def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _members(pdf: pd.DataFrame) -> pd.DataFrame:
     """Those who meet, each once; one that asks, asking."""
-    return pdf.sort_values(["asks", "node"], ascending=[False, True]).drop_duplicates("node")
+    node, asks = pdf["node"].to_numpy(np.int64), pdf["asks"].to_numpy(bool)
+    order = np.lexsort((~asks, node))
+    order = order[np.concatenate([[True], node[order[1:]] != node[order[:-1]]])]
+    return pdf.iloc[order[np.lexsort((node[order], ~asks[order]))]]
+
+
+def _agreement(some: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Coordinates (128 bytes a row) in which each of ``some`` agrees with each of ``sig``."""
+    same = (some[:, None, :] == sig[None, :, :]).view(np.uint64).sum(axis=2)  # eight counts of 16 at most
+    return (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
 
 def _candidates(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
     """Of members outside the bucket's largest component (``asks``): the rows of other components
     whose signature agrees enough, the likeliest first.  Between two that are ``outside``, the
-    smaller asks; components in ``asked`` were asked before."""
+    smaller asks; components in ``asked`` were asked before.  With the members' ``keys``, two that
+    share an earlier band are left to that band's bucket: they meet there, if it was not settled."""
     node, comp, cur = (pdf[c].to_numpy(np.int64) for c in ("node", "comp", "cur"))
     n, asks, outside = pdf["n"].to_numpy(np.int64), pdf["asks"].to_numpy(bool), pdf["outside"].to_numpy(bool)
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), COORDS)
     asked = pdf["asked"].tolist()
-    for i in np.nonzero(asks)[0]:
-        like = (cur != cur[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (~outside | (node > node[i]))
-        if asked[i] is not None:
-            like &= ~np.isin(comp, np.asarray(asked[i], dtype=np.int64))
-        at = np.nonzero(like)[0]
-        agree = (sig[at] == sig[i]).sum(axis=1)
-        at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-        yield i, at[np.lexsort((node[at], -agree))]
+    keys = np.stack(pdf["keys"].tolist()) if "keys" in pdf else np.zeros((len(pdf), 0), np.int64)
+    earlier = keys[:, :_band(keys, pdf)]
+    who = np.nonzero(asks)[0]
+    step = max(1, TILE // len(pdf))
+    for some in (who[k: k + step] for k in range(0, len(who), step)):
+        mine = n[some, None]
+        like = (cur != cur[some, None]) & (100 * np.minimum(n, mine) >= PERCENT * np.maximum(n, mine)) & (~outside | (node > node[some, None]))
+        agrees = _agreement(sig[some], sig).astype(np.int64)
+        like &= agrees >= AGREE
+        for i, agree, row in zip(some, agrees, like):
+            at = np.nonzero(row)[0]
+            if len(at) and asked[i] is not None:
+                at = at[~np.isin(comp[at], np.asarray(asked[i], dtype=np.int64))]
+            if len(at) and earlier.shape[1]:
+                at = at[~(earlier[at] == earlier[i]).any(axis=1)]
+            yield i, at[np.lexsort((node[at], -agree[at]))]
+
+
+def _band(keys: np.ndarray, pdf: pd.DataFrame) -> int:
+    """The band whose bucket this is; 0 for one that was split by other coordinates too."""
+    found = np.flatnonzero(keys[0] == pdf["bkey"].iloc[0]) if keys.shape[1] else []
+    return int(found[0]) if len(found) else 0
 
 
 def _matches(limit: int):
@@ -276,8 +377,8 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     against who asks unless links found here join the two already, so there are fewer links
     than members."""
     pdf = _members(pdf)
-    sets = [shingle_set(t) for t in pdf["text"]]
-    size = [len(s) for s in sets]
+    sets = shingle_sets(pdf["text"])
+    size = np.array([len(s) for s in sets])
     known, number = np.unique(np.concatenate(sets), return_inverse=True)
     own = np.split(number, np.cumsum(size)[:-1])
     node, now = pdf["node"].to_numpy(np.int64), pdf["cur"].to_numpy(np.int64).copy()
@@ -286,9 +387,12 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     for i, at in _candidates(pdf):
         mark[own[i]] = True
         for part in (at[k: k + MORE] for k in range(0, len(at), MORE)):
-            for j in part[now[part] != now[i]]:
-                both = np.count_nonzero(mark[own[j]]) if now[j] != now[i] else 0
-                if both and 100 * both >= PERCENT * (size[i] + size[j] - both):
+            part = part[now[part] != now[i]]
+            if not len(part):
+                continue
+            both = _shared(mark, [own[j] for j in part])
+            for j in part[(both > 0) & (100 * both >= PERCENT * (size[i] + size[part] - both))]:
+                if now[j] != now[i]:
                     found.append((node[j], node[i]))
                     now[now == now[j]] = now[i]
         mark[own[i]] = False
@@ -300,10 +404,10 @@ def _meet(rows: DataFrame, nodes: DataFrame, depth: int, asked: DataFrame | None
     ``rows`` (bkey, node, comp, cur, n, band, last) are members of buckets, ``cur`` the component
     that ``comp`` is part of by now.  Only members outside a bucket's largest ``comp`` ask, which
     is the same in every round; from the second on, those in ``asked`` (node, asked: the
-    components asked before), in the buckets that they are in.  A bucket with many members
-    outside its largest component is split first (``depth`` times at most) by two coordinates
-    next to each other, outside the band and after the ``last`` two; what is left meets in
-    blocks, with ``heavy`` also of so many shingles.  Of the other 62 twos, AGREE coordinates
+    components asked before), in the buckets that they are in.  They meet in blocks, with
+    ``heavy`` also of so many shingles.  With ``depth``, a bucket with many members outside its
+    largest component is split first, so many times at most, by two coordinates next to each
+    other, outside the band and after the ``last`` two.  Of the other 62 twos, AGREE coordinates
     fill four at least, so a pair that agrees enough meets whatever the size of its bucket."""
     per = rows.groupBy("bkey", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     kinds = per.groupBy("bkey").agg(F.sum("c").alias("all"), F.sum("w").alias("heft"), F.max(F.struct("c", "comp", "w")).alias("top"), F.count("*").alias("k"))
@@ -322,8 +426,8 @@ def _meet(rows: DataFrame, nodes: DataFrame, depth: int, asked: DataFrame | None
     before = F.lit(None).cast("array<long>").alias("asked")
     asking = asking.withColumn("asked", before) if asked is None else asking.join(asked, "node")
     others = ready.select(*member, F.explode(upto(groups)).alias("g"), deal(blocks, 4).alias("s"), F.lit(False).alias("asks")).withColumn("asked", before)
-    both = asking.select(others.columns).unionByName(others).join(nodes.select("node", "sig"), "node")
-    found = both.groupBy("bkey", "g", "s").applyInPandas(run, schema)
+    both = asking.select(others.columns).unionByName(others).join(nodes.select("node", "sig", "keys"), "node")
+    found = both.withColumn("cell", _cells(rows.count(), CELL_ROWS, "bkey", "g", "s")).groupBy("cell").applyInPandas(_each(run), schema)
     if depth and not (crowded := rows.where(F.col("out") > OUTSIDE)).isEmpty():
         band = F.coalesce("band", F.array_position("keys", F.col("bkey")).cast("int") - 1)
         finer = crowded.join(nodes.select("node", "keys", "sig"), "node").select(
@@ -345,33 +449,58 @@ def settle(rows: DataFrame, nodes: DataFrame, asked: DataFrame, docs: DataFrame)
     """Links (a, b) that join whatever is linked among the nodes in ``asked`` and the members of
     their buckets (``rows``, ``asked`` as in ``_meet``).  Texts go to where members meet, and
     only links are given out: no step has a row per pair."""
-    met = stash(_meet(rows, nodes, 2, asked, _partners, "bkey long, node long, comp long, cur long, n long, outside boolean, "
-                      "g int, s int, asks boolean, asked array<long>, sig binary", HEAVY), "dedup-met")
+    met = stash(_meet(rows, nodes, SPLITS, asked, _partners, "bkey long, node long, comp long, cur long, n long, outside boolean, "
+                      "g int, s int, asks boolean, asked array<long>, sig binary, keys array<long>", HEAVY), "dedup-met")
     texts = texts_of(docs, met.select("node"), "node").dropDuplicates(["node"])
-    return stash(met.hint("merge").join(texts, "node").groupBy("bkey", "g", "s").applyInPandas(_settle, "a long, b long").distinct(), "dedup-links")
+    cell = _cells(met.agg(F.sum("n")).first()[0] or 0, CELL_SHINGLES, "bkey", "g", "s")
+    return stash(met.withColumn("cell", cell).hint("merge").join(texts, "node").groupBy("cell")
+                 .applyInPandas(_each(_settle), "a long, b long").distinct(), "dedup-links")
 
 
 def _answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For every b of the right, the first member of the left that it is linked to."""
+    """For every b of the right, a member of its group on the left that it is linked to, the
+    likeliest first."""
     found: list[tuple[int, int]] = []
-    sets = [shingle_set(t) for t in left["left_text"]]
-    if sets:
-        windows = _windows()
-        sigs = np.stack([signature(s, windows).astype(np.uint8) for s in sets])
-        size = np.array([len(s) for s in sets])
-        for b, text in zip(right["b"], right["right_text"]):
-            own = shingle_set(text)
-            agree = (sigs == signature(own, windows).astype(np.uint8)).sum(axis=1)
-            agree[100 * np.minimum(size, len(own)) < PERCENT * np.maximum(size, len(own))] = 0
-            for i in np.argsort(-agree, kind="stable"):
-                if agree[i] < AGREE:
-                    break
-                if _linked(sets[i], own):
-                    found.append((left["la"].iloc[i], b))
-                    break
+    asking = dict(_groups(right, ["comp", "s", "g"]))
+    for key, members in _groups(left, ["lc", "ls", "lg"]):
+        if key in asking:
+            b, texts = asking[key]["b"].tolist(), asking[key]["right_text"].tolist()
+            a, sets = members["la"].tolist(), shingle_sets(members["left_text"])
+            part = np.cumsum([len(s) for s in sets]) // (HEAVY // 2)
+            for i in np.unique(part):
+                at = np.flatnonzero(part == i)
+                found += _linked_to([a[k] for k in at], [sets[k] for k in at], b, texts)
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def _linked_to(a: list[int], sets: list[np.ndarray], b: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
+    """For every ``b``, the likeliest of ``a`` that it is linked to."""
+    windows = _windows()
+    sigs = np.stack([signature(s, windows).astype(np.uint8) for s in sets])
+    size = np.array([len(s) for s in sets])
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(number, np.cumsum(size)[:-1])
+    mark = np.zeros(len(known), dtype=bool)
+    for start in range(0, len(b), MORE):
+        for who, mine in zip(b[start: start + MORE], shingle_sets(texts[start: start + MORE])):
+            n = len(mine)
+            agree = _agreement(signature(mine, windows).astype(np.uint8)[None], sigs)[0].astype(np.int64)
+            agree[100 * np.minimum(size, n) < PERCENT * np.maximum(size, n)] = 0
+            at = np.argsort(-agree, kind="stable")[: np.count_nonzero(agree >= AGREE)]
+            if not len(at):
+                continue
+            there = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            there = there[known[there] == mine]
+            mark[there] = True
+            for part in (at[k: k + MORE] for k in range(0, len(at), MORE)):
+                both = _shared(mark, [own[j] for j in part])
+                linked = part[(both > 0) & (100 * both >= PERCENT * (n + size[part] - both))]
+                if len(linked):
+                    yield a[linked[0]], who
+                    break
+            mark[there] = False
+
+
 def answer(asks: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) of nodes b with the components they ask (b, comp), one at least where
     there is one.  Members and askers meet in blocks of ``SIDE``."""
@@ -382,11 +511,14 @@ def answer(asks: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     inside = stash(inside, "dedup-inside")
+    cell = functools.partial(_cells, inside.count(), CELL_PAIRS)
     left = (inside.join(plan, "comp").hint("merge").join(texts_of(docs, inside.select("a"), "a"), "a")
-            .select(F.col("comp").alias("lc"), deal("a", "salts").alias("ls"), upto("groups").alias("lg"), F.col("a").alias("la"), F.col("text").alias("left_text")))
+            .select(F.col("comp").alias("lc"), deal("a", "salts").alias("ls"), upto("groups").alias("lg"), F.col("a").alias("la"), F.col("text").alias("left_text"))
+            .select("*", cell("lc", "ls", "lg")))
     right = (asks.join(plan, "comp").hint("merge").join(texts_of(docs, asks.select("b"), "b"), "b")
-             .select("comp", upto("salts").alias("s"), deal("b", "groups").alias("g"), "b", F.col("text").alias("right_text")))
-    return stash(left.groupBy("lc", "ls", "lg").cogroup(right.groupBy("comp", "s", "g")).applyInPandas(_answer, "a long, b long").distinct(), "dedup-links")
+             .select("comp", upto("salts").alias("s"), deal("b", "groups").alias("g"), "b", F.col("text").alias("right_text"))
+             .select("*", cell("comp", "s", "g")))
+    return stash(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(_answer, "a long, b long").distinct(), "dedup-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -422,7 +554,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what is still apart asks one component, which mostly settles it; who may be linked to more meets them all
     labelled = (members.where("size > 2").select("bkey", "node", "n").join(roots, "node", "left")
                 .select("bkey", "node", F.coalesce("root", "node").alias("comp"), "n", F.lit(None).cast("int").alias("band"), F.lit(-1).alias("last")))
-    asks = _asks(labelled.withColumn("cur", F.col("comp")), nodes, 2, ASKED, None)
+    asks = _asks(labelled.withColumn("cur", F.col("comp")), nodes, SPLITS, ASKED, None)
     if not asks.isEmpty():
         roots = merge(roots, answer(asks.select("b", "comp"), roots, docs))
         asked = stash(asks.groupBy(F.col("b").alias("node")).agg(F.collect_set("comp").alias("asked"), F.bool_or("more").alias("more"))
